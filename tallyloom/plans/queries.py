@@ -1,11 +1,15 @@
-"""Queries over the reference's own operators."""
+"""Queries over the reference's own operators, and the general operators of the core."""
 
 from __future__ import annotations
 
+from . import units_queries
+
+_PARTS = [units_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {k: v for m in _PARTS for k, v in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for m in _PARTS for k, v in getattr(m, "SQL", {}).items()}
