@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import pairs, truncation
+from . import overlap, pairs, truncation
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +50,29 @@ def p2_defect_counts(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("tab", "defect").agg(F.count("*").alias("n_rows"))
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    vsi, temp, train = table(spark, d, "vsi_annotation"), table(spark, d, "tempcompass_annotation"), table(spark, d, "training_example")
+
+    def known(df: DataFrame, tab: str, i: str, clip: str, text: str) -> DataFrame:
+        return df.select(F.lit(tab).alias("tab"), F.col(i).alias("eval_id"), F.col(clip).alias("clip"), F.col(text).alias("text"))
+
+    evals = known(vsi, "vsi_annotation", "id", "scene_name", "question")
+    for text in ("question", "problem"):
+        evals = evals.unionByName(known(temp, "tempcompass_annotation", "question_id", "video_id", text))
+    return overlap.find_overlaps(evals, train.select("problem_id", F.col("path").alias("clip"), F.col("problem").alias("text"), "data_source"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _overlaps(spark, d).select("tab", "eval_id", "problem_id")
+
+
+def p5_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping pairs, evaluation records and training records per split and data source."""
+    return _overlaps(spark, d).groupBy("tab", "data_source").agg(
+        F.count("*").alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval"), F.countDistinct("problem_id").alias("n_train")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
