@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import overlap, pairs, truncation
+from . import encoding, overlap, pairs, truncation
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -73,6 +73,15 @@ def p5_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.find_garbled(table(spark, d, "documents")).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The garbled documents with the chain found and the text as it was, where a chain was found."""
+    return encoding.find_garbled(table(spark, d, "documents")).withColumn("gain", F.round("gain", 3))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
