@@ -4,25 +4,23 @@ Method: the response is compressed with its prompt as a raw zstandard dictionary
 almost nothing beyond its prompt is a copy candidate, confirmed by removing the prompt, its options and
 lead-ins and finding nothing left. Refusals and languages come from dictionaries; truncation from the
 terminal-context statistics of `truncation`, learnt over all responses of the input.
-
-Order of defects: empty, refusal, copy, truncated, language.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
+import ahocorasick
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import cut
 from . import textstate as ts, truncation
 
 #: A response is a copy candidate if its compressed size with the prompt as dictionary is at most this many bytes plus this share of its own size.
 COPY_BYTES, COPY_SHARE = 22, 0.25
+ORDER = ["empty", "refusal", "copy", "truncated", "language"]
 PLACEHOLDERS = frozenset("none null nan n/a na nil - -- --- – — . .. ... … ? tbd todo unknown undefined [no_response] [no_answer] [empty] [blank] (empty) (none) <empty> [none] [null] no_response no_answer empty [n/a] <none> <null>".split())
 
 _THINK = re.compile(r"<think>.*?</think>\s*|<map>.*?</map>\s*", re.S)
@@ -134,8 +132,28 @@ def is_empty(text: str | None) -> bool:
     return not bare or bare in PLACEHOLDERS or bare.rstrip(".") in PLACEHOLDERS
 
 
+#: Literal strings one of which every refusal phrase holds; an automaton looks for them first.
+_ANCHORS = (
+    "can't|cannot|can not|could not|couldn't|able to|refuse|decline|allowed|permitted|information|lack the|means of|wasn't|not given|not see|n't see|access|outside of|inappropriate|guessing|pass on this|choose an|be loaded|analy|language model|text assistant|lets me|n't have|not have|against my"
+    "|nicht|keine|kein |tut mir leid|sprachmodell|je ne |désolé|impossible|pas accès|en mesure|en tant que|no puedo|lo siento|no me es|no tengo|no soy|modelo de|no es posible|non posso|mi dispiace|non sono|non ho|non riesco|não|desculpe|lamento|sinto muito|niet|spijt|geen toegang"
+    "|kan inte|tyvärr|ledsen|beklag|ikke|desværre|ikkje|nie mogę|nie jestem|przykro|niestety|przepraszam|nemohu|nemůžu|bohužel|omlouv|je mi líto|nedoká|üzgünüm|veremem|lamam|lamıyorum|lanamam|mıyorum|maalesef|göremiyorum|veremiyorum"
+    "|nu pot|îmi pare|din păcate|nem tud|sajnál|sajnos|en voi|valitettav|en pysty|pahoitt|tidak|maaf|xin lỗi|không thể|rất tiếc|не мог|сожалению|извините|простите|не удал|не удаё|не в состоянии|невозможно|не можу|на жаль|вибачте|δεν μπορώ|λυπάμαι|δυστυχώς"
+    "|无法|抱歉|对不起|不能回答|無法|不能提供|看不到|できません|申し訳|お答えでき|わかりません|答えられ|ごめんなさい|見られません|죄송|수 없습니다|없어요|못합니다|어렵습니다|لا أستطيع|لا يمكنني|عذر|آسف|للأسف|غير قادر|माफ़|क्षमा|नहीं|असमर्थ|खेद|לא יכול|מצטער|לצערי"
+).split("|")
+
+
+@cache
+def _anchors() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for w in _ANCHORS:
+        a.add_word(w, w)
+    a.make_automaton()
+    return a
+
+
 def is_refusal(text: str) -> bool:
-    return bool(_REFUSAL.search(final_answer(text)[:600].lower().replace("’", "'")))
+    low = final_answer(text).lower().replace("’", "'")
+    return next(_anchors().iter(low), None) is not None and _REFUSAL.search(low) is not None
 
 
 _PARAMS = zstandard.ZstdCompressionParameters.from_level(3, window_log=13, hash_log=11, chain_log=11, write_content_size=0)
@@ -180,11 +198,9 @@ def is_copy(question: str | None, options: list[str] | None, response: str) -> b
 
 def is_foreign(question: str | None, response: str) -> bool:
     """A sentence of the response is in a language other than the question's; quoted words don't count."""
-    low = response.lower()
-    if not _NON_LATIN.search(low) and not any(w in _FOREIGN for w in _WORDS.findall(low)):
-        if not question or language(question) in (None, "en"):
-            return False
-    asked = (language(question) if question else None) or "en"
+    asked = "en" if not question or _FOREIGN.isdisjoint(question.lower().split()) and question.isascii() else language(question) or "en"
+    if asked == "en" and (response.isascii() or not _NON_LATIN.search(response)) and _FOREIGN.isdisjoint(response.lower().split()):
+        return False
     for part in re.split(r"(?<=[.!?。！？।])\s+|</?[a-zA-Z]\w*>|\n", _QUOTED.sub(" ", response)):
         got = language(part) if part and len(part) > 5 else None
         if got and got != asked:
@@ -192,24 +208,22 @@ def is_foreign(question: str | None, response: str) -> bool:
     return False
 
 
-def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for tab, row_id, q, opts, text in zip(pdf["tab"], pdf["row_id"], pdf["question"], pdf["options"], pdf["text"]):
-            if row_id is None or row_id != row_id:
-                continue
-            text = None if text != text else text
-            opts = None if opts is None or isinstance(opts, float) else list(opts)
-            if is_empty(text):
-                out.append((tab, row_id, "empty"))
-            elif len(text) > 6 and is_refusal(text):
-                out.append((tab, row_id, "refusal"))
-            elif is_copy(q, opts, text):
-                out.append((tab, row_id, "copy"))
-            elif len(text) > 6 and is_foreign(q, text):
-                out.append((tab, row_id, "language"))
-        if out:
-            yield pd.DataFrame(out, columns=["tab", "row_id", "defect"])
+def label(pdf: pd.DataFrame) -> list[tuple]:
+    """Rows of kind `defect` for the pairs of a batch, the defect in column w."""
+    out = []
+    for tab, row_id, q, opts, text in zip(pdf["tab"], pdf["row_id"], pdf["question"], pdf["options"], pdf["text"]):
+        if row_id is None or row_id != row_id:
+            continue
+        text = None if text != text else text
+        if is_empty(text):
+            out.append(("defect", tab, row_id, None, None, "empty", 0, 0))
+        elif len(text) > 6 and is_refusal(text):
+            out.append(("defect", tab, row_id, None, None, "refusal", 0, 0))
+        elif is_copy(q, None if opts is None or isinstance(opts, float) else list(opts), text):
+            out.append(("defect", tab, row_id, None, None, "copy", 0, 0))
+        elif len(text) > 6 and is_foreign(q, text):
+            out.append(("defect", tab, row_id, None, None, "language", 0, 0))
+    return out
 
 
 def find_defects(pairs: DataFrame) -> DataFrame:
@@ -220,7 +234,9 @@ def find_defects(pairs: DataFrame) -> DataFrame:
     ignored.
     """
     narrow = pairs.select("tab", "row_id", "run", "question", "options", "text")
-    labels = cut(narrow.mapInPandas(label, "tab string, row_id bigint, defect string")).distinct()
-    broken = truncation.find_truncated(narrow).join(labels.where("defect != 'language'"), ["tab", "row_id"], "left_anti")
-    cuts = broken.withColumn("defect", F.lit("truncated"))
-    return labels.join(cuts.select("tab", "row_id"), ["tab", "row_id"], "left_anti").unionByName(cuts)
+    seen = truncation.scanned(narrow, label)
+    cuts = truncation.find_truncated(narrow, seen).withColumn("w", F.lit("truncated"))
+    # a pair's one defect: the first in this order
+    rank = F.expr(f"array_position(array({', '.join(repr(d) for d in ORDER)}), w)")
+    both = seen.where("kind = 'defect'").select("tab", "row_id", "w").unionByName(cuts)
+    return both.groupBy("tab", "row_id").agg(F.min_by("w", rank).alias("defect"))

@@ -90,10 +90,9 @@ class Tally:
                 return
             low = low[:-12] + _PARTIAL.sub("", low[-12:])
         pieces = [p for p in _SPLIT.split(low) if p]
-        masked = [p for p in _SPLIT.split(_NUM.sub("0", _LONG.sub("_", low))) if p]
         if not closed_end and pieces:
             self.words.update(pieces.pop().split()[:-1])
-            masked and masked.pop()
+        masked = _NUM.sub("0", _LONG.sub("_", "\n".join(pieces))).split("\n")
         for p in pieces:
             words = p.split()
             self.words.update(words)

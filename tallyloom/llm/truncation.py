@@ -15,7 +15,8 @@ and skeleton, which are combined before the shuffle.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -34,8 +35,8 @@ FLUSH = 200_000
 _SCHEMA = "kind string, tab string, row_id bigint, run string, s string, w string, a bigint, b bigint"
 
 
-def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows: `cut` (a row that is cut by structure), `tail` (a row with an open tail), `word`, `skel` and `len` counts."""
+def scan(batches: Iterator[pd.DataFrame], further: Callable[[pd.DataFrame], list[tuple]] | None = None) -> Iterator[pd.DataFrame]:
+    """Rows: `cut` (a row that is cut by structure), `tail` (a row with an open tail), `word`, `skel` and `len` counts, and what `further` gives."""
     tally, lengths = ts.Tally(), Counter()
 
     def flush() -> pd.DataFrame:
@@ -46,7 +47,7 @@ def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame(rows, columns=["kind", "tab", "row_id", "run", "s", "w", "a", "b"])
 
     for pdf in batches:
-        out = []
+        out = further(pdf) if further else []
         for tab, row_id, run, text in zip(pdf["tab"], pdf["row_id"], pdf["run"], pdf["text"]):
             if text is None or text != text:
                 continue
@@ -119,9 +120,10 @@ def find_truncated(values: DataFrame, seen: DataFrame | None = None) -> DataFram
     return seen.where("kind = 'cut'").select("tab", "row_id").unionByName(found.select("tab", "row_id")).distinct()
 
 
-def scanned(values: DataFrame) -> DataFrame:
-    """The Arrow pass over all texts, kept so that it runs once."""
-    return cut(values.select("tab", "row_id", "run", "text").mapInPandas(scan, _SCHEMA))
+def scanned(values: DataFrame, further: Callable[[pd.DataFrame], list[tuple]] | None = None) -> DataFrame:
+    """The Arrow pass over all texts, kept so that it runs once; `further` may add rows of the same columns from each batch."""
+    columns = values if further else values.select("tab", "row_id", "run", "text")
+    return cut(columns.mapInPandas(partial(scan, further=further), _SCHEMA))
 
 
 def field_limits(seen: DataFrame) -> DataFrame:
