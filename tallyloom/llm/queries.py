@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import table
-from . import encoding, overlap, pairs, truncation
+from . import encoding, mixing, overlap, packing, pairs, sampling, truncation
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +50,79 @@ def p2_defect_counts(spark: SparkSession, d: str) -> DataFrame:
     return p2_found(spark, d).groupBy("tab", "defect").agg(F.count("*").alias("n_rows"))
 
 
+#: Tables that a sample plan may name: their record id and the field that cross-classifies their categories.
+_PLAN_TABLES = {"vsi_annotation": ("id", "dataset"), "training_example": ("problem_id", "data_source")}
+
+
+def _plans(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, DataFrame]]:
+    """(plan, sample, report) of every row of sample_plan, a fixed small table."""
+    targets: dict[str, dict[str, float]] = {}
+    for r in table(spark, d, "sample_target").where("category is not null").collect():
+        targets.setdefault(r.plan_name, {})[r.category] = r.target_share
+    out = []
+    for r in table(spark, d, "sample_plan").collect():
+        record_id, stratum = _PLAN_TABLES[r.tab]
+        records = table(spark, d, r.tab).select(F.col(record_id).alias("record_id"), F.col(r.field).alias("category"), F.col(stratum).alias("stratum"))
+        out.append((r.plan_name, *sampling.draw(records, targets.get(r.plan_name, {}), r.sample_pct, r.min_rows)))
+    return out
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def p4_sample(spark: SparkSession, d: str) -> DataFrame:
+    """The drawn records of every plan."""
+    return _union([s.select(F.lit(p).alias("plan_name"), "record_id", "category", "stratum") for p, s, _ in _plans(spark, d)])
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    return _union([r.select(F.lit(p).alias("plan_name"), "*") for p, _, r in _plans(spark, d)])
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_report(spark, d).where("falls_short").select("plan_name", "category")
+
+
+def _param(spark: SparkSession, d: str, name: str) -> int:
+    return table(spark, d, "job_param").where(F.col("param_name") == name).agg(F.max("setting")).first()[0]
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(table(spark, d, "documents"), _param(spark, d, "container_tokens"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d).where("n_parts > 1").select("doc_id").distinct()
+
+
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d), _param(spark, d, "container_tokens"))
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"), _param(spark, d, "mix_total_pct"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*_mixed(spark, d))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_shares(spark, d).where("falls_short").select("source")
+
+
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     vsi, temp, train = table(spark, d, "vsi_annotation"), table(spark, d, "tempcompass_annotation"), table(spark, d, "training_example")
 
