@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 from . import text
+from .binding import let
 
 #: The ten confidence levels of mean relative accuracy, as binary doubles of 0.5 + i * (0.45 / 9).
 LEVELS = [0.5 + i * ((0.95 - 0.5) / 9) for i in range(10)]
@@ -38,18 +39,17 @@ def choice_match(pred: Column, truth: Column) -> Column:
 
 def signed_error(pred: Column, truth: Column) -> Column:
     """|p - t| / t with the sign of t; null at t = 0."""
-    return F.try_divide(F.abs(pred - truth), truth)
+    return let(F.struct(pred.alias("p"), truth.alias("t")), lambda s: F.try_divide(F.abs(s["p"] - s["t"]), s["t"]))
 
 
 def absolute_error(pred: Column, truth: Column) -> Column:
     """|(p - t) / t|, or |p| at t = 0."""
-    return F.when(truth == 0, F.abs(pred - truth)).otherwise(F.abs(F.try_divide(pred - truth, truth)))
+    return let(F.struct(pred.alias("p"), truth.alias("t")), lambda s: F.when(s["t"] == 0, F.abs(s["p"])).otherwise(F.abs(F.try_divide(s["p"] - s["t"], s["t"]))))
 
 
 def relative_accuracy(error: Column) -> Column:
     """The share of the confidence levels c with error <= 1 - c."""
-    hits = reduce(lambda a, b: a + b, ((error <= F.lit(1 - c)).cast("int") for c in LEVELS))
-    return hits.cast("double") / F.lit(10.0)
+    return let(error, lambda e: reduce(lambda a, b: a + b, ((e <= F.lit(1 - c)).cast("int") for c in LEVELS)).cast("double") / F.lit(10.0))
 
 
 def choice_task_score(pred: Column, truth: Column) -> Column:
@@ -79,9 +79,12 @@ def view_change_score(pred: Column, truth: Column) -> Column:
         part = lambda k: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0.0))
         return part(a) - part(b)
 
-    p, t = text.parse_instruction(pred), text.parse_instruction(truth)
-    each = [relative_accuracy(absolute_error(axis(t, a, b), axis(p, a, b))) for a, b in AXES]
-    return F.coalesce(F.when(p.isNotNull() & t.isNotNull(), reduce(lambda a, b: a + b, each) / F.lit(5.0)), F.lit(ZERO))
+    def mean(s: Column) -> Column:
+        each = [relative_accuracy(absolute_error(axis(s["t"], a, b), axis(s["p"], a, b))) for a, b in AXES]
+        return F.when(s["p"].isNotNull() & s["t"].isNotNull(), reduce(lambda a, b: a + b, each) / F.lit(5.0))
+
+    both = F.struct(text.parse_instruction(pred).alias("p"), text.parse_instruction(truth).alias("t"))
+    return F.coalesce(let(both, mean), F.lit(ZERO))
 
 
 def camera_distance(pred: Column, truth: Column) -> Column:
@@ -137,10 +140,33 @@ def ngram_f1(reference: Column, hypothesis: Column, n: int) -> Column:
 
 def regression_score(pred: Column, truth: Column) -> Column:
     """1 less the clamped relative difference, 0 for anything that is no number."""
-    p, t = text.normalized_number(pred), text.normalized_number(truth)
-    return F.coalesce(1 - clamp01((F.abs(p - t) + F.lit(1e-9)) / (F.abs(t) + F.lit(1e-9))), F.lit(ZERO))
+    both = F.struct(text.normalized_number(pred).alias("p"), text.normalized_number(truth).alias("t"))
+    return F.coalesce(let(both, lambda s: 1 - clamp01((F.abs(s["p"] - s["t"]) + F.lit(1e-9)) / (F.abs(s["t"]) + F.lit(1e-9)))), F.lit(ZERO))
 
 
 def format_score(c: Column) -> Column:
     """1 if the whole text is one think block followed by one answer block."""
     return c.rlike(r"(?s)\A<think>.*?</think>\s*<answer>.*?</answer>\z").cast("double")
+
+
+def longest_common_f1(reference: Column, hypothesis: Column) -> Column:
+    """F1 of the longest common subsequence of words, lower case without marks: the same fold with its row of lengths."""
+    norm = lambda c: F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
+    r, h = norm(reference), norm(hypothesis)
+    zipped = F.transform(h, lambda x, j: F.struct(x.alias("x"), j.alias("j")))
+    first = F.array_repeat(F.lit(0), F.size(h) + 1)
+
+    def step(row: Column, w: Column) -> Column:
+        def cell(acc: Column, z: Column) -> Column:
+            return F.array_append(acc, F.when(z["x"] == w, F.get(row, z["j"]) + 1).otherwise(F.greatest(F.get(row, z["j"] + 1), F.element_at(acc, -1))).cast("int"))
+
+        return F.aggregate(zipped, F.array(F.lit(0)), cell)
+
+    common = F.element_at(F.aggregate(r, first, step), -1).cast("double")
+    p, q = F.try_divide(common, F.size(h)), F.try_divide(common, F.size(r))
+    return F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(ZERO))
+
+
+def mean_rouge(reference: Column, hypothesis: Column) -> Column:
+    """Mean F1 of single words, word pairs and the longest common subsequence, without stemming."""
+    return (ngram_f1(reference, hypothesis, 1) + ngram_f1(reference, hypothesis, 2) + longest_common_f1(reference, hypothesis)) / F.lit(3.0)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from .binding import let
+
 # Number words in the order in which they are looked for, with their digits.
 NUMBER_WORDS = [
     ("one", "1"), ("two", "2"), ("three", "3"), ("four", "4"), ("five", "5"), ("six", "6"), ("seven", "7"), ("eight", "8"), ("nine", "9"), ("ten", "10"),
@@ -58,24 +60,29 @@ def guarded_answer(c: Column, mode_ok: bool) -> Column:
 
 def number_word_or_digits(c: Column) -> Column:
     """The first listed number word found as a word, else the first unsigned number, else "None"."""
-    low = strip(F.lower(c))
-    out = None
-    for word, digits in NUMBER_WORDS:
-        hit = low.rlike(rf"\b{word}\b")
-        out = F.when(hit, digits) if out is None else out.when(hit, digits)
-    found = F.regexp_extract(low, r"(\d+(?:\.\d+)?)", 1)
-    return out.when(found != "", found).when(c.isNotNull(), "None")
+    words = F.array(*(F.lit(w) for w, _ in NUMBER_WORDS))
+    digits = F.array(*(F.lit(d) for _, d in NUMBER_WORDS))
+    pattern = rf"\b({'|'.join(w for w, _ in NUMBER_WORDS)})\b"
+
+    def read(low: Column) -> Column:
+        first = F.array_min(F.transform(F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), lambda w: F.array_position(words, w)))
+        found = F.nullif(F.regexp_extract(low, r"(\d+(?:\.\d+)?)", 1), F.lit(""))
+        return F.coalesce(F.try_element_at(digits, first.cast("int")), found, F.when(low.isNotNull(), "None"))
+
+    return let(strip(F.lower(c)), read)
 
 
 def option_letter(c: Column) -> Column:
     """A leading A-D with at most a full stop, as the first word, else the stripped text."""
-    first = strip(F.get(F.split(c, " "), F.lit(0)))
-    return F.when(first.rlike(r"\A[A-D]\.?\z"), F.substring(first, 1, 1)).otherwise(strip(c))
+    def read(t: Column) -> Column:
+        return let(strip(F.substring_index(t, " ", 1)), lambda first: F.when(first.rlike(r"\A[A-D]\.?\z"), F.substring(first, 1, 1)).otherwise(strip(t)))
+
+    return let(c, read)
 
 
 def normalized_option(c: Column) -> Column:
     """An option letter by phrasing: (X), Ans='X', Answer: X, Option X, X is correct, trailing X. or X), upper-cased; null if none."""
-    return F.coalesce(*(F.nullif(F.upper(F.regexp_extract(c, f"(?im){p}", 1)), F.lit("")) for p in OPTION_PATTERNS))
+    return let(c, lambda t: F.coalesce(*(F.nullif(F.upper(F.regexp_extract(t, f"(?im){p}", 1)), F.lit("")) for p in OPTION_PATTERNS)))
 
 
 def normalized_or_stripped(c: Column) -> Column:
@@ -87,17 +94,19 @@ def first_letter(c: Column, letters: str = "ABCD") -> Column:
     s = strip(c)
     for p in ANSWER_PREFIXES if letters == "ABCD" else ANSWER_PREFIXES[:10]:
         s = F.replace(s, F.lit(p), F.lit(""))
-    words = F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))
-    found = F.regexp_extract(s, f"([{letters}])", 1)
-    return F.when((words > 10) & (found == ""), "").otherwise(found)
+    # beyond ten words without a letter the answer is "" as well, so the first letter found says it all
+    return F.regexp_extract(s, f"([{letters}])", 1)
 
 
 def number_in(c: Column, last: Column | bool) -> Column:
     """The last (or first) unsigned number not right after `^`; -1 for no last one, null for no first one."""
-    found = F.regexp_extract_all(c, F.lit(r"(?<!\^)\d+\.\d+|(?<!\^)\d+"), F.lit(0))
-    end = F.coalesce(F.try_element_at(found, F.lit(-1)), F.when(c.isNotNull(), "-1"))
     take = F.lit(last) if isinstance(last, bool) else last
-    return to_float(F.when(take, end).otherwise(F.try_element_at(found, F.lit(1))))
+
+    def read(found: Column) -> Column:
+        end = F.coalesce(F.try_element_at(found, F.lit(-1)), F.when(found.isNotNull(), "-1"))
+        return F.when(take, end).otherwise(F.try_element_at(found, F.lit(1)))
+
+    return let(F.regexp_extract_all(c, F.lit(r"(?<!\^)\d+\.\d+|(?<!\^)\d+"), F.lit(0)), read).try_cast("double")
 
 
 _FLOAT = r"\A\s*[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?\s*\z"
@@ -105,7 +114,7 @@ _FLOAT = r"\A\s*[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?|\.\d+(?:_\d+)*)(?:[eE][
 
 def to_float(c: Column) -> Column:
     """A number in plain, decimal or exponent notation, null for anything else."""
-    return F.when(c.rlike(_FLOAT), F.replace(strip(c), F.lit("_"), F.lit("")).try_cast("double"))
+    return let(c, lambda t: F.when(t.rlike(_FLOAT), F.replace(strip(t), F.lit("_"), F.lit("")).try_cast("double")))
 
 
 def normalized_number(c: Column) -> Column:
@@ -124,12 +133,15 @@ def first_token(c: Column) -> Column:
 
 def parse_instruction(c: Column) -> Column:
     """"k:v,k:v" as a map of doubles, the last of equal keys winning; null if any item is malformed."""
-    items = F.split(c, ",")
-    pairs = F.transform(items, lambda x: F.split(x, ":"))
-    good = F.forall(pairs, lambda p: (F.size(p) == 2) & to_float(F.get(p, F.lit(1))).isNotNull())
-    keys = F.transform(pairs, lambda p: F.get(p, F.lit(0)))
-    lasts = F.filter(F.transform(pairs, lambda p, i: F.struct(F.get(p, F.lit(0)).alias("k"), to_float(F.get(p, F.lit(1))).alias("v"), i.alias("i"))), lambda s: ~F.array_contains(F.slice(keys, s["i"] + 2, F.size(keys)), s["k"]))
-    return F.when(good, F.map_from_entries(F.transform(lasts, lambda s: F.struct(s["k"], s["v"]))))
+    def item(x: Column, i: Column) -> Column:
+        return let(F.split(x, ":"), lambda p: F.struct(F.get(p, F.lit(0)).alias("k"), F.when(F.size(p) == 2, to_float(F.get(p, F.lit(1)))).alias("v"), i.alias("i")))
+
+    def build(items: Column) -> Column:
+        last = F.filter(items, lambda s: ~F.exists(items, lambda o: (o["k"] == s["k"]) & (o["i"] > s["i"])))
+        good = F.forall(items, lambda s: s["v"].isNotNull())
+        return F.when(good, F.map_from_entries(F.transform(last, lambda s: F.struct(s["k"], s["v"]))))
+
+    return let(F.transform(F.split(c, ","), item), build)
 
 
 def coordinate_and_depth(c: Column) -> Column:

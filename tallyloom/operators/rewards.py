@@ -12,15 +12,14 @@ ZERO = 0.0
 
 
 def base_reward(problem_type: Column, completion: Column, solution: Column) -> Column:
-    """By type: multiple choice (equal after stripping), numerical (relative accuracy), OCR (1 - word errors), free-form (mean n-gram F1), regression; any failure and any other type 0."""
+    """By type: multiple choice (equal after stripping), numerical (relative accuracy), OCR (1 - word errors), free-form (mean of three n-gram F1s), regression; any failure and any other type 0."""
     said, truth = text.extract_answer(completion), text.extract_answer(solution)
     number = metrics.relative_accuracy(metrics.signed_error(text.to_float(text.number_word_or_digits(said)), text.to_float(truth)))
-    rouge = (metrics.ngram_f1(truth, said, 1) + metrics.ngram_f1(truth, said, 2)) / F.lit(2.0)
     out = (
         F.when(problem_type == "multiple choice", (text.strip(said) == text.strip(truth)).cast("double"))
         .when(problem_type == "numerical", number)
         .when(problem_type == "OCR", metrics.clamp01(1 - metrics.word_error_rate(truth, said)))
-        .when(problem_type == "free-form", metrics.clamp01(rouge))
+        .when(problem_type == "free-form", metrics.clamp01(metrics.mean_rouge(truth, said)))
         .when(problem_type == "regression", metrics.regression_score(said, truth))
     )
     return F.coalesce(out, F.lit(ZERO))

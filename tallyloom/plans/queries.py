@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import units_queries
+from . import reference_queries, units_queries
 
-_PARTS = [units_queries]
+_PARTS = [reference_queries, units_queries]
 
 
 def queries() -> dict:
