@@ -118,7 +118,8 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def clamp01(c: Column) -> Column:
-    return F.least(F.lit(ONE), F.greatest(F.lit(ZERO), c))
+    """Into [0, 1]; null stays null, which least and greatest would pass over."""
+    return let(c, lambda x: F.when(x < ZERO, ZERO).when(x > ONE, ONE).otherwise(x))
 
 
 def ngram_f1(reference: Column, hypothesis: Column, n: int) -> Column:

@@ -42,9 +42,9 @@ def map_guided(rows: DataFrame, maps: DataFrame, n: int = 10) -> DataFrame:
     A map-bearing text whose video has no map scores 0. Map dimensions hold one row per video.
     """
     keyed = rows.withColumn("video_id", text.file_stem(F.col("path"))).join(maps, "video_id", "left")
-    said = objectmap.parse(text.extract_map_text(F.col("completion")), F.col("object_list"))
-    score = objectmap.map_score(said, F.col("cognitive_map"), n)
-    return keyed.withColumn("reward", with_map_bonus(base_reward(F.col("problem_type"), F.col("completion"), F.col("solution")), F.col("problem_type"), F.col("completion"), score)).drop("cognitive_map", "object_list", "video_id")
+    keyed = keyed.withColumn("_said", objectmap.parse(text.extract_map_text(F.col("completion")), F.col("object_list")))
+    score = objectmap.map_score(F.col("_said"), F.col("cognitive_map"), n)
+    return keyed.withColumn("reward", with_map_bonus(base_reward(F.col("problem_type"), F.col("completion"), F.col("solution")), F.col("problem_type"), F.col("completion"), score)).drop("cognitive_map", "object_list", "video_id", "_said")
 
 
 #: Reward functions by name: (problem_type, completion, solution) -> column.

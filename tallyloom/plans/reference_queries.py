@@ -321,7 +321,7 @@ def rouge_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_VSI_SQL}, n AS (SELECT row_id, {q_float("replace(ground_truth, ',', '')")} AS t, {q_float("replace(" + q_guarded('predicted_answer') + ", ',', '')")} AS p FROM vsi)
-SELECT row_id, round(coalesce(1 - least(1.0::DOUBLE, greatest(0.0::DOUBLE, (abs(p - t) + 1e-9) / (abs(t) + 1e-9))), 0), 6) AS score FROM n""")
+SELECT row_id, round(CASE WHEN p IS NULL OR t IS NULL THEN 0 ELSE 1 - least(1.0::DOUBLE, (abs(p - t) + 1e-9) / (abs(t) + 1e-9)) END, 6) AS score FROM n""")
 def regression_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _vsi(spark, d)
     return rows.select("row_id", F.round(metrics.regression_score(text.guarded_answer(F.col("predicted_answer"), True), F.col("ground_truth")), 6).alias("score"))
@@ -359,7 +359,8 @@ def maps_in_answers(spark: SparkSession, d: str) -> DataFrame:
     """The object map each answer states, and the number of its points; parsing is tested against examples."""
     said = text.extract_map_text(F.col("predicted_answer"))
     rows = _vsi(spark, d).where(F.contains("predicted_answer", F.lit("</map>")))
-    m = objectmap.parse(said, F.array(*map(F.lit, _OBJECTS)))
+    rows = rows.withColumn("m", objectmap.parse(said, F.array(*map(F.lit, _OBJECTS))))
+    m = F.col("m")
     return rows.select("row_id", F.array_join(F.array_sort(F.map_keys(m)), ",").alias("objects"), F.aggregate(F.map_values(m), F.lit(0), lambda a, p: a + F.size(p)).alias("n_points"))
 
 
@@ -458,7 +459,7 @@ _TRUTH, _SAID = "coalesce(regexp_extract(s, '(?s)<answer>(.*?)</answer>', 1), ''
 WITH {_TRAIN}, c AS (SELECT problem_id, problem_type, solution AS s, problem_id % 3 AS k FROM tr WHERE solution IS NOT NULL AND problem_type IN ('multiple choice', 'numerical', 'regression')),
 x AS (SELECT *, CASE WHEN k = 0 THEN {q_strip(_TRUTH)} WHEN k = 1 THEN 'B' ELSE '2.5' END AS said0, {q_strip(_TRUTH)} AS truth FROM c), y AS (SELECT *, {q_strip('said0')} AS said FROM x),
 z AS (SELECT *, {q_float(q_number_word('said'))} AS p, {q_float('truth')} AS t, {q_float("replace(said, ',', '')")} AS pr, {q_float("replace(truth, ',', '')")} AS trr FROM y)
-SELECT problem_id, problem_type, round(coalesce(CASE problem_type WHEN 'multiple choice' THEN CAST(said = truth AS INT)::DOUBLE WHEN 'numerical' THEN {q_mra('abs(p - t) / nullif(t, 0)')} ELSE 1 - least(1.0::DOUBLE, greatest(0.0::DOUBLE, (abs(pr - trr) + 1e-9) / (abs(trr) + 1e-9))) END, 0), 6) AS accuracy,
+SELECT problem_id, problem_type, round(coalesce(CASE problem_type WHEN 'multiple choice' THEN CAST(said = truth AS INT)::DOUBLE WHEN 'numerical' THEN {q_mra('abs(p - t) / nullif(t, 0)')} WHEN 'regression' THEN CASE WHEN pr IS NOT NULL AND trr IS NOT NULL THEN 1 - least(1.0::DOUBLE, (abs(pr - trr) + 1e-9) / (abs(trr) + 1e-9)) END END, 0), 6) AS accuracy,
  CASE WHEN k = 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS format FROM z""")
 def training_rewards(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy and format rewards of completions made from the solutions."""
