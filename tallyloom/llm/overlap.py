@@ -1,8 +1,8 @@
 """Same or near-same records across splits: evaluation questions that also occur in training.
 
 Method: evaluation passages (the two halves of each normalised question) are sharded by video; per shard one
-Aho-Corasick automaton of them scans every training text of the shard's videos, after words that are one
-edit away from an evaluation word are read as that word. Matched intervals are merged into the coverage of
+Aho-Corasick automaton of them scans every training text of the shard's videos, after slips of
+the pen are read as the evaluation word nearest to them. Matched intervals are merged into the coverage of
 each evaluation record; a record that is covered whole, by a text that asks for nothing else, overlaps.
 
 Both sides are first reduced to distinct (video, normalised question), so copies are compared once; a video
@@ -45,14 +45,18 @@ _SQUARE = re.compile(r"\b(?:square|sq\.?)\s+(m|ft|cm|yd|meter|metre|feet|foot|ya
 _HALF_RANK = re.compile(r"\b(first|second)\s+half\b")
 
 
+def _singular(w: str) -> str:
+    return w[:-1] if len(w) > 3 and w[-1] == "s" and w[-2] != "s" else w
+
+
 def canonical(text: str | None) -> str:
-    """The content words of a question, in order, units under one name."""
+    """The content words of a question, in order, units under one name and plurals without their s."""
     if not text:
         return ""
     s = _OPTIONS.sub("", text).lower()
     s = _SQUARE.sub(lambda m: {"m": "sqm", "f": "sqft", "c": "sqcm", "y": "sqyd"}[m.group(1)[0].lower()], s)
     s = _HALF_RANK.sub(r"\1half", s)
-    return " ".join(_UNIT_OF.get(w, w) for w in _WORD.findall(s) if w not in _EMPTY)
+    return " ".join(_UNIT_OF.get(w) or _singular(w) for w in _WORD.findall(s) if w not in _EMPTY)
 
 
 def clip_key(path):
@@ -69,53 +73,48 @@ def clip_key(path):
     return F.when(s != "", s)
 
 
-def _deletes(w: str) -> set[str]:
-    return {w[:i] + w[i + 1 :] for i in range(len(w))}
-
-
-def _one_edit(a: str, b: str) -> bool:
-    """One deletion, insertion, substitution or swap of neighbours apart."""
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    if len(a) < len(b):
-        return a[i:] == b[i + 1 :]
-    return a[i + 1 :] == b[i + 1 :] or a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :]
+def _deletes(w: str, n: int = 1) -> set[str]:
+    out = {w[:i] + w[i + 1 :] for i in range(len(w))}
+    return out if n == 1 else out | {d for x in out for d in _deletes(x)}
 
 
-def _letters(w: str) -> str:
-    return "~" + "".join(sorted(w))
+def edits(a: str, b: str) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours between two words."""
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        older, before, row = before, row, [i]
+        for j, y in enumerate(b, 1):
+            best = min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, older[j - 2] + 1)
+            row.append(best)
+    return row[-1]
 
 
-def _moved(a: str, b: str) -> bool:
-    """The same letters, one of them moved by a place or two within the word."""
-    if len(a) != len(b) or len(a) < 5 or a[0] != b[0] or sorted(a) != sorted(b):
-        return False
-    differ = [i for i in range(len(a)) if a[i] != b[i]]
-    return not differ or differ[-1] - differ[0] <= 2
+class Speller:
+    """Reads a slip of the pen as the known word nearest to it: one edit away, two in words of LONG letters with the same first one.
 
+    A word too frequent beside the known one to be a slip is left as it is.
+    """
 
-class Speller:
-    """Reads a word one edit away from a known word as that word, unless it is too frequent to be a slip."""
+    LONG = 6
 
     def __init__(self, known: set[str], seen: Counter[str]) -> None:
         self.known, self.seen, self.index, self.memo = known, seen, {}, {}
         for w in known:
             if len(w) >= 4 and w[0] != "[" and not any(c.isdigit() for c in w):
-                for d in (w, *_deletes(w), _letters(w)):
+                for d in (w, *_deletes(w, 2 if len(w) >= self.LONG else 1)):
                     self.index.setdefault(d, []).append(w)
 
     def __call__(self, w: str) -> str:
         if w in self.known or len(w) < 3 or w[0] == "[" or any(c.isdigit() for c in w):
             return w
         if w not in self.memo:
-            near = sorted({k for d in (w, *_deletes(w), _letters(w)) for k in self.index.get(d, ()) if _one_edit(w, k) or _moved(w, k)})
-            near = [k for k in near if not (self.seen[w] >= 3 and self.seen[w] >= 0.2 * self.seen[k])]
-            self.memo[w] = near[0] if near else w
+            long = len(w) >= self.LONG
+            near = {k for d in (w, *_deletes(w, 2 if long else 1)) for k in self.index.get(d, ())}
+            ranked = sorted((e, k) for k in near if (e := edits(w, k)) <= (2 if long and k[0] == w[0] else 1))
+            ranked = [k for e, k in ranked if not (self.seen[w] >= 3 and self.seen[w] >= (0.2 if e == 1 else 0.05) * self.seen[k])]
+            self.memo[w] = ranked[0] if ranked else w
         return self.memo[w]
 
 

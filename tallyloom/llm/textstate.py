@@ -67,6 +67,14 @@ def is_item_list(tail: str) -> bool:
     return bool(_ITEMS.fullmatch(tail)) and not _GRAMMAR.search(tail)
 
 
+_OPEN_END = re.compile(r"\b(?:the|an|(?:in|on|at|of|by|with|for|to|from|near|under|beside|over|into|[^\W\d_]{2,}ing) a)$")
+
+
+def ends_on_article(tail: str) -> bool:
+    """The tail ends with an article, the letter `a` only where it can be none of the options."""
+    return bool(_OPEN_END.search(tail))
+
+
 def last_word(tail: str) -> str:
     words = _WORD.findall(tail.lower())
     return words[-1] if words else ""

@@ -28,6 +28,8 @@ from . import textstate as ts
 PREFIX = 8
 #: A short word seen so often inside sentences and (almost) never at an end cannot end a whole text.
 INNER_MIN, INNER_SHARE, INNER_LETTERS = 20, 0.002, 4
+#: A short word rarer than this share of the longer words it begins is taken for the beginning of one.
+BEGUN_SHARE = 0.01
 #: A length is a field limit if it is the run's largest and so many long values have it.
 LIMIT_MIN, LIMIT_LONG = 5, 100
 FLUSH = 200_000
@@ -56,9 +58,9 @@ def scan(batches: Iterator[pd.DataFrame], further: Callable[[pd.DataFrame], list
                 lengths[tab, run, len(text)] += 1
             if row_id is None or row_id != row_id:
                 continue
-            if ts.structurally_cut(text):
+            if ts.structurally_cut(text) or (tail := ts.open_tail(text)) and ts.ends_on_article(tail):
                 out.append(("cut", tab, row_id, run, None, None, 0, 0))
-            elif (tail := ts.open_tail(text)) and not ts.is_quantity(tail):
+            elif tail and not ts.is_quantity(tail):
                 out.append(("tail", tab, row_id, run, ts.skeleton(tail), ts.last_word(tail), len(text), int(ts.is_item_list(tail))))
         if out:
             yield pd.DataFrame(out, columns=["kind", "tab", "row_id", "run", "s", "w", "a", "b"])
@@ -104,10 +106,10 @@ def find_truncated(values: DataFrame, seen: DataFrame | None = None) -> DataFram
         .withColumn("bucket", F.xxhash64(F.substring("s", 1, PREFIX)))
     )
     swept = both.repartition("bucket").sortWithinPartitions("bucket", "s").select("s", "n", "t").mapInPandas(sweep, "s string, n_term bigint, n_cont bigint")
-    # a last word that is unknown as a whole word, but begins one
-    unknown = distinct.select("w").where("length(w) >= 2").distinct().join(words.select("w"), "w", "left_anti")
-    begun = words.where("length(w) > 2").select(F.explode(F.expr("transform(sequence(2, length(w) - 1), i -> substring(w, 1, i))")).alias("w")).distinct()
-    broken = unknown.join(begun, "w", "left_semi").withColumn("broken", F.lit(True))
+    # a last word that is unknown as a whole word, or far rarer than the words that it begins
+    begun = words.where("length(w) > 2").select(F.explode(F.expr("transform(sequence(2, length(w) - 1), i -> substring(w, 1, i))")).alias("w"), "n")
+    begun = begun.join(distinct.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.sum("n").alias("n_longer"))
+    broken = begun.join(words.select("w", "n"), "w", "left").where(f"n is null or length(w) <= {INNER_LETTERS} and n < {BEGUN_SHARE} * n_longer").select("w", F.lit(True).alias("broken"))
     inner = words.where(f"n >= {INNER_MIN} and length(w) <= {INNER_LETTERS} and n_end <= {INNER_SHARE} * n").select("w", F.lit(True).alias("inner"))
     verdict = (
         distinct.join(swept, "s", "left").join(broken, "w", "left").join(inner, "w", "left")
