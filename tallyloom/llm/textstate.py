@@ -20,9 +20,9 @@ _TERMINAL = re.compile(r"[.!?…。！？।][\"”’'»)\]*]*$")
 _PARTIAL = re.compile(r"(?:�+|&#?[a-zA-Z0-9]{0,8}|\\u?[0-9a-fA-F]{0,4}|</?\w*)$")
 _MARKS = ".!?…。！？।\"”’'»)]* \t"
 _BLOCKS = ("think", "answer", "map")
-_QUANTITY = re.compile(
-    r"(?:[\d½¼¾][\d.,/e+]*|\b(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|half|quarter|quarters))"
-    r"[\s-]*[^\s\d]{0,12}(?:[\s.]+[^\s\d]{1,10}){0,2}$", re.I)
+_NUMBER = r"(?:[-+~≈]?\d[\d.,/e+]*(?:\s\d+/\d+|\s?[½¼¾])?|[½¼¾]|(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|half)(?:\s+and\s+(?:a\s+)?(?:half|(?:three\s+)?quarters?))?)"
+_AMOUNT = rf"{_NUMBER}(?:[\s-]*[^\s\d]{{1,14}}(?:[\s.]+[^\s\d]{{1,12}})?)?"
+_QUANTITY = re.compile(rf"(?:(?:the|my|final|best|correct|answer|estimate|is|it|about|approx\.?|roughly|around|i|count|there|are|so|hence|:)\s+|[~≈]\s*)*{_AMOUNT}(?:[\s,]*(?:and\s+)?{_AMOUNT})?", re.I)
 _ITEM = r"[^\W\d_]+(?:[ -][^\W\d_]+){0,2}"
 _ITEMS = re.compile(rf"{_ITEM}(?:, {_ITEM})*")
 _GRAMMAR = re.compile(r"\b(?:the|is|are|a|an|of|in|on|to|that|it|i)\b", re.I)
@@ -58,8 +58,8 @@ def open_tail(text: str) -> str:
 
 
 def is_quantity(tail: str) -> bool:
-    """The tail ends with a number and at most a unit after it."""
-    return bool(_QUANTITY.search(tail[-40:]))
+    """Nothing but a number with at most a unit of two words, maybe two such, after words like `the answer is`."""
+    return len(tail) <= 60 and bool(_QUANTITY.fullmatch(tail))
 
 
 def is_item_list(tail: str) -> bool:
