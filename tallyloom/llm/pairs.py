@@ -36,7 +36,7 @@ _MEDIA = r"(?:this|these|the|that|those|any|your|such|provided|given)?\s*(?:prov
 REFUSALS = {
     "en": rf"(?:can't|cannot|can not|can’t|could not|couldn't|unable to|not able to|won't be able to|will not be able to|refuse to|decline to|must decline|not allowed to|not permitted to)\s+(?:really |reliably |possibly |even )?(?:answer|determine|help|assist|provide|say anything|give (?:an|you|any)|tell|respond|comment|discuss|identify|process|access|(?:view|watch|open|see|load|play|analy[sz]e|inspect|interpret|look at|make sense of|evaluate|review)\s+(?:{_MEDIA}))"
     r"|not enough information|insufficient information|lack the ability|no means of|was not given|wasn't given|were not given|(?:do not|don't|did not|didn't) (?:see (?:the|this|these|any)|have (?:access|the ability|enough))|no access to|outside of what i|inappropriate for me|would mean guessing|pass on this one|not choose an option|could not be loaded|couldn't be loaded|cannot be analy[sz]ed|can't be analy[sz]ed|as an? (?:ai |large )?language model|only a text assistant|lets me answer this|against my (?:guidelines|policy)|request (?:is |was )?(?:refused|declined|denied)|(?:does not|doesn't|do not|don't|won't) (?:allow|permit|let) me|(?:would|'d) rather not|prefer not to (?:answer|say|guess)|not possible (?:for me )?to (?:answer|say|tell|determine|judge|give|help|view|see)|(?:goes|is|are|lies) beyond (?:what i|my)|upload (?:the|your|this) (?:file|video|clip|image|images|footage|recording)|(?:failed to|did not|didn't|would not|wouldn't|does not|do not|don't|could not|couldn't) (?:load|open|play|arrive)|without (?:seeing|access|watching)|nothing to (?:look at|go on)|i must refuse|i (?:respectfully )?decline|i refuse",
-    "de": r"(?:kann|könnte|darf|möchte|werde)\b[^.]{0,60}\b(?:nicht|keine|kein)\b[^.]{0,40}(?:beantworten|sehen|öffnen|helfen|auskunft|geben|sagen|ansehen|antwort|bestimmen|erkennen)|leider nicht (?:beantworten|möglich)|tut mir leid|keine auskunft|nicht genügend informationen|nicht beantworten|als sprachmodell",
+    "de": r"(?:kann|könnte|darf|möchte|werde)\b[^.]{0,60}\b(?:nicht|keine|kein)\b[^.]{0,40}(?:beantworten|sehen|öffnen|helfen|auskunft|geben|sagen|ansehen|antwort|bestimmen|erkennen)|kein(?:en)? zugriff|leider nicht (?:beantworten|möglich)|tut mir leid|keine auskunft|nicht genügend informationen|nicht beantworten|als sprachmodell",
     "fr": r"je ne (?:peux|puis|suis) pas|je ne saurais|désolé|impossible (?:pour moi|de répondre)|je n'ai pas accès|pas en mesure|en tant que modèle",
     "es": r"no puedo|lo siento|no me es posible|no tengo acceso|no soy capaz|como modelo de lenguaje|no es posible responder",
     "it": r"non posso|mi dispiace|non sono in grado|non ho accesso|non riesco a|impossibile rispondere",

@@ -83,6 +83,11 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return _union([r.select(F.lit(p).alias("plan_name"), "*") for p, _, r in _plans(spark, d)])
 
 
+def p4_shortfalls(spark: SparkSession, d: str) -> DataFrame:
+    """What the report says of each category before the draw."""
+    return p4_report(spark, d).select("plan_name", "category", "target_share", "sample_size", "available", "falls_short")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_report(spark, d).where("falls_short").select("plan_name", "category")
 
@@ -159,5 +164,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
 
+_SPELLED = "nullif(regexp_replace(regexp_replace(lower(trim({})), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g'), '')"
+_RECORDS = (
+    f"r AS (SELECT 'vsi_annotation' AS tab, id AS k, min({_SPELLED.format('question_type')}) AS c FROM vsi_annotation WHERE id IS NOT NULL GROUP BY id"
+    f" UNION ALL SELECT 'training_example', problem_id, min({_SPELLED.format('data_type')}) FROM training_example WHERE problem_id IS NOT NULL GROUP BY problem_id),"
+    " p AS (SELECT s.plan_name, s.tab, s.min_rows, count(*) * any_value(s.sample_pct) // 100 AS n FROM sample_plan s JOIN r USING (tab) GROUP BY ALL),"
+    " f AS (SELECT t.plan_name, t.category, t.target_share, p.n, p.min_rows, (SELECT count(*) FROM r WHERE r.tab = p.tab AND r.c = t.category) AS available FROM sample_target t JOIN p USING (plan_name))"
+)
+_SHORT = "available < target_share * n - 1e-9 OR available < min_rows"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of what needs no tokenizer, model or random draw; the rest is tested against brute force and round trips."""
+    return {
+        "p4_found": f"WITH {_RECORDS} SELECT plan_name, category FROM f WHERE {_SHORT}",
+        "p4_shortfalls": f"WITH {_RECORDS} SELECT plan_name, category, target_share, n AS sample_size, available, ({_SHORT}) AS falls_short FROM f",
+    }

@@ -19,6 +19,7 @@ _SPLIT = re.compile(r"(?<=[.!?…。！？])[\"”’')\]]*\s+|</?[a-zA-Z]\w*>\s
 _TERMINAL = re.compile(r"[.!?…。！？।][\"”’'»)\]*]*$")
 _PARTIAL = re.compile(r"(?:�+|&#?[a-zA-Z0-9]{0,8}|\\u?[0-9a-fA-F]{0,4}|</?\w*)$")
 _MARKS = ".!?…。！？।\"”’'»)]* \t"
+_ENTITIES = ("amp", "lt", "gt", "quot", "apos", "nbsp", "ndash", "mdash", "hellip", "lsquo", "rsquo", "ldquo", "rdquo")
 _BLOCKS = ("think", "answer", "map")
 _NUMBER = r"(?:[-+~≈]?\d[\d.,/e+]*(?:\s\d+/\d+|\s?[½¼¾])?|[½¼¾]|(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|half)(?:\s+and\s+(?:a\s+)?(?:half|(?:three\s+)?quarters?))?)"
 _AMOUNT = rf"{_NUMBER}(?:[\s-]*[^\s\d]{{1,14}}(?:[\s.]+[^\s\d]{{1,12}})?)?"
@@ -34,7 +35,7 @@ def structurally_cut(text: str) -> bool:
     tail = end[-12:]
     if ("�" in tail or "&" in tail or "\\" in tail or "<" in tail) and (m := _PARTIAL.search(tail)):
         hit = m.group()
-        if hit[0] != "&" or len(hit) > 1 and end[-len(hit) - 1 : -len(hit)] != " ":
+        if hit[0] != "&" or len(hit) > 1 and (hit[1] == "#" or any(e.startswith(hit[1:].lower()) for e in _ENTITIES)):
             return True
     if end and end[-1] in ",;:([{–—“":
         return len(end) > 12

@@ -1,0 +1,106 @@
+import random
+
+import pandas as pd
+import pytest
+
+from tallyloom.llm import encoding, overlap
+
+
+@pytest.mark.parametrize(
+    "path,key",
+    [("train/video/hall_0000010_00_480p.MP4 ", "hall_0000010_00"), ("media\\video\\Hall_0000010_00.avi", "hall_0000010_00"), ("/store/SR/HALL%5F0000010%5F00.mkv?t=3", "hall_0000010_00"), ("clip00300104", "clip_00300104"), ("./x//CLIP00300104.PNG", "clip_00300104"), ("", None), ("///", None), (None, None)],
+)
+def test_clip_key(spark, path, key):
+    assert spark.createDataFrame([(path,)], "p string").select(overlap.clip_key(overlap.F.col("p")).alias("k")).first().k == key
+
+
+def test_edits_against_brute_force():
+    rng = random.Random(1)
+    for _ in range(300):
+        w = "".join(rng.choice("abcd") for _ in range(rng.randint(3, 7)))
+        i = rng.randrange(len(w) - 1)
+        swapped, dropped, changed = w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + w[i + 1 :], w[:i] + "z" + w[i + 1 :]
+        assert overlap.edits(w, swapped) <= 1 and overlap.edits(w, dropped) == 1 and overlap.edits(w, changed) == 1
+    assert overlap.edits("", "abc") == 3 and overlap.edits("lamp", "piano") > 2
+
+
+QS = ["How many {} are there in this room?", "What is the distance between the {} and the {} in meters?", "Which of these objects ({}, {}, {}) is closest to the {}?", "Does a {} start before or after the {}?"]
+THINGS = ["lamp", "sofa", "wardrobe", "television", "microwave", "bicycle", "curtain", "kettle"]
+
+
+def ask(rng):
+    q = rng.choice(QS)
+    return q.format(*rng.sample(THINGS, q.count("{}")))
+
+
+def slip(q, rng):
+    words = q.split(" ")
+    long = [i for i, w in enumerate(words) if len(w) > 5 and w.isalpha()]
+    if long:
+        i = rng.choice(long)
+        w = words[i]
+        at = rng.randrange(1, len(w) - 2)
+        words[i] = w[:at] + w[at + 1] + w[at] + w[at + 2 :]
+    return " ".join(words)
+
+
+def test_overlaps_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "SHARD_TEXTS", 40)  # the hot video is split
+    rng = random.Random(4)
+    clips = ["hot_001_00"] * 6 + [f"hall_{i:03d}_00" for i in range(6)]
+    evals = [("e", i, rng.choice(clips), ask(rng)) for i in range(120)]
+    forms = [lambda q: q, lambda q: f"Question: {q.lower()}", lambda q: q.replace("?", ", please?"), lambda q: slip(q, rng), lambda q: q + "\nOptions:\nA. 1\nB. 2", lambda q: q.replace("in meters", "(m)")]
+    train, truth = [], set()
+    for i in range(400):
+        clip, q = rng.choice(clips), ask(rng)
+        if rng.random() < 0.5:
+            _, _, clip, q = rng.choice(evals)
+        train.append((i, f"train/x/{clip.upper()}_480p.mp4", rng.choice(forms)(q), "src"))
+        truth |= {(t, e, i) for t, e, c, text in evals if c == clip and text == q}
+    E = spark.createDataFrame([(*r, 0) for r in evals + [("e", 900, None, "x y"), ("e", 901, "hot_001_00", None), ("e", None, "hot_001_00", evals[0][3]), evals[0]]], "tab string, eval_id bigint, clip string, text string, n int")
+    T = spark.createDataFrame([(*r, 0) for r in train + [(9000, None, "x", "s"), (9001, "hot_001_00.mp4", None, "s"), (9002, "hot_001_00.mp4", "", None), (9003, "hot_001_00.mp4", "lamp " * 30_000, "s"), train[0]]], "problem_id bigint, clip string, text string, data_source string, n int")
+    got = {(r.tab, r.eval_id, r.problem_id) for r in overlap.find_overlaps(E, T).collect()}
+    assert got == truth and len(truth) > 100
+    assert overlap.find_overlaps(E.limit(0), T).count() == 0 == overlap.find_overlaps(E, T.limit(0)).count()
+
+
+def test_other_objects_numbers_and_directions_are_other_questions():
+    left = pd.DataFrame([("v", overlap.canonical(q)) for q in ("How tall is the stool in feet?", "Turn left at frame 12", "What happens at the start of the video?")], columns=["clip", "text"])
+    right = pd.DataFrame([("v", overlap.canonical(q)) for q in ("How tall is the stove in feet?", "Turn right at frame 12", "Turn left at frame 13", "What happens at the end of the video?", "How tall is the stool in cm?")], columns=["clip", "text"])
+    assert not len(overlap.match_shard((0, 0), left, right))
+
+
+WORDS = "lámpara está detrás señala sillón próximo größer Tür Küche für weiße façade naïve à côté fenêtre déjà São três coração łóżko źle część лампа стоит рядом окном камера 机の上にランプ 椅子は動かされました 24 m² ±90° “keep” – • € £20 ★★☆ 🙂 É Ä Ø".split(" ")
+
+
+def test_undo_is_the_inverse_of_garbling():
+    rng, n = random.Random(5), 0
+    for _ in range(400):
+        chain, w = rng.choice(encoding.CHAINS), rng.choice(WORDS)
+        g = encoding.garble(w, chain)
+        if g and "�" not in g and g != w:
+            n += 1
+            assert encoding.undo(g, chain) == w, (chain, w, g)
+    assert n > 80
+
+
+def test_find_garbled(spark):
+    rng = random.Random(6)
+    vocab = [w for w in WORDS if w]
+    say = lambda: " ".join(rng.choice(vocab if rng.random() < 0.4 else ["the", "lamp", "stands", "here"]) for _ in range(25))
+    clean = [(i, say()) for i in range(1200)]
+    chains = [("cp1252", "utf_8", 1), ("cp1252", "utf_8", 2), ("cp437", "utf_8", 1), ("cp1251", "utf_8", 1), ("mac_roman", "utf_8", 1)]
+    bad = []
+    for i in range(60):
+        t = say()
+        half = t.split(" ")
+        g = encoding.garble(" ".join(half[10:]), chains[i % len(chains)])
+        bad.append((5000 + i, " ".join(half[:10]) + " " + g, t))
+    rows = clean + [(i, g) for i, g, _ in bad] + [(9000, None), (9001, ""), (9002, "plain ASCII & more"), (9003, "a lost � sign"), (5000, bad[0][1]), (9004, "naïve lamp " * 20_000)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, gain string")
+    got = {r.doc_id: r for r in encoding.find_garbled(df).collect()}
+    assert set(got) - {i for i, _, _ in bad} == {9003}
+    assert len(set(got)) >= 59 and got[9003].lost and got[9003].restored is None
+    right = sum(i in got and got[i].restored == t for i, _, t in bad)
+    assert right >= 50, right
+    assert encoding.find_garbled(df.limit(0)).count() == 0

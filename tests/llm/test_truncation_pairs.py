@@ -1,0 +1,99 @@
+import random
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tallyloom.llm import pairs, textstate as ts, truncation
+
+SENTENCES = ["The {} is placed against the wall.", "Looking at the {}, the view stops in front of the door.", "I count {} of them in the room.", "The answer is {}."]
+NAMES = ["lamp", "wardrobe", "mirror", "television", "piano", "cushion"]
+
+
+def corpus(rng, n=400):
+    return [" ".join(rng.choice(SENTENCES).format(rng.choice(NAMES)) for _ in range(rng.randint(1, 4))) for _ in range(n)]
+
+
+@pytest.mark.parametrize(
+    "s,cut",
+    [("<think>a", True), ("<think>a</think><answer>B", True), ("<think>a</think>\n<answ", True), ("x &am", True), ("x \\u20", True), ("caf�", True), ("first there is the lamp,", True), ("<think>a</think><answer>B</answer>", False), ("B", False), ("A & B", False), ("5 < 6", False), ("", False), ("R&D is fine.", False)],
+)
+def test_structure(s, cut):
+    assert ts.structurally_cut(s) is cut
+
+
+@pytest.mark.parametrize("s,yes", [("two and a half m", True), ("The answer is 14′ 10″", True), ("the option that", False), ("from the two ear", False), ("8 ft 1 in", True), ("I can see seven cha", False)])
+def test_quantity(s, yes):
+    assert ts.is_quantity(s) is yes
+
+
+def test_sweep_against_brute_force():
+    rng = random.Random(1)
+    words = sorted({"".join(rng.choice("ab ") for _ in range(rng.randint(1, 7))) for _ in range(120)})
+    rows = [(w, rng.randint(0, 3), rng.randint(0, 2)) for w in words]
+    frames = [pd.DataFrame(rows[i : i + 9], columns=["s", "n", "t"]) for i in range(0, len(rows), 9)]
+    got = {(s): (a, b) for f in truncation.sweep(iter(frames)) for s, a, b in f.itertuples(index=False)}
+    assert got == {s: (n, sum(m + u for x, m, u in rows if x != s and x.startswith(s))) for s, n, t in rows if t}
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "extra") for r in rows], "tab string, row_id bigint, run string, text string, s string")
+
+
+def test_cut_values_are_found_and_whole_ones_not(spark):
+    rng = random.Random(2)
+    whole = corpus(rng)
+    rows = [("t", i, "r", w) for i, w in enumerate(whole)]
+    rows += [("t", 1000 + i, "r", w.rstrip(".")) for i, w in enumerate(["The answer is lamp.", "I count six of them in the room.", "B", "12 cm", "mirror, lamp"])]
+    cut = ["The piano is placed aga", "Looking at the mirror, the view stops in front of the", "The wardrobe is placed against the wall. Looking at the telev", "<think>The lamp", "The lamp is placed against the wall. The mirr&am"]
+    rows += [("t", 2000 + i, "r", w) for i, w in enumerate(cut)]
+    rows += [rows[-1], ("t", 3000, "r", None), ("t", 3001, "r", ""), ("t", None, "r", "The piano is placed aga"), ("t", 3002, None, "The answer is lamp. " * 30_000)]
+    found = truncation.find_truncated(frame(spark, rows)).collect()
+    assert sorted(r.row_id for r in found) == [2000, 2001, 2002, 2003, 2004]
+    assert truncation.find_truncated(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_field_limit_shows_and_rates_add_up(spark):
+    long = "The lamp is placed against the wall. " * 10
+    rows = [("t", i, "cutter", (long + NAMES[i % 6] + " stands there and more")[: 120 if i < 8 else 110 + i]) for i in range(8)] + [("t", 50 + i, "fine", long.strip()[: 37 * 4 - 1]) for i in range(3)]
+    rows += [("t", 100 + i, "cutter", long[: 37 * 3 - 1]) for i in range(2)]
+    got = {r.run_name: r for r in truncation.truncation_rates(frame(spark, rows)).collect()}
+    assert got["cutter"].field_limit == 120 and got["cutter"].n_cut == 8 and got["cutter"].n_rows == 10
+    assert got["fine"].n_cut == 0 and got["fine"].cut_share == 0.0
+
+
+Q = "How many lamps are there in this room?"
+
+
+@pytest.mark.parametrize(
+    "text,defect",
+    [
+        (None, "empty"), ("", "empty"), ("​", "empty"), ("\xa0\n", "empty"), ("<think></think><answer></answer>", "empty"), ("[no response]", "empty"), ("N/A", "empty"),
+        ("I cannot determine the answer from the video provided.", "refusal"), ("Das kann ich leider nicht beantworten.", "refusal"), ("无法回答这个问题。", "refusal"), ("<think>dark</think>I cannot answer this", "refusal"),
+        (Q, "copy"), ("Question: how many lamps are there in this room", "copy"), (f"{Q} {Q}", "copy"), (f"{Q}\nOptions:\nA. 1\nB. 2", "copy"),
+        ("Die richtige Antwort ist B.", "language"), ("房间里一共有2个。", "language"), ("Je compte 2 objets dans cette pièce", "language"),
+        (f"{Q} There are 4.", None), ("I can't see every corner, but B is the only option that fits.", None), ("The label says “Öppna dörren”, hence C.", None), ("4", None), ("b", None), ("Unable to find a better match than C.", None),
+    ],
+)
+def test_labels(text, defect):
+    pdf = pd.DataFrame([("t", 1, Q, None, text)], columns=["tab", "row_id", "question", "options", "text"])
+    got = pairs.label(pdf)
+    assert (got[0][5] if got else None) == defect
+
+
+def test_german_question_takes_german_answers():
+    assert not pairs.is_foreign("Wie viele Lampen sind in diesem Raum zu sehen?", "Es sind 4 zu sehen.")
+    assert pairs.is_foreign("Wie viele Lampen sind in diesem Raum zu sehen?", "There are four of them in the room.")
+
+
+def test_copy_costs_less_than_other_text():
+    assert pairs.copied_cost(Q, Q) < pairs.copied_cost(Q, "Something wholly different, about tables and doors")
+
+
+def test_pairs_have_one_defect_each(spark):
+    rows = [("t", 1, None, Q, ["A. 1", None], "I cannot answer this <think>"), ("t", 2, None, Q, None, None), ("t", 3, None, None, None, "4"), ("t", 3, None, None, None, "4"), ("t", None, None, Q, None, None), ("t", 4, "r", Q, None, "<think>The lamp"), ("t", 5, "r", None, None, "word " * 50_000 + "ends here."), ("u", 1, "r", Q, None, "Die richtige Antwort ist B, weil das <think>")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "tab string, row_id bigint, run string, question string, options array<string>, text string, w string")
+    got = {(r.tab, r.row_id): r.defect for r in pairs.find_defects(df).collect()}
+    assert got == {("t", 1): "refusal", ("t", 2): "empty", ("t", 4): "truncated", ("u", 1): "truncated"}
+    assert pairs.find_defects(df.limit(0)).count() == 0
+    assert pairs.find_defects(df.withColumn("row_id", F.lit(None).cast("bigint"))).count() == 0
