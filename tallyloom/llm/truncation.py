@@ -26,6 +26,8 @@ from . import textstate as ts
 
 #: A skeleton's bucket is chosen by this many leading characters.
 PREFIX = 8
+#: A bucket of more strings than HOT is split by so many leading characters into so many parts.
+HOT, LONG_PREFIX, PARTS = 500_000, 24, 64
 #: A short word seen so often inside sentences and (almost) never at an end cannot end a whole text.
 INNER_MIN, INNER_SHARE, INNER_LETTERS = 20, 0.002, 4
 #: A short word rarer than this share of the longer words it begins is taken for the beginning of one.
@@ -71,16 +73,17 @@ def scan(batches: Iterator[pd.DataFrame], further: Callable[[pd.DataFrame], list
 
 
 def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted (s, n, t) rows, t marking tails: the tails with how often closed alike (n_term) and extended (n_cont)."""
+    """Sorted (s, n, t, tail) rows: for each tail how often it is closed alike (n_term) and how often extended (n_cont)."""
     stack: list[list] = []
     for pdf in batches:
         done = []
-        for s, n, t in zip(pdf["s"], pdf["n"], pdf["t"]):
+        for s, n, t, tail in zip(pdf["s"], pdf["n"], pdf["t"], pdf["tail"]):
             while stack and not s.startswith(stack[-1][0]):
                 done.append(tuple(stack.pop()))
             for top in stack:
-                top[2] += n + t
-            if t:
+                if top[0] != s:
+                    top[2] += n + t
+            if tail:
                 stack.append([s, n, 0])
         if done:
             yield pd.DataFrame(done, columns=["s", "n_term", "n_cont"])
@@ -88,6 +91,25 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([tuple(x) for x in stack], columns=["s", "n_term", "n_cont"])
 
 
+def prefix_join(strings: DataFrame) -> DataFrame:
+    """(s, n_term, n_cont) of the tails among distinct (s, n, t), n the times it is closed and t the times it is a tail.
+
+    Strings meet in the bucket of their first PREFIX characters. A bucket of more than HOT strings is split by
+    LONG_PREFIX characters; its shorter tails go to every part, counted in one, and their finds are added up.
+    """
+    keyed = strings.withColumn("bucket", F.xxhash64(F.substring("s", 1, PREFIX))).withColumn("tail", F.col("t") > 0)
+    hot = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(f"size > {HOT}").select("bucket", F.lit(True).alias("hot"))
+    placed = keyed.join(hot, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    long = F.length("s") >= LONG_PREFIX
+    home = F.when(~F.col("hot"), 0).otherwise(F.pmod(F.xxhash64(F.substring("s", 1, LONG_PREFIX)), F.lit(PARTS))).cast("int")
+    everywhere = F.col("hot") & F.col("tail") & ~long
+    placed = placed.withColumn("home", home).withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(home))))
+    once = F.when(F.col("part") == F.col("home"), 1).otherwise(0)
+    rows = placed.select("bucket", "part", "s", (F.col("n") * once).alias("n"), (F.col("t") * once).alias("t"), "tail")
+    swept = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "s").select("s", "n", "t", "tail").mapInPandas(sweep, "s string, n_term bigint, n_cont bigint")
+    return swept.groupBy("s").agg(F.sum("n_term").alias("n_term"), F.sum("n_cont").alias("n_cont"))
+
+
 def find_truncated(values: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Rows (tab, row_id) of `values` (tab string, row_id bigint, run string, text string) whose text is cut.
 
@@ -103,9 +125,8 @@ def find_truncated(values: DataFrame, seen: DataFrame | None = None) -> DataFram
     both = (
         closed.unionByName(distinct.groupBy("s").agg(F.lit(0).cast("bigint").alias("n"), F.sum("t").alias("t")))
         .groupBy("s").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-        .withColumn("bucket", F.xxhash64(F.substring("s", 1, PREFIX)))
     )
-    swept = both.repartition("bucket").sortWithinPartitions("bucket", "s").select("s", "n", "t").mapInPandas(sweep, "s string, n_term bigint, n_cont bigint")
+    swept = prefix_join(both)
     # a last word that is unknown as a whole word, or far rarer than the words that it begins
     begun = words.where("length(w) > 2").select(F.explode(F.expr("transform(sequence(2, length(w) - 1), i -> substring(w, 1, i))")).alias("w"), "n")
     begun = begun.join(distinct.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.sum("n").alias("n_longer"))

@@ -31,11 +31,24 @@ def test_sweep_against_brute_force():
     rng = random.Random(1)
     words = sorted({"".join(rng.choice("ab ") for _ in range(rng.randint(1, 7))) for _ in range(120)})
     rows = [(w, rng.randint(0, 3), rng.randint(0, 2)) for w in words]
-    frames = [pd.DataFrame(rows[i : i + 9], columns=["s", "n", "t"]) for i in range(0, len(rows), 9)]
+    frames = [pd.DataFrame([(*r, r[2] > 0) for r in rows[i : i + 9]], columns=["s", "n", "t", "tail"]) for i in range(0, len(rows), 9)]
     got = {(s): (a, b) for f in truncation.sweep(iter(frames)) for s, a, b in f.itertuples(index=False)}
     assert got == {s: (n, sum(m + u for x, m, u in rows if x != s and x.startswith(s))) for s, n, t in rows if t}
 
 
+def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
+    rng = random.Random(3)
+    words = sorted({"the same beginning"[: rng.randint(3, 18)] + "".join(rng.choice("ab ") for _ in range(rng.randint(0, 12))) for _ in range(300)})
+    rows = [(w, rng.randint(0, 3), rng.randint(0, 2)) for w in words]
+    df = spark.createDataFrame(rows, "s string, n bigint, t bigint")
+    expected = {s: (n, sum(m + u for x, m, u in rows if x != s and x.startswith(s))) for s, n, t in rows if t}
+    cold = {s: (a, b) for s, (a, b) in expected.items() if len(s) >= truncation.PREFIX}
+    for hot in (10**9, 20):
+        monkeypatch.setattr(truncation, "HOT", hot)
+        got = {r.s: (r.n_term, r.n_cont) for r in truncation.prefix_join(df).collect()}
+        assert set(got) == set(expected) and {s: v for s, v in got.items() if len(s) >= truncation.PREFIX} == cold
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(*r, "extra") for r in rows], "tab string, row_id bigint, run string, text string, s string")
 
