@@ -699,3 +699,40 @@ def frame_samples(spark: SparkSession, d: str) -> DataFrame:
     s = frames.sampled_frames(F.col("total"), F.col("vf"), 32, 1)
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     return o.select("o_orderkey", s.alias("s")).select("o_orderkey", "s.n", "s.duration", joined(F.col("s.indices")).alias("indices"), joined(F.col("s.timestamps")).alias("stamps"), F.size(frames.padded_even(F.col("s.indices"))).cast("bigint").alias("padded"))
+
+
+# Keyed zips, pairs, retries --------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_GEN}, s AS (SELECT group_id, gen_idx, length % 5 AS solution FROM g WHERE gen_idx % 3 <> 0) SELECT g.group_id, g.gen_idx, g.acc, s.solution FROM g JOIN s USING (group_id, gen_idx)""")
+def keyed_zip(spark: SparkSession, d: str) -> DataFrame:
+    """Generations beside their solutions by key, where the reference pairs them by position."""
+    g = _generations(spark, d)
+    s = g.where("gen_idx % 3 <> 0").select("group_id", "gen_idx", (F.col("length") % 5).alias("solution"))
+    return g.join(s, ["group_id", "gen_idx"]).select("group_id", "gen_idx", "acc", "solution")
+
+
+@query("""WITH p AS (SELECT vec_id, unnest(range(0, 3)) AS r FROM embeddings), q AS (SELECT vec_id, unnest(range(0, 2)) AS s FROM embeddings)
+SELECT p.vec_id, p.r::INT AS r, q.s::INT AS s, round(sqrt(((p.r * 3 + p.vec_id) % 10 - (q.s * 7 + p.vec_id) % 10)::DOUBLE ** 2 + (p.r - q.s)::DOUBLE ** 2), 6) AS distance FROM p JOIN q USING (vec_id)""")
+def point_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate pairs of points within an object, from nested arrays without a join."""
+    v = F.col("vec_id")
+    ints = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    r = F.transform(ints(3), lambda i: F.array(((i * 3 + v) % 10).cast("int"), i.cast("int")))
+    s = F.transform(ints(2), lambda j: F.array(((j * 7 + v) % 10).cast("int"), j.cast("int")))
+    pairs = F.flatten(F.transform(r, lambda a, i: F.transform(s, lambda b, j: F.struct(i.alias("r"), j.alias("s"), F.round(objectmap.distance(a, b), 6).alias("distance")))))
+    return table(spark, d, "embeddings").select("vec_id", F.explode(pairs).alias("e")).select("vec_id", "e.r", "e.s", "e.distance")
+
+
+@query("""SELECT event_id, round(3.0::DOUBLE * 2.0::DOUBLE ** (event_id % 5) * (1 + (user_id % 10) / 100.0::DOUBLE), 6) AS delay, event_type AS query, 'gold' AS choice FROM events""")
+def retry_delays(spark: SparkSession, d: str) -> DataFrame:
+    """Back-off delays of retries, beside a single-choice prompt row."""
+    e = _events(spark, d)
+    return e.select("event_id", F.round(frames.backoff_delay(F.col("event_id") % 5, spread=(F.col("user_id") % 10) / F.lit(10.0)), 6).alias("delay"), F.col("event_type").alias("query"), F.get(F.array(F.lit("gold")), F.lit(0)).alias("choice"))
+
+
+@query(f"""WITH {_VSI_SQL} SELECT count(CASE WHEN task IN {_CHOICE} THEN 1 END) AS n_choice, count(CASE WHEN task IN {_NUMBER} THEN 1 END) AS n_number, round(avg(CASE WHEN task IN {_NUMBER} THEN video_duration END), 6) AS mean_duration, max(video_duration) AS longest FROM vsi""")
+def family_aggregates(spark: SparkSession, d: str) -> DataFrame:
+    """Aggregates of task families in one pass, by condition instead of by filter."""
+    t = F.col("task")
+    return _vsi(spark, d).agg(F.count(F.when(t.isin(reports.VSI_CHOICE), 1)).alias("n_choice"), F.count(F.when(t.isin(reports.VSI_NUMBER), 1)).alias("n_number"), F.round(F.avg(F.when(t.isin(reports.VSI_NUMBER), F.col("video_duration"))), 6).alias("mean_duration"), F.max("video_duration").alias("longest"))

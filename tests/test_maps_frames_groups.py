@@ -128,3 +128,17 @@ def test_map_guided_reward(spark):
     rows = [(1, "multiple choice", say('{"chair": [[1, 2]]}'), "<answer>B</answer>", "x/v1.mp4"), (2, "multiple choice", say("none"), "<answer>B</answer>", "x/v1.mp4"), (3, "multiple choice", say("none"), "<answer>C</answer>", "x/v1.mp4"), (4, "multiple choice", "<answer>B</answer>", "<answer>B</answer>", "x/v9.mp4"), (5, "other", "<answer>B</answer>", "<answer>B</answer>", None)]
     df = spark.createDataFrame(rows, "i int, problem_type string, completion string, solution string, path string")
     assert {r.i: r.reward for r in rewards.map_guided(df, maps).collect()} == {1: 2.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 0.0}
+
+
+def test_rewards_by_type(spark):
+    wrap = lambda s: f"<answer>{s}</answer>"
+    rows = [
+        (1, "OCR", wrap("one two three"), wrap("one two four"), pytest.approx(2 / 3)), (2, "OCR", wrap("x"), wrap("a b"), 0.0), (3, "free-form", wrap("a lamp stands here"), wrap("a lamp stands here"), pytest.approx(1.0)),
+        (4, "regression", wrap("1,000"), wrap("1000"), pytest.approx(1.0)), (5, "regression", wrap("many"), wrap("10"), 0.0), (6, "numerical", wrap("9"), wrap("10"), 0.9), (7, "numerical", wrap("9"), wrap("0"), 0.0),
+        (8, "multiple choice", wrap(" B "), wrap("B"), 1.0), (9, "multiple choice", wrap("b"), wrap("B"), 0.0), (10, "unheard of", wrap("B"), wrap("B"), 0.0), (11, None, None, None, 0.0), (12, "multiple choice", "B", wrap("B"), 0.0),
+    ]
+    df = spark.createDataFrame([r[:4] for r in rows], "i int, t string, c string, s string")
+    got = {r.i: r.v for r in df.select("i", rewards.base_reward(F.col("t"), F.col("c"), F.col("s")).alias("v")).collect()}
+    assert got == {r[0]: r[4] for r in rows}
+    with pytest.raises(KeyError):
+        rewards.total_reward(["nothing"], F.col("t"), F.col("c"), F.col("s"))
