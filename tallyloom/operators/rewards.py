@@ -19,7 +19,7 @@ def base_reward(problem_type: Column, completion: Column, solution: Column) -> C
         F.when(problem_type == "multiple choice", (text.strip(said) == text.strip(truth)).cast("double"))
         .when(problem_type == "numerical", number)
         .when(problem_type == "OCR", metrics.clamp01(1 - metrics.word_error_rate(truth, said)))
-        .when(problem_type == "free-form", metrics.clamp01(metrics.mean_rouge(truth, said)))
+        .when(problem_type == "free-form", metrics.clamp01(metrics.mean_rouge(F.when(problem_type == "free-form", truth), F.when(problem_type == "free-form", said))))
         .when(problem_type == "regression", metrics.regression_score(said, truth))
     )
     return F.coalesce(out, F.lit(ZERO))
