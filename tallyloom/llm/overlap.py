@@ -19,6 +19,8 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
+
 #: Distinct training texts of a video per shard; beyond it, the video is split.
 SHARD_TEXTS = 20_000
 #: Shards per shuffle partition.
@@ -128,13 +130,14 @@ def match_shard(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataF
     columns = ["clip", "eval_text", "train_text", "coverage"]
     if not len(left) or not len(right):
         return pd.DataFrame(columns=columns)
-    automaton, records = ahocorasick.Automaton(), {}
+    automaton = ahocorasick.Automaton()
+    records: dict[str, dict[str, dict[str, str]]] = {}  # clip -> head -> tail -> text
     for clip, text in zip(left["clip"], left["text"]):
         head, tail = _halves(text.split())
         for passage in (head, tail):
             if passage.strip():
                 automaton.add_word(passage, passage)
-        records[clip, head, tail] = text
+        records.setdefault(clip, {}).setdefault(head, {})[tail] = text
     automaton.make_automaton()
     known = {w for t in left["text"].unique() for w in t.split()}
     seen = Counter(w for t in right["text"] for w in t.split())
@@ -144,17 +147,20 @@ def match_shard(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataF
         words = [spell(w) for w in text.split()]
         scanned = f" {' '.join(words)} "
         spans: dict[str, tuple[int, int]] = {}
+        last: dict[str, tuple[int, int]] = {}
         for end, passage in automaton.iter(scanned):
-            spans.setdefault(passage, (end - len(passage) + 2, end))
+            last[passage] = (end - len(passage) + 2, end)
+            spans.setdefault(passage, last[passage])
         if not spans:
             continue
-        passages = list(spans)
-        for head in passages:
-            for tail in [*passages, "  "]:
-                got = records.get((clip, head, tail))
-                if got is None or tail in spans and spans[tail][0] <= spans[head][0]:
+        heads = records.get(clip, {})
+        for head in spans:
+            tails = heads.get(head, {})
+            for tail in tails if len(tails) <= len(spans) else [t for t in (*spans, "  ") if t in tails]:
+                got = tails[tail]
+                if tail.strip() and (tail not in last or last[tail][0] <= spans[head][0]):
                     continue
-                merged = sorted(spans[p] for p in (head, tail) if p in spans)
+                merged = [spans[head], *([last[tail]] if tail.strip() else [])]
                 covered = sum(b - a for a, b in merged) + (len(merged) - 1)
                 coverage = min(1.0, covered / max(1, len(got)))
                 extra = Counter(words)
@@ -179,8 +185,9 @@ def find_overlaps(evals: DataFrame, training: DataFrame) -> DataFrame:
         kept = df.select(*ids, clip_key(F.col("clip")).alias("clip"), canon("text").alias("text"))
         return kept.where(F.col("clip").isNotNull() & (F.col("text") != "") & F.col(ids[-1]).isNotNull())
 
-    e = known(evals, "tab", "eval_id").distinct()
-    t = known(training, "data_source", "problem_id").distinct()
+    # normalised once, then read from the checkpoint by the shards and by the joins back to members
+    e = cut(known(evals, "tab", "eval_id").distinct())
+    t = cut(known(training, "data_source", "problem_id").distinct())
     e_texts, t_texts = e.select("clip", "text").distinct(), t.select("clip", "text").distinct()
     # only videos of both sides; a video's shards by its number of texts
     per_clip = t_texts.groupBy("clip").agg(F.count("*").alias("n")).join(e_texts.select("clip").distinct(), "clip", "left_semi")
