@@ -120,10 +120,14 @@ def final_answer(text: str) -> str:
     return m.group(1) if m else _TAGS.sub("", _THINK.sub("", text))
 
 
+#: A letter or number outside tags.
+_SAYS = re.compile(r"(?:^|>)[^<]*?[^\W_]")
+
+
 def is_empty(text: str | None) -> bool:
     if text is None:
         return True
-    if len(text) > 200:
+    if len(text) > 200 and _SAYS.search(text):
         return False
     bare = text.translate(dict.fromkeys(map(ord, ts.INVISIBLE)))
     if "<" in bare:
@@ -179,7 +183,7 @@ def is_copy(question: str | None, options: list[str] | None, response: str) -> b
         return False
     body = final_answer(response).strip()
     q = question.strip()
-    if len(body) < 0.6 * len(q) or len(body) < 8 or len(body) > 6 * len(q) + 400:
+    if len(body) < 0.6 * len(q) or len(body) < 8:
         return False
     low_q = _plain(q)
     prompt = q.lower() + "\n" + "\n".join(o.lower() for o in options or [] if o)

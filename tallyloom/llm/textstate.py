@@ -71,9 +71,9 @@ def is_item_list(tail: str) -> bool:
 _OPEN_END = re.compile(r"\b(?:the|an|(?:in|on|at|of|by|with|for|to|from|near|under|beside|over|into|[^\W\d_]{2,}ing) a)$")
 
 
-def ends_on_article(tail: str) -> bool:
-    """The tail ends with an article, the letter `a` only where it can be none of the options."""
-    return bool(_OPEN_END.search(tail))
+def ends_open(tail: str) -> bool:
+    """The tail ends with an article, the letter `a` only where it can be none of the options, or leaves a bracket or quote open."""
+    return bool(_OPEN_END.search(tail)) or tail.count("(") > tail.count(")") or tail.count("“") > tail.count("”")
 
 
 def last_word(tail: str) -> str:

@@ -60,7 +60,7 @@ def scan(batches: Iterator[pd.DataFrame], further: Callable[[pd.DataFrame], list
                 lengths[tab, run, len(text)] += 1
             if row_id is None or row_id != row_id:
                 continue
-            if ts.structurally_cut(text) or (tail := ts.open_tail(text)) and ts.ends_on_article(tail):
+            if ts.structurally_cut(text) or (tail := ts.open_tail(text)) and ts.ends_open(tail):
                 out.append(("cut", tab, row_id, run, None, None, 0, 0))
             elif tail and not ts.is_quantity(tail):
                 out.append(("tail", tab, row_id, run, ts.skeleton(tail), ts.last_word(tail), len(text), int(ts.is_item_list(tail))))

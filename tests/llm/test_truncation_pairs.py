@@ -22,6 +22,11 @@ def test_structure(s, cut):
     assert ts.structurally_cut(s) is cut
 
 
+@pytest.mark.parametrize("s,yes", [("seen from the", True), ("drawing a", True), ("so it is a", False), ("The label says “Öppna", True), ("the side (left", True), ("(A) left", False), ("a", False)])
+def test_open_ends(s, yes):
+    assert ts.ends_open(s) is yes
+
+
 @pytest.mark.parametrize("s,yes", [("two and a half m", True), ("The answer is 14′ 10″", True), ("the option that", False), ("from the two ear", False), ("8 ft 1 in", True), ("I can see seven cha", False)])
 def test_quantity(s, yes):
     assert ts.is_quantity(s) is yes
@@ -83,7 +88,7 @@ Q = "How many lamps are there in this room?"
     [
         (None, "empty"), ("", "empty"), ("​", "empty"), ("\xa0\n", "empty"), ("<think></think><answer></answer>", "empty"), ("[no response]", "empty"), ("N/A", "empty"),
         ("I cannot determine the answer from the video provided.", "refusal"), ("Das kann ich leider nicht beantworten.", "refusal"), ("无法回答这个问题。", "refusal"), ("<think>dark</think>I cannot answer this", "refusal"),
-        (Q, "copy"), ("Question: how many lamps are there in this room", "copy"), (f"{Q} {Q}", "copy"), (f"{Q}\nOptions:\nA. 1\nB. 2", "copy"),
+        (" \n" * 400, "empty"), ("<think>" + "​ " * 300 + "</think><answer> </answer>", "empty"), ((Q + " ") * 40, "copy"), (Q, "copy"), ("Question: how many lamps are there in this room", "copy"), (f"{Q} {Q}", "copy"), (f"{Q}\nOptions:\nA. 1\nB. 2", "copy"),
         ("Die richtige Antwort ist B.", "language"), ("房间里一共有2个。", "language"), ("Je compte 2 objets dans cette pièce", "language"),
         (f"{Q} There are 4.", None), ("I can't see every corner, but B is the only option that fits.", None), ("The label says “Öppna dörren”, hence C.", None), ("4", None), ("b", None), ("Unable to find a better match than C.", None),
     ],
