@@ -1,8 +1,7 @@
 """Broken prompt and response pairs: each defective pair with its one defect.
 
-Method: the response is compressed with its prompt as a raw zstandard dictionary; a response that costs
-almost nothing beyond its prompt is a copy candidate, confirmed by removing the prompt, its options and
-lead-ins and finding nothing left. Refusals and languages come from dictionaries; truncation from the
+Method: a response is a copy if nothing is left of it once its question, its options and lead-ins are
+removed, whatever it costs beyond its prompt when compressed. Refusals and languages come from dictionaries; truncation from the
 terminal-context statistics of `truncation`, learnt over all responses of the input.
 """
 
@@ -18,8 +17,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import textstate as ts, truncation
 
-#: A response is a copy candidate if its compressed size with the prompt as dictionary is at most this many bytes plus this share of its own size.
-COPY_BYTES, COPY_SHARE = 22, 0.25
 ORDER = ["empty", "refusal", "copy", "truncated", "language"]
 PLACEHOLDERS = frozenset("none null nan n/a na nil - -- --- – — . .. ... … ? tbd todo unknown undefined [no_response] [no_answer] [empty] [blank] (empty) (none) <empty> [none] [null] no_response no_answer empty [n/a] <none> <null>".split())
 
@@ -164,7 +161,7 @@ _PARAMS = zstandard.ZstdCompressionParameters.from_level(3, window_log=13, hash_
 
 
 def copied_cost(prompt: str, response: str) -> int:
-    """Bytes of the response compressed with the prompt as dictionary."""
+    """Bytes of the response compressed with the prompt as dictionary: a measure of nearness that decides nothing."""
     d = zstandard.ZstdCompressionDict(prompt.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     return len(zstandard.ZstdCompressor(dict_data=d, compression_params=_PARAMS).compress(response.encode()))
 
@@ -186,9 +183,6 @@ def is_copy(question: str | None, options: list[str] | None, response: str) -> b
     if len(body) < 0.6 * len(q) or len(body) < 8:
         return False
     low_q = _plain(q)
-    prompt = q.lower() + "\n" + "\n".join(o.lower() for o in options or [] if o)
-    if copied_cost(prompt, body.lower()) > COPY_BYTES + COPY_SHARE * len(body):
-        return False
     n_lines = len(_OPTION_LINE.findall(body))
     rest = _plain(_OPTION_LINE.sub(" ", body) if n_lines >= 2 else body)
     if low_q not in rest:

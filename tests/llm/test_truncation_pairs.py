@@ -108,6 +108,12 @@ def test_copy_costs_less_than_other_text():
     assert pairs.copied_cost(Q, Q) < pairs.copied_cost(Q, "Something wholly different, about tables and doors")
 
 
+def test_copies_with_long_options_that_the_table_does_not_hold():
+    lines = ["A. the wardrobe behind the glass door", "B. a kettle next to the oven", "C. my bicycle under those windows", "D. two pianos facing north"]
+    assert pairs.is_copy(Q, None, "\n".join([Q, "Options:", *lines]))
+    assert not pairs.is_copy(Q, None, "\n".join([Q, "Options:", *lines, "Four, I think."]))
+
+
 def test_pairs_have_one_defect_each(spark):
     rows = [("t", 1, None, Q, ["A. 1", None], "I cannot answer this <think>"), ("t", 2, None, Q, None, None), ("t", 3, None, None, None, "4"), ("t", 3, None, None, None, "4"), ("t", None, None, Q, None, None), ("t", 4, "r", Q, None, "<think>The lamp"), ("t", 5, "r", None, None, "word " * 50_000 + "ends here."), ("u", 1, "r", Q, None, "Die richtige Antwort ist B, weil das <think>")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "tab string, row_id bigint, run string, question string, options array<string>, text string, w string")
