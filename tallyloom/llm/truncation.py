@@ -94,10 +94,12 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def prefix_join(strings: DataFrame) -> DataFrame:
     """(s, n_term, n_cont) of the tails among distinct (s, n, t), n the times it is closed and t the times it is a tail.
 
-    Strings meet in the bucket of their first PREFIX characters. A bucket of more than HOT strings is split by
+    A tail of under PREFIX characters is looked up among the counts of all beginnings of its length. Other
+    strings meet in the bucket of their first PREFIX characters. A bucket of more than HOT strings is split by
     LONG_PREFIX characters; its shorter tails go to every part, counted in one, and their finds are added up.
     """
-    keyed = strings.withColumn("bucket", F.xxhash64(F.substring("s", 1, PREFIX))).withColumn("tail", F.col("t") > 0)
+    whole = F.length("s") >= PREFIX
+    keyed = strings.where(whole).withColumn("bucket", F.xxhash64(F.substring("s", 1, PREFIX))).withColumn("tail", F.col("t") > 0)
     hot = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(f"size > {HOT}").select("bucket", F.lit(True).alias("hot"))
     placed = keyed.join(hot, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     long = F.length("s") >= LONG_PREFIX
@@ -107,7 +109,11 @@ def prefix_join(strings: DataFrame) -> DataFrame:
     once = F.when(F.col("part") == F.col("home"), 1).otherwise(0)
     rows = placed.select("bucket", "part", "s", (F.col("n") * once).alias("n"), (F.col("t") * once).alias("t"), "tail")
     swept = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "s").select("s", "n", "t", "tail").mapInPandas(sweep, "s string, n_term bigint, n_cont bigint")
-    return swept.groupBy("s").agg(F.sum("n_term").alias("n_term"), F.sum("n_cont").alias("n_cont"))
+    found = swept.groupBy("s").agg(F.sum("n_term").alias("n_term"), F.sum("n_cont").alias("n_cont"))
+    heads = strings.groupBy(F.substring("s", 1, PREFIX - 1).alias("head")).agg(F.sum(F.col("n") + F.col("t")).alias("c"))
+    begun = heads.select(F.explode(F.expr("transform(sequence(0, length(head)), i -> substring(head, 1, i))")).alias("s"), "c").groupBy("s").agg(F.sum("c").alias("c"))
+    short = strings.where(~whole & (F.col("t") > 0)).join(begun, "s").select("s", F.col("n").alias("n_term"), (F.col("c") - F.col("n") - F.col("t")).alias("n_cont"))
+    return found.unionByName(short)
 
 
 def find_truncated(values: DataFrame, seen: DataFrame | None = None) -> DataFrame:

@@ -54,6 +54,19 @@ def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
         assert set(got) == set(expected) and {s: v for s, v in got.items() if len(s) >= truncation.PREFIX} == cold
 
 
+def test_tails_of_every_length_meet_all_their_continuations(spark, monkeypatch):
+    rng = random.Random(5)
+    words = sorted({"", "_ is a", "_ is a _ near it", *("".join(rng.choice("ab _é🙂") for _ in range(rng.randint(1, 12))) for _ in range(400))})
+    rows = [(w, rng.randint(0, 3), rng.randint(0, 2)) for w in words]
+    expected = {s: (n, sum(m + u for x, m, u in rows if x != s and x.startswith(s))) for s, n, t in rows if t}
+    df = spark.createDataFrame(rows, "s string, n bigint, t bigint")
+    assert sum(len(s) < truncation.PREFIX and c > 0 for s, (_, c) in expected.items()) > 20
+    for hot in (10**9, 20):
+        monkeypatch.setattr(truncation, "HOT", hot)
+        got = [(r.s, (r.n_term, r.n_cont)) for r in truncation.prefix_join(df).collect()]
+        assert len(got) == len(expected) and dict(got) == expected
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(*r, "extra") for r in rows], "tab string, row_id bigint, run string, text string, s string")
 
