@@ -6,7 +6,8 @@ the pen are read as the evaluation word nearest to them. Matched intervals are m
 each evaluation record; a record that is covered whole, by a text that asks for nothing else, overlaps.
 
 Both sides are first reduced to distinct (video, normalised question), so copies are compared once; a video
-with many texts is split over several shards, its evaluation passages repeated in each. Members are joined
+with many texts is split over several shards, its evaluation passages and word counts repeated in each. What
+a word is, known or a slip, is decided by its video alone, so no verdict depends on the sharding. Members are joined
 back by (video, normalised question).
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
@@ -75,9 +77,10 @@ def clip_key(path):
     return F.when(s != "", s)
 
 
-def _deletes(w: str, n: int = 1) -> set[str]:
-    out = {w[:i] + w[i + 1 :] for i in range(len(w))}
-    return out if n == 1 else out | {d for x in out for d in _deletes(x)}
+@lru_cache(maxsize=100_000)
+def _deletes(w: str, n: int = 1) -> frozenset[str]:
+    out = frozenset(w[:i] + w[i + 1 :] for i in range(len(w)))
+    return out if n == 1 else out.union(*(_deletes.__wrapped__(x) for x in out))
 
 
 def edits(a: str, b: str) -> int:
@@ -126,10 +129,24 @@ def _halves(words: list[str]) -> tuple[str, str]:
 
 
 def match_shard(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Evaluation (clip, text) against training (clip, text) of one shard: (clip, eval_text, train_text, coverage)."""
+    """Evaluation (clip, text) against training (clip, text) of one shard: (clip, eval_text, train_text, coverage).
+
+    Rows of `left` with an `n` are no passages but the words of a split video's training texts with their counts.
+    """
     columns = ["clip", "eval_text", "train_text", "coverage"]
     if not len(left) or not len(right):
         return pd.DataFrame(columns=columns)
+    known: dict[str, set[str]] = {}
+    seen: dict[str, Counter[str]] = {}
+    if "n" in left:
+        counted = left["n"].notna()
+        for clip, w, n in left.loc[counted, ["clip", "text", "n"]].itertuples(index=False):
+            seen.setdefault(clip, Counter())[w] = int(n)
+        left = left[~counted]
+    whole = set(right["clip"].unique()) - seen.keys()
+    for clip, text in zip(right["clip"], right["text"]):
+        if clip in whole:
+            seen.setdefault(clip, Counter()).update(text.split())
     automaton = ahocorasick.Automaton()
     records: dict[str, dict[str, dict[str, str]]] = {}  # clip -> head -> tail -> text
     for clip, text in zip(left["clip"], left["text"]):
@@ -138,12 +155,16 @@ def match_shard(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataF
             if passage.strip():
                 automaton.add_word(passage, passage)
         records.setdefault(clip, {}).setdefault(head, {})[tail] = text
+        known.setdefault(clip, set()).update(text.split())
+    if not known:
+        return pd.DataFrame(columns=columns)
     automaton.make_automaton()
-    known = {w for t in left["text"].unique() for w in t.split()}
-    seen = Counter(w for t in right["text"] for w in t.split())
-    spell = Speller(known, seen)
     out = []
-    for clip, text in zip(right["clip"], right["text"]):
+    spell = Speller(set(), Counter())
+    at = None
+    for clip, text in right[["clip", "text"]].sort_values("clip", kind="stable").itertuples(index=False):
+        if clip != at:  # one video's speller at a time
+            at, spell = clip, Speller(known.get(clip, set()), seen[clip])
         words = [spell(w) for w in text.split()]
         scanned = f" {' '.join(words)} "
         spans: dict[str, tuple[int, int]] = {}
@@ -166,7 +187,7 @@ def match_shard(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataF
                 extra = Counter(words)
                 extra.subtract(got.split())
                 rest = list((+extra).elements())
-                if coverage >= MIN_COVERAGE and len(rest) <= MAX_EXTRA and not any(w in known or w[0] == "[" or w.isdigit() for w in rest):
+                if coverage >= MIN_COVERAGE and len(rest) <= MAX_EXTRA and not any(w in spell.known or w[0] == "[" or w.isdigit() for w in rest):
                     out.append((clip, got, text, coverage))
     return pd.DataFrame(out, columns=columns)
 
@@ -194,7 +215,11 @@ def find_overlaps(evals: DataFrame, training: DataFrame) -> DataFrame:
     split = per_clip.select("clip", F.ceil(F.col("n") / SHARD_TEXTS).cast("int").alias("splits"))
     groups = int(evals.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SHARDS
     base = F.pmod(F.xxhash64("clip"), F.lit(groups))
-    left = e_texts.join(split, "clip").select("clip", "text", base.alias("g"), F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("s"))
+    every = F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("s")
+    # a shard holds all texts of a video that is not split, and counts its words itself
+    words = t_texts.join(split.where("splits > 1"), "clip").select("clip", "splits", F.explode(F.split("text", " ")).alias("text")).groupBy("clip", "splits", "text").agg(F.count("*").alias("n"))
+    passages = e_texts.join(split, "clip").withColumn("n", F.lit(None).cast("bigint"))
+    left = passages.unionByName(words).select("clip", "text", "n", base.alias("g"), every)
     right = t_texts.join(split, "clip").select("clip", "text", base.alias("g"), F.pmod(F.xxhash64("text"), F.col("splits")).cast("int").alias("s"))
     hits = left.groupBy("g", "s").cogroup(right.groupBy("g", "s")).applyInPandas(match_shard, "clip string, eval_text string, train_text string, coverage double")
     pairs = hits.join(e.withColumnRenamed("text", "eval_text"), ["clip", "eval_text"]).join(t.withColumnRenamed("text", "train_text"), ["clip", "train_text"])

@@ -70,6 +70,24 @@ def test_other_objects_numbers_and_directions_are_other_questions():
     assert not len(overlap.match_shard((0, 0), left, right))
 
 
+def test_verdict_on_a_pair_does_not_depend_on_the_other_videos_of_its_shard():
+    evals = [("v", "How many stools are in the picture of a bathroom?"), ("u", "Does the carefully drawn bathrom appear?")]
+    train = [("v", "Carefully: How many stools are in the picture of a bathrom?"), *(("u", f"Is bathrom {i} seen by itself?") for i in range(9))]
+    left, right = (pd.DataFrame([(c, overlap.canonical(q)) for c, q in rows], columns=["clip", "text"]) for rows in (evals, train))
+    alone = overlap.match_shard((0, 0), left[:1], right[:1])
+    together = overlap.match_shard((0, 0), left, right)
+    assert len(alone) == 1 and alone.equals(together[together["clip"] == "v"].reset_index(drop=True))
+
+
+def test_words_of_a_split_video_count_in_all_its_shards(spark, monkeypatch):
+    rows = [(1, "v", "How many stools stand in the bathrom?", "s"), *((10 + i, "v", f"Is bathrom {i} seen by itself?", "s") for i in range(9))]
+    E = spark.createDataFrame([("e", 1, "v", "How many stools stand in the bathroom?")], "tab string, eval_id bigint, clip string, text string")
+    T = spark.createDataFrame(rows, "problem_id bigint, clip string, text string, data_source string")
+    for size in (20_000, 1):
+        monkeypatch.setattr(overlap, "SHARD_TEXTS", size)
+        assert overlap.find_overlaps(E, T).count() == 0  # too frequent in the video to be a slip
+
+
 WORDS = "lámpara está detrás señala sillón próximo größer Tür Küche für weiße façade naïve à côté fenêtre déjà São três coração łóżko źle część лампа стоит рядом окном камера 机の上にランプ 椅子は動かされました 24 m² ±90° “keep” – • € £20 ★★☆ 🙂 É Ä Ø".split(" ")
 
 
