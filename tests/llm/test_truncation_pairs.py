@@ -127,6 +127,12 @@ def test_copies_with_long_options_that_the_table_does_not_hold():
     assert not pairs.is_copy(Q, None, "\n".join([Q, "Options:", *lines, "Four, I think."]))
 
 
+def test_copies_of_prompts_longer_than_any_window():
+    rng = random.Random(8)
+    q = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(2800))
+    assert len(q) > 19_000 and pairs.is_copy(q, None, f"Question: {q}") and not pairs.is_copy(q, None, f"{q} four")
+
+
 def test_pairs_have_one_defect_each(spark):
     rows = [("t", 1, None, Q, ["A. 1", None], "I cannot answer this <think>"), ("t", 2, None, Q, None, None), ("t", 3, None, None, None, "4"), ("t", 3, None, None, None, "4"), ("t", None, None, Q, None, None), ("t", 4, "r", Q, None, "<think>The lamp"), ("t", 5, "r", None, None, "word " * 50_000 + "ends here."), ("u", 1, "r", Q, None, "Die richtige Antwort ist B, weil das <think>")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "tab string, row_id bigint, run string, question string, options array<string>, text string, w string")
