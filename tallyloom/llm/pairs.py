@@ -136,8 +136,8 @@ def is_empty(text: str | None) -> bool:
 #: Literal strings one of which every refusal phrase holds; an automaton looks for them first.
 _ANCHORS = (
     "can't|cannot|can not|could not|couldn't|able to|refuse|decline|allowed|permitted|information|lack the|means of|wasn't|not given|not see|n't see|access|outside of|inappropriate|guessing|pass on this|choose an|be loaded|analy|language model|text assistant|lets me|n't have|not have|against my|refused|declined|denied|allow|permit|n't let|not let|rather not|prefer not|not possible|beyond|upload|load|open|play|arrive|without|nothing to"
-    "|nicht|keine|kein |tut mir leid|sprachmodell|je ne |désolé|impossible|pas accès|en mesure|en tant que|no puedo|lo siento|no me es|no tengo|no soy|modelo de|no es posible|non posso|mi dispiace|non sono|non ho|non riesco|não|desculpe|lamento|sinto muito|niet|spijt|geen toegang"
-    "|kan inte|tyvärr|ledsen|beklag|ikke|desværre|ikkje|nie mogę|nie jestem|przykro|niestety|przepraszam|nemohu|nemůžu|bohužel|omlouv|je mi líto|nedoká|üzgünüm|veremem|lamam|lamıyorum|lanamam|mıyorum|maalesef|göremiyorum|veremiyorum"
+    "|nicht|kein|tut mir leid|sprachmodell|je ne |désolé|impossible|impossibile|pas accès|en mesure|en tant que|no puedo|lo siento|no me es|no tengo|no soy|modelo de|no es posible|non posso|mi dispiace|non sono|non ho|non riesco|não|desculpe|lamento|sinto muito|niet|spijt|geen toegang"
+    "|kan inte|tyvärr|ledsen|beklag|ikke|desværre|ikkje|nie mogę|nie jestem|przykro|niestety|przepraszam|nemohu|nemůžu|bohužel|omlouv|je mi líto|nedoká|üzgünüm|veremem|lamam|lamıyorum|lanamam|yamam|mıyorum|maalesef|göremiyorum|veremiyorum"
     "|nu pot|îmi pare|din păcate|nem tud|sajnál|sajnos|en voi|valitettav|en pysty|pahoitt|tidak|maaf|xin lỗi|không thể|rất tiếc|не мог|сожалению|извините|простите|не удал|не удаё|не в состоянии|невозможно|не можу|на жаль|вибачте|δεν μπορώ|λυπάμαι|δυστυχώς"
     "|无法|抱歉|对不起|不能回答|無法|不能提供|看不到|できません|申し訳|お答えでき|わかりません|答えられ|ごめんなさい|見られません|죄송|수 없습니다|없어요|못합니다|어렵습니다|لا أستطيع|لا يمكنني|عذر|آسف|للأسف|غير قادر|माफ़|क्षमा|नहीं|असमर्थ|खेद|לא יכול|מצטער|לצערי"
 ).split("|")

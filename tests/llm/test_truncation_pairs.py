@@ -1,4 +1,5 @@
 import random
+import re
 
 import pandas as pd
 import pytest
@@ -133,6 +134,34 @@ def test_copies_of_prompts_longer_than_any_window():
     assert len(q) > 19_000 and pairs.is_copy(q, None, f"Question: {q}") and not pairs.is_copy(q, None, f"{q} four")
 
 
+def without_anchor(items, partial):
+    """The ways to go on from `partial` texts through a parsed pattern that hold no anchor yet; \0 stands for what may be any text."""
+    for op, arg in items:
+        name = str(op)
+        if name == "LITERAL":
+            partial = {p + chr(arg) for p in partial}
+        elif name == "SUBPATTERN":
+            partial = without_anchor(arg[3], partial)
+        elif name == "BRANCH":
+            partial = set().union(*(without_anchor(b, partial) for b in arg[1]))
+        elif name == "MAX_REPEAT" and arg[1] == 1:
+            partial = (partial if arg[0] == 0 else set()) | without_anchor(arg[2], partial)
+        elif name != "AT":
+            partial = {p + "\0" for p in partial}
+        partial = {p for p in partial if next(pairs._anchors().iter(p.replace("’", "'")), None) is None}
+    return partial
+
+
+@pytest.mark.parametrize("lang", pairs.REFUSALS)
+def test_every_refusal_phrase_holds_an_anchor(lang):
+    assert not without_anchor(re._parser.parse(pairs.REFUSALS[lang]), {""})
+
+
+@pytest.mark.parametrize("text", ["Bunu cevaplayamam.", "Bu soruyu yanıtlayamam.", "È impossibile rispondere."])
+def test_refusals_in_few_words(text):
+    assert pairs.is_refusal(text)
+
+
 def test_pairs_have_one_defect_each(spark):
     rows = [("t", 1, None, Q, ["A. 1", None], "I cannot answer this <think>"), ("t", 2, None, Q, None, None), ("t", 3, None, None, None, "4"), ("t", 3, None, None, None, "4"), ("t", None, None, Q, None, None), ("t", 4, "r", Q, None, "<think>The lamp"), ("t", 5, "r", None, None, "word " * 50_000 + "ends here."), ("u", 1, "r", Q, None, "Die richtige Antwort ist B, weil das <think>")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "tab string, row_id bigint, run string, question string, options array<string>, text string, w string")
