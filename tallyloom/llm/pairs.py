@@ -117,18 +117,17 @@ def final_answer(text: str) -> str:
     return m.group(1) if m else _TAGS.sub("", _THINK.sub("", text))
 
 
-#: A letter or number outside tags.
-_SAYS = re.compile(r"(?:^|>)[^<]*?[^\W_]")
+_UNSEEN = re.compile(f"[{ts.INVISIBLE}]+")
 
 
 def is_empty(text: str | None) -> bool:
+    """Nothing but blanks, invisible characters, tags or a placeholder, in the closed answer tag's body if there is one, whatever the length."""
     if text is None:
         return True
-    if len(text) > 200 and _SAYS.search(text):
-        return False
-    bare = text.translate(dict.fromkeys(map(ord, ts.INVISIBLE)))
+    bare = text if text.isascii() else _UNSEEN.sub("", text)
     if "<" in bare:
-        bare = final_answer(bare) if "<answer>" in bare else _TAGS.sub("", bare)
+        m = _ANSWER.search(bare)
+        bare = m.group(1) if m else _TAGS.sub("", bare)
     bare = bare.strip().strip("\"'`*").strip().lower().replace(" ", "_")
     return not bare or bare in PLACEHOLDERS or bare.rstrip(".") in PLACEHOLDERS
 

@@ -113,6 +113,15 @@ def test_labels(text, defect):
     assert (got[0][5] if got else None) == defect
 
 
+@pytest.mark.parametrize("n", [1, 60])
+def test_emptiness_does_not_depend_on_length(n):
+    why = "the lamp " * n
+    for text in (f"<think>{why}</think><answer></answer>", f"<think>{why}</think><answer>N/A</answer>", f"{'  ' * 10 * n}N/A"):
+        assert pairs.is_empty(text)
+    for text in (f"<think>{why}</think><answer>B</answer>", f"<think>{why}</think>", f"<think>{why}</think><answer>", why):
+        assert not pairs.is_empty(text)
+
+
 def test_german_question_takes_german_answers():
     assert not pairs.is_foreign("Wie viele Lampen sind in diesem Raum zu sehen?", "Es sind 4 zu sehen.")
     assert pairs.is_foreign("Wie viele Lampen sind in diesem Raum zu sehen?", "There are four of them in the room.")
