@@ -4,7 +4,7 @@ Method: smoothed character trigram models (interpolated, hashed into tables of a
 records that show no sign of a wrong decoding, and once more on the records that the first model finds
 clean. Every token with a character beyond ASCII is scored as it stands and under every encode-decode
 chain; a document's gain is the best chain's sum over its tokens. A document is garbled if its gain passes
-a margin validated on a bounded held-out sample of clean texts, or if it holds replacement or C1 control characters.
+a margin validated on all held-out clean texts, or if it holds replacement or C1 control characters.
 
 Trigrams of ASCII characters alone are left out: no chain changes them. Models have a fixed size, so
 collecting and broadcasting them is bounded whatever the corpus.
@@ -28,8 +28,8 @@ from ..session import cut
 BITS = 18
 #: Weights of trigram, bigram, character and uniform estimates.
 WEIGHTS = (0.70, 0.20, 0.0999, 0.0001)
-#: Texts of the validation sample, at most; margins tried; the share of clean texts that may be flagged.
-SAMPLE, MARGINS, CLEAN_FLAGGED = 2000, tuple(x / 2 for x in range(4, 41)), 0.001
+#: Margins tried; the share of clean texts that may be flagged.
+MARGINS, CLEAN_FLAGGED = tuple(x / 2 for x in range(4, 41)), 0.001
 #: A chain must gain this much on a token for the token to be restored.
 TOKEN_MARGIN = 2.0
 FLUSH = 100_000
@@ -205,15 +205,6 @@ def train(texts: DataFrame) -> Model:
     return Model(counts)
 
 
-def validate(model: Model, clean: list[str]) -> float:
-    """The smallest margin under which at most CLEAN_FLAGGED of clean texts pass."""
-    gains = [model.judge(t)[0] for t in clean]
-    for margin in MARGINS:
-        if sum(g > margin for g in gains) <= CLEAN_FLAGGED * len(gains):
-            return margin
-    return MARGINS[-1]
-
-
 def recall(model: Model, margin: float, clean: list[str], seed: int = 7) -> float:
     """Share of texts found after a random chain garbled them."""
     rng, found, n = random.Random(seed), 0, 0
@@ -228,9 +219,31 @@ def recall(model: Model, margin: float, clean: list[str], seed: int = 7) -> floa
 _OUT = "doc_id bigint, gain double, chain string, lost boolean, restored string"
 
 
+def _shared(df: DataFrame, model: Model, margin: float = 0.0):
+    return df.sparkSession.sparkContext.broadcast((np.stack([model.tri, model.tri_of, model.bi, model.bi_of, model.uni]), margin))
+
+
+def validate(model: Model, clean: DataFrame) -> float:
+    """The smallest margin under which at most CLEAN_FLAGGED of clean texts pass; of each batch only counts leave the workers."""
+    shared = _shared(clean, model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = Model(shared.value[0])
+        passed: Counter[int] = Counter()  # how many of the margins a text passes
+        for pdf in batches:
+            passed.update(sum(gain > x for x in MARGINS) for gain in (m.judge(t)[0] for t in pdf["text"]))
+        yield pd.DataFrame(list(passed.items()), columns=["k", "n"])
+
+    rows = clean.select("text").mapInPandas(run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    total = sum(r.n for r in rows)
+    for i, margin in enumerate(MARGINS):
+        if sum(r.n for r in rows if r.k > i) <= CLEAN_FLAGGED * total:
+            return margin
+    return MARGINS[-1]
+
+
 def _judged(docs: DataFrame, model: Model, margin: float) -> DataFrame:
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((np.stack([model.tri, model.tri_of, model.bi, model.bi_of, model.uni]), margin))
+    shared = _shared(docs, model, margin)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, limit = shared.value
@@ -259,8 +272,7 @@ def fit(docs: DataFrame) -> tuple[Model, float]:
     clean = texts.join(bad, "doc_id", "left_anti").where(F.col("text").rlike(r"[^\x00-\x7f]"))
     held = F.pmod(F.xxhash64("doc_id"), F.lit(10)) == 0
     model = train(clean.where(~held))
-    sample = [r.text for r in clean.where(held).where(F.length("text") < 20_000).orderBy(F.xxhash64("doc_id", F.lit(7))).limit(SAMPLE).collect()]
-    return model, validate(model, sample)
+    return model, validate(model, clean.where(held))
 
 
 def find_garbled(docs: DataFrame) -> DataFrame:

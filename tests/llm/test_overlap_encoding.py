@@ -122,3 +122,18 @@ def test_find_garbled(spark):
     right = sum(i in got and got[i].restored == t for i, _, t in bad)
     assert right >= 50, right
     assert encoding.find_garbled(df.limit(0)).count() == 0
+
+
+def test_margin_counts_every_held_out_text_whatever_its_length(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(WORDS[:30]) for _ in range(3500 if i % 3 == 0 else 8)) + " naïve") for i in range(150)]
+    held = []
+    judged = encoding.validate
+    monkeypatch.setattr(encoding, "validate", lambda model, clean: held.append(clean) or judged(model, clean))
+    model, margin = encoding.fit(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    texts = [r.text for r in held[0].collect()]
+    assert sum(len(t) >= 20_000 for t in texts) >= 2
+    gains = [model.judge(t)[0] for t in texts]
+    allowed = [m for m in encoding.MARGINS if sum(g > m for g in gains) <= encoding.CLEAN_FLAGGED * len(gains)]
+    assert margin == (allowed or encoding.MARGINS[-1:])[0]
+    assert encoding.validate(model, held[0].limit(0)) == encoding.MARGINS[0]
