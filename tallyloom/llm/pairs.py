@@ -232,7 +232,7 @@ def find_defects(pairs: DataFrame) -> DataFrame:
     """
     narrow = pairs.select("tab", "row_id", "run", "question", "options", "text")
     seen = truncation.scanned(narrow, label)
-    cuts = truncation.find_truncated(narrow, seen).withColumn("w", F.lit("truncated"))
+    cuts = truncation.find_truncated(narrow, seen).select("tab", "row_id").withColumn("w", F.lit("truncated"))
     # a pair's one defect: the first in this order
     rank = F.expr(f"array_position(array({', '.join(repr(d) for d in ORDER)}), w)")
     both = seen.where("kind = 'defect'").select("tab", "row_id", "w").unionByName(cuts)

@@ -35,7 +35,12 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return truncation.find_truncated(_answers(spark, d))
+    return truncation.find_truncated(_answers(spark, d)).select("tab", "row_id")
+
+
+def p1_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """How many cut rows of each table were found by which evidence."""
+    return truncation.find_truncated(_answers(spark, d)).groupBy("tab", "evidence").agg(F.count("*").alias("n_rows"))
 
 
 def p1_truncation_rates(spark: SparkSession, d: str) -> DataFrame:

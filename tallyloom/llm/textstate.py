@@ -1,8 +1,6 @@
-"""Reading a model answer: its tags, sentences, open tail, and skeletons of sentences.
+"""Reading a model answer: its tags, sentences and open tail, and the strings of sentences and words that prefixes are looked up among.
 
-Pure Python, used inside Arrow batches. A *skeleton* is a lower-cased sentence whose words of four
-letters or more are replaced by `_` and whose numbers are replaced by `0`; sentences that differ only
-in names share one, so statistics over a corpus stay small.
+Pure Python, used inside Arrow batches.
 """
 
 from __future__ import annotations
@@ -11,10 +9,6 @@ import re
 from collections import Counter
 
 INVISIBLE = "​‌‍⁠﻿­"
-_LONG = re.compile(r"[^\W\d_]{4,}")
-_NUM = re.compile(r"\d+(?:[.,:/]\d+)*")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|\d+")
-_TAG = re.compile(r"</?[a-zA-Z]\w*>")
 _SPLIT = re.compile(r"(?<=[.!?…。！？])[\"”’')\]]*\s+|</?[a-zA-Z]\w*>\s*|\s*\n\s*")
 _TERMINAL = re.compile(r"[.!?…。！？।][\"”’'»)\]*]*$")
 _PARTIAL = re.compile(r"(?:�+|&#?[a-zA-Z0-9]{0,8}|\\u?[0-9a-fA-F]{0,4}|</?\w*)$")
@@ -24,43 +18,28 @@ _BLOCKS = ("think", "answer", "map")
 _NUMBER = r"(?:[-+~≈]?\d[\d.,/e+]*(?:\s\d+/\d+|\s?[½¼¾])?|[½¼¾]|(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|half)(?:\s+and\s+(?:a\s+)?(?:half|(?:three\s+)?quarters?))?)"
 _AMOUNT = rf"{_NUMBER}(?:[\s-]*[^\s\d]{{1,14}}(?:[\s.]+[^\s\d]{{1,12}})?)?"
 _QUANTITY = re.compile(rf"(?:(?:the|my|final|best|correct|answer|estimate|is|it|about|approx\.?|roughly|around|i|count|there|are|so|hence|:)\s+|[~≈]\s*)*{_AMOUNT}(?:[\s,]*(?:and\s+)?{_AMOUNT})?", re.I)
+_LINK = re.compile(r"\b(?:of|the|an?|is|are|that|to|for|from|with|and)$")
 _ITEM = r"[^\W\d_]+(?:[ -][^\W\d_]+){0,2}"
 _ITEMS = re.compile(rf"{_ITEM}(?:, {_ITEM})*")
 _GRAMMAR = re.compile(r"\b(?:the|is|are|a|an|of|in|on|to|that|it|i)\b", re.I)
 
 
-def structurally_cut(text: str) -> bool:
-    """Ends inside a character, an entity, an escape, a tag or a block that was opened and not closed."""
+def structurally_cut(text: str, tail: str) -> bool:
+    """Ends inside a character, an entity, an escape, a tag or a block; or its open tail with a joining mark, or inside a bracket or quotation."""
     end = text.rstrip()
-    tail = end[-12:]
-    if ("�" in tail or "&" in tail or "\\" in tail or "<" in tail) and (m := _PARTIAL.search(tail)):
+    last = end[-12:]
+    if ("�" in last or "&" in last or "\\" in last or "<" in last) and (m := _PARTIAL.search(last)):
         hit = m.group()
         if hit[0] != "&" or len(hit) > 1 and (hit[1] == "#" or any(e.startswith(hit[1:].lower()) for e in _ENTITIES)):
             return True
-    if end and end[-1] in ",;:([{–—“":
-        return len(end) > 12
-    if "<" in end:
-        for b in _BLOCKS:
-            if f"<{b}>" in end and end.count(f"<{b}>") > end.count(f"</{b}>"):
-                return True
-    return False
-
-
-def skeleton(sentence: str) -> str:
-    return _NUM.sub("0", _LONG.sub("_", sentence.lower()))
-
-
-def open_tail(text: str) -> str:
-    """The last sentence of a text when neither punctuation nor a closing tag ends it, else ''."""
-    end = text.rstrip()
-    if not end or end[-1] == ">" or _TERMINAL.search(end[-8:]):
-        return ""
-    return _SPLIT.split(end)[-1].strip()
+    if tail and (tail[-1] in ",;:([{–—“" and any(c.isalnum() for c in tail) or tail.count("“") > tail.count("”") or tail.count("(") > tail.count(")")):
+        return True
+    return "<" in end and any(f"<{b}>" in end and end.count(f"<{b}>") > end.count(f"</{b}>") for b in _BLOCKS)
 
 
 def is_quantity(tail: str) -> bool:
     """Nothing but a number with at most a unit of two words, maybe two such, after words like `the answer is`."""
-    return len(tail) <= 60 and bool(_QUANTITY.fullmatch(tail))
+    return bool(_QUANTITY.fullmatch(tail)) and not _LINK.search(tail)
 
 
 def is_item_list(tail: str) -> bool:
@@ -68,61 +47,56 @@ def is_item_list(tail: str) -> bool:
     return bool(_ITEMS.fullmatch(tail)) and not _GRAMMAR.search(tail)
 
 
-_OPEN_END = re.compile(r"\b(?:the|an|(?:in|on|at|of|by|with|for|to|from|near|under|beside|over|into|[^\W\d_]{2,}ing) a)$")
-
+#: Words per window.
+WINDOW = 3
+#: What stands before strings of whole sentences and of windows, and after a string that a sentence ends with.
+SENTENCE, WORDS, END = "1", "2", "\n"
 
-def ends_open(tail: str) -> bool:
-    """The tail ends with an article, the letter `a` only where it can be none of the options, or leaves a bracket or quote open."""
-    return bool(_OPEN_END.search(tail)) or tail.count("(") > tail.count(")") or tail.count("“") > tail.count("”")
 
-
-def last_word(tail: str) -> str:
-    words = _WORD.findall(tail.lower())
-    return words[-1] if words else ""
+def normal(piece: str) -> str:
+    return " ".join(piece.split())
 
 
 class Tally:
-    """Counts over whole texts: words, words that end a closed sentence, skeletons of closed sentences."""
+    """Counts over whole texts, of every sentence and of every window of WINDOW words.
+
+    A window is written with a blank behind it where its sentence goes on, with END where it ends. The last
+    word of an open tail may be broken off, so that windows of tails leave it out.
+    """
 
     def __init__(self) -> None:
-        self.words: Counter[str] = Counter()
-        self.final: Counter[str] = Counter()
-        self.skeletons: Counter[str] = Counter()
+        self.sentences: Counter[str] = Counter()
+        self.tails: Counter[str] = Counter()
 
-    def add(self, text: str) -> None:
+    def add(self, text: str) -> str:
+        """Counts a text; its open tail, or ''."""
         low = text.lower().rstrip()
-        if len(low) < 4:
-            return
-        closed_end = low[-1] == ">" or bool(_TERMINAL.search(low[-8:]))
-        if not closed_end:
-            if "<" not in low and "\n" not in low and len(low) < 12:
-                return
-            low = low[:-12] + _PARTIAL.sub("", low[-12:])
-        pieces = [p for p in _SPLIT.split(low) if p]
-        if not closed_end and pieces:
-            self.words.update(pieces.pop().split()[:-1])
-        masked = _NUM.sub("0", _LONG.sub("_", "\n".join(pieces))).split("\n")
-        for p in pieces:
-            words = p.split()
-            self.words.update(words)
-            if words and not (len(words) > 1 and words[-2][0].isdigit()):
-                self.final[words[-1]] += 1
-        self.skeletons.update(masked)
-
-    def rows(self) -> tuple[dict[str, list[int]], Counter[str]]:
-        """Words without the marks around them, with their counts inside and at ends; skeletons without end marks."""
-        words: dict[str, list[int]] = {}
-        for n, counter in enumerate((self.words, self.final)):
-            for token, count in counter.items():
-                for w in (found := _WORD.findall(token)):
-                    words.setdefault(w, [0, 0])
-                if found:
-                    words[found[-1]][n] += count
-        skeletons: Counter[str] = Counter()
-        for p, n in self.skeletons.items():
-            if bare := p.rstrip(_MARKS):
-                skeletons[bare] += n
-        return words, skeletons
+        if not low:
+            return ""
+        if low[-1] == ">" or _TERMINAL.search(low[-8:]):
+            self.sentences.update(_SPLIT.split(low))
+            return ""
+        *pieces, tail = _SPLIT.split(low)
+        if pieces:
+            self.sentences.update(pieces)
+        self.tails[tail] += 1
+        return tail
+
+    def strings(self) -> Counter[str]:
+        out: Counter[str] = Counter()
+        for piece, n in self.sentences.items():
+            words = piece.rstrip(_MARKS).split()
+            if words:
+                out[SENTENCE + " ".join(words) + END] += n
+                last = len(words)
+                for i in range(last):
+                    j = i + WINDOW
+                    out[WORDS + " ".join(words[i:j]) + (" " if j < last else END)] += n
+        for piece, n in self.tails.items():
+            words = piece.split()[:-1]
+            for i in range(len(words)):
+                out[WORDS + " ".join(words[i : i + WINDOW]) + " "] += n
+        return out
 
     def __len__(self) -> int:
-        return len(self.words) + len(self.skeletons)
+        return len(self.sentences) + len(self.tails)

@@ -1,15 +1,19 @@
 """Text cut off by field limits: find values that end before their text is complete.
 
-Method: prefix self-join. Every closed sentence of the corpus and every open tail (a last sentence that
-nothing closes) is reduced to its skeleton; skeletons are hashed by a fixed-length prefix, each hash
-bucket is sorted, and one linear sweep finds for each tail how many longer sentences it is a strict
-prefix of, and how often the same sentence is closed elsewhere. A tail whose last word is itself only a
-strict prefix of longer words, or a short word that never ends a sentence, is cut too; so is one whose value
-has the length at which its run's lengths pile up. Ends inside a tag, block, entity, escape or
-character are seen from the value alone.
-
-Cost: one Arrow pass over the texts (no shuffle of texts), then shuffles of counts per distinct word
-and skeleton, which are combined before the shuffle.
+Method: prefix self-join. The last sentence of every value that nothing closes (its tail) is looked up among
+the sentences of all values: how often is it a strict prefix of a longer one, how often does a sentence end
+with it. A value that is a strict prefix of a longer copy has such a tail, so whole values need no join of their
+own. The tail's last three, two and one words are looked up likewise among all windows of three words,
+for sentences that no other value repeats; the last word of a tail may be broken off anywhere. All these strings
+are hashed by a fixed-length prefix, each bucket is sorted, and one linear sweep counts.
+
+From the counts comes the share of ends: the share of a single word's ends is the prior of two
+words, theirs of three, theirs of the whole sentence (additive smoothing). Below MAX_ENDS the tail is cut. Where no
+string decides, the value alone may: it ends inside a character, entity, tag, bracket or block, or has the length at which its
+run's values pile up. Every find says what decided: sentence, words, word, structure or limit.
+
+Cost: one Arrow pass over the texts (no shuffle of texts), then a shuffle of counts per distinct sentence and
+window, combined per batch of sentences before it.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -24,129 +29,150 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut
 from . import textstate as ts
 
-#: A skeleton's bucket is chosen by this many leading characters.
+#: A string's bucket is chosen by this many leading characters.
 PREFIX = 8
 #: A bucket of more strings than HOT is split by so many leading characters into so many parts.
 HOT, LONG_PREFIX, PARTS = 500_000, 24, 64
-#: A short word seen so often inside sentences and (almost) never at an end cannot end a whole text.
-INNER_MIN, INNER_SHARE, INNER_LETTERS = 20, 0.002, 4
-#: A short word rarer than this share of the longer words it begins is taken for the beginning of one.
-BEGUN_SHARE = 0.01
-#: A length is a field limit if it is the run's largest and so many long values have it.
-LIMIT_MIN, LIMIT_LONG = 5, 100
-FLUSH = 200_000
+#: A tail is cut if its strings end with it in less than this share.
+MAX_ENDS = 0.02
+#: Weight of the shorter string's share in a longer one's; the share of ends of a string never seen.
+SMOOTHING, UNSEEN = 3.0, 0.5
+#: A tail repeated so often that no sentence continues is a whole answer.
+COPIES = 5
+#: A length is a field limit if it is a run's largest, so many values of it differ, and it is so many times as frequent as those of its upper half.
+LIMIT_MIN, LIMIT_TIMES = 5, 4.0
+FLUSH = 100_000
 
 _SCHEMA = "kind string, tab string, row_id bigint, run string, s string, w string, a bigint, b bigint"
+_COLUMNS = ["kind", "tab", "row_id", "run", "s", "w", "a", "b"]
 
 
 def scan(batches: Iterator[pd.DataFrame], further: Callable[[pd.DataFrame], list[tuple]] | None = None) -> Iterator[pd.DataFrame]:
-    """Rows: `cut` (a row that is cut by structure), `tail` (a row with an open tail), `word`, `skel` and `len` counts, and what `further` gives."""
-    tally, lengths = ts.Tally(), Counter()
+    """Rows: `tail` (a row with an open tail s, of length a; b adds 1 for an item list and 2 for a structural cut), `str` counts, `len` counts with masks of hashes, and what `further` gives."""
+    tally, lengths = ts.Tally(), {}
 
     def flush() -> pd.DataFrame:
-        words, skeletons = tally.rows()
-        rows = [("word", None, None, None, None, w, n, n_end) for w, (n, n_end) in words.items()]
-        rows += [("skel", None, None, None, s, None, n, 0) for s, n in skeletons.items()]
-        rows += [("len", t, None, r, None, None, k, n) for (t, r, k), n in lengths.items()]
-        return pd.DataFrame(rows, columns=["kind", "tab", "row_id", "run", "s", "w", "a", "b"])
+        rows = [("str", None, None, None, s, None, n, 0) for s, n in tally.strings().items()]
+        rows += [("len", t, m, r, None, None, k, n) for (t, r, k), (n, m) in lengths.items()]
+        return pd.DataFrame(rows, columns=_COLUMNS)
 
     for pdf in batches:
         out = further(pdf) if further else []
         for tab, row_id, run, text in zip(pdf["tab"], pdf["row_id"], pdf["run"], pdf["text"]):
             if text is None or text != text:
                 continue
-            tally.add(text)
-            if len(text) >= LIMIT_LONG:
-                lengths[tab, run, len(text)] += 1
+            tail = tally.add(text)
+            n, mask = lengths.get((tab, run, len(text)), (0, 0))
+            lengths[tab, run, len(text)] = n + 1, mask | 1 << crc32(text.encode("utf-8", "replace")) % 50
             if row_id is None or row_id != row_id:
                 continue
-            if ts.structurally_cut(text) or (tail := ts.open_tail(text)) and ts.ends_open(tail):
-                out.append(("cut", tab, row_id, run, None, None, 0, 0))
-            elif tail and not ts.is_quantity(tail):
-                out.append(("tail", tab, row_id, run, ts.skeleton(tail), ts.last_word(tail), len(text), int(ts.is_item_list(tail))))
+            structure = ts.structurally_cut(text, tail)
+            whole = not tail or ts.is_quantity(tail)
+            if structure or not whole:
+                out.append(("tail", tab, row_id, run, None if whole else ts.normal(tail), None, len(text), ts.is_item_list(tail) + 2 * structure))
         if out:
-            yield pd.DataFrame(out, columns=["kind", "tab", "row_id", "run", "s", "w", "a", "b"])
-        if len(tally) > FLUSH:
+            yield pd.DataFrame(out, columns=_COLUMNS)
+        if len(tally) + len(lengths) > FLUSH:
             yield flush()
-            tally, lengths = ts.Tally(), Counter()
+            tally, lengths = ts.Tally(), {}
     yield flush()
 
 
 def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted (s, n, t, tail) rows: for each tail how often it is closed alike (n_term) and how often extended (n_cont)."""
+    """Sorted (s, n, probe) rows: for each probe how many strings end with it (n_end), go on (n_on), and go on within the word (n_in)."""
     stack: list[list] = []
     for pdf in batches:
         done = []
-        for s, n, t, tail in zip(pdf["s"], pdf["n"], pdf["t"], pdf["tail"]):
+        for s, n, probe in zip(pdf["s"], pdf["n"], pdf["probe"]):
             while stack and not s.startswith(stack[-1][0]):
                 done.append(tuple(stack.pop()))
             for top in stack:
-                if top[0] != s:
-                    top[2] += n + t
-            if tail:
-                stack.append([s, n, 0])
+                after = s[len(top[0]) :]
+                if after == ts.END:
+                    top[1] += n
+                elif after:
+                    top[2] += n
+                    top[3] += n if after[0].isalpha() else 0
+            if probe:
+                stack.append([s, 0, 0, 0])
         if done:
-            yield pd.DataFrame(done, columns=["s", "n_term", "n_cont"])
+            yield pd.DataFrame(done, columns=["s", "n_end", "n_on", "n_in"])
     if stack:
-        yield pd.DataFrame([tuple(x) for x in stack], columns=["s", "n_term", "n_cont"])
+        yield pd.DataFrame([tuple(x) for x in stack], columns=["s", "n_end", "n_on", "n_in"])
 
 
 def prefix_join(strings: DataFrame) -> DataFrame:
-    """(s, n_term, n_cont) of the tails among distinct (s, n, t), n the times it is closed and t the times it is a tail.
+    """(s, n_end, n_on, n_in) of the probes among distinct (s, n, probe), n the times a string occurs.
 
-    A tail of under PREFIX characters is looked up among the counts of all beginnings of its length. Other
+    A probe of under PREFIX characters is looked up among the counts of all beginnings of its length. Other
     strings meet in the bucket of their first PREFIX characters. A bucket of more than HOT strings is split by
-    LONG_PREFIX characters; its shorter tails go to every part, counted in one, and their finds are added up.
+    LONG_PREFIX characters; its shorter probes go to every part, counted in one, and their finds are added up.
     """
     whole = F.length("s") >= PREFIX
-    keyed = strings.where(whole).withColumn("bucket", F.xxhash64(F.substring("s", 1, PREFIX))).withColumn("tail", F.col("t") > 0)
+    keyed = strings.where(whole).withColumn("bucket", F.xxhash64(F.substring("s", 1, PREFIX)))
     hot = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(f"size > {HOT}").select("bucket", F.lit(True).alias("hot"))
     placed = keyed.join(hot, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     long = F.length("s") >= LONG_PREFIX
     home = F.when(~F.col("hot"), 0).otherwise(F.pmod(F.xxhash64(F.substring("s", 1, LONG_PREFIX)), F.lit(PARTS))).cast("int")
-    everywhere = F.col("hot") & F.col("tail") & ~long
+    everywhere = F.col("hot") & F.col("probe") & ~long
     placed = placed.withColumn("home", home).withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(home))))
     once = F.when(F.col("part") == F.col("home"), 1).otherwise(0)
-    rows = placed.select("bucket", "part", "s", (F.col("n") * once).alias("n"), (F.col("t") * once).alias("t"), "tail")
-    swept = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "s").select("s", "n", "t", "tail").mapInPandas(sweep, "s string, n_term bigint, n_cont bigint")
-    found = swept.groupBy("s").agg(F.sum("n_term").alias("n_term"), F.sum("n_cont").alias("n_cont"))
-    heads = strings.groupBy(F.substring("s", 1, PREFIX - 1).alias("head")).agg(F.sum(F.col("n") + F.col("t")).alias("c"))
-    begun = heads.select(F.explode(F.expr("transform(sequence(0, length(head)), i -> substring(head, 1, i))")).alias("s"), "c").groupBy("s").agg(F.sum("c").alias("c"))
-    short = strings.where(~whole & (F.col("t") > 0)).join(begun, "s").select("s", F.col("n").alias("n_term"), (F.col("c") - F.col("n") - F.col("t")).alias("n_cont"))
-    return found.unionByName(short)
+    rows = placed.select("bucket", "part", "s", (F.col("n") * once).alias("n"), "probe")
+    swept = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "s").select("s", "n", "probe").mapInPandas(sweep, "s string, n_end bigint, n_on bigint, n_in bigint")
+    found = swept.groupBy("s").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"), F.sum("n_in").alias("n_in"))
+    heads = strings.groupBy(F.substring("s", 1, PREFIX).alias("head")).agg(F.sum("n").alias("n"))
+    begun = heads.select(F.explode(F.expr(f"transform(sequence(1, least(length(head), {PREFIX - 1})), i -> struct(substring(head, 1, i) AS s, substring(head, i + 1) AS rest))")).alias("x"), "n")
+    begun = begun.where("x.rest != ''").groupBy("x.s").agg(
+        F.sum(F.expr(f"IF(x.rest = '{ts.END}', n, 0)")).alias("n_end"), F.sum(F.expr(f"IF(x.rest = '{ts.END}', 0, n)")).alias("n_on"), F.sum(F.expr(r"IF(x.rest RLIKE '^\\p{L}', n, 0)")).alias("n_in"),
+    )
+    return found.unionByName(strings.where(~whole & F.col("probe")).select("s").join(begun, "s"))
+
+
+def _probes(tails: DataFrame) -> DataFrame:
+    """Distinct (s, t, item, words, keys): t the copies of a tail; keys its strings, longest first, windows only where shorter than the tail."""
+    distinct = tails.where("s is not null").groupBy("s", F.expr("b % 2 = 1").alias("item")).agg(F.count("*").alias("t")).withColumn("words", F.split("s", " "))
+    window = lambda k: F.when((F.size("words") > k) | F.lit(k == 1), F.concat(F.lit(ts.WORDS), F.array_join(F.expr(f"slice(words, -{k}, {k})"), " ")))
+    return distinct.select("s", "item", "t", F.size("words").alias("words"), F.array(F.concat(F.lit(ts.SENTENCE), "s"), *(window(k) for k in range(ts.WINDOW, 0, -1))).alias("keys"))
+
+
+def _judged(tails: DataFrame, counts: DataFrame) -> DataFrame:
+    """(s, item, evidence) of the distinct tails that are cut."""
+    probes = cut(_probes(tails))
+    each = probes.select("s", "item", F.posexplode("keys").alias("level", "key")).where("key is not null")
+    wanted = each.select(F.col("key").alias("s"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("probe"))
+    opened = probes.select(F.concat(F.lit(ts.SENTENCE), "s").alias("s"), F.col("t").alias("n"), F.lit(False).alias("probe"))
+    strings = counts.withColumn("probe", F.lit(False)).unionByName(opened).unionByName(wanted).groupBy("s").agg(F.sum("n").alias("n"), F.max("probe").alias("probe"))
+    found = each.join(prefix_join(strings).withColumnRenamed("s", "key"), "key")
+    at = lambda c, k: F.coalesce(F.max(F.when(F.col("level") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")
+    levels = range(ts.WINDOW + 1)
+    wide = probes.drop("keys").join(found.groupBy("s", "item").agg(*(at(c, k) for k in levels for c in ("n_end", "n_on", "n_in"))), ["s", "item"], "left").na.fill(0)
+    share = F.lit(UNSEEN)
+    for k in reversed(levels):
+        own = F.when(F.col("item"), F.col("t") - 1).otherwise(0) if k == 0 else F.lit(0)  # an answer that is but a name may stand open
+        share = (F.col(f"n_end{k}") + own + SMOOTHING * share) / (F.col(f"n_end{k}") + own + F.col(f"n_on{k}") + SMOOTHING)
+    last = ts.WINDOW
+    broken = F.expr(f"n_in{last} > 0 AND n_in{last} = n_on{last} AND n_end{last} = 0")
+    seen = F.expr("n_on0 + n_end0 > 0")
+    is_cut = F.when((F.col("t") >= COPIES) & (F.col("n_on0") == 0), False).when((F.col("words") <= ts.WINDOW) & ~seen, broken).otherwise(share < MAX_ENDS)
+    evidence = F.when(seen, "sentence").when(F.expr(" OR ".join(f"n_on{k} + n_end{k} > 0" for k in levels[1:-1])), "words").otherwise("word")
+    return wide.where(is_cut).select("s", "item", evidence.alias("evidence"))
 
 
 def find_truncated(values: DataFrame, seen: DataFrame | None = None) -> DataFrame:
-    """Rows (tab, row_id) of `values` (tab string, row_id bigint, run string, text string) whose text is cut.
+    """Rows (tab, row_id, evidence) of `values` (tab string, row_id bigint, run string, text string) whose text is cut.
 
     Null and empty texts and null row ids give no row; repeated deliveries give one row; further columns
     are ignored. A text that ends with a closing tag, a terminal mark or a quantity is whole. An empty
     table gives an empty result. `seen`, if given, is the result of `scanned(values)`.
     """
     seen = scanned(values) if seen is None else seen
-    tails = seen.where("kind = 'tail'")
-    words = seen.where("kind = 'word'").groupBy("w").agg(F.sum("a").alias("n"), F.sum("b").alias("n_end"))
-    distinct = tails.groupBy("s", "w", "b").agg(F.count("*").alias("t"))
-    closed = seen.where("kind = 'skel'").groupBy("s").agg(F.sum("a").alias("n"), F.lit(0).cast("bigint").alias("t"))
-    both = (
-        closed.unionByName(distinct.groupBy("s").agg(F.lit(0).cast("bigint").alias("n"), F.sum("t").alias("t")))
-        .groupBy("s").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    )
-    swept = prefix_join(both)
-    # a last word that is unknown as a whole word, or far rarer than the words that it begins
-    begun = words.where("length(w) > 2").select(F.explode(F.expr("transform(sequence(2, length(w) - 1), i -> substring(w, 1, i))")).alias("w"), "n")
-    begun = begun.join(distinct.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.sum("n").alias("n_longer"))
-    broken = begun.join(words.select("w", "n"), "w", "left").where(f"n is null or length(w) <= {INNER_LETTERS} and n < {BEGUN_SHARE} * n_longer").select("w", F.lit(True).alias("broken"))
-    inner = words.where(f"n >= {INNER_MIN} and length(w) <= {INNER_LETTERS} and n_end <= {INNER_SHARE} * n").select("w", F.lit(True).alias("inner"))
-    verdict = (
-        distinct.join(swept, "s", "left").join(broken, "w", "left").join(inner, "w", "left")
-        .select("s", "w", "b", "n_term", "n_cont", (F.coalesce("broken", F.lit(False)) | F.coalesce("inner", F.lit(False)) | ((F.col("n_cont") > 0) & (F.col("n_term") == 0) & (F.col("b") == 0))).alias("is_cut"))
-    )
-    limits = field_limits(seen).select("tab", "run", F.col("field_limit").alias("a"), F.lit(True).alias("at_limit"))
-    run = F.coalesce("run", F.lit(""))
-    judged = tails.withColumn("run", run).join(limits.withColumn("run", run), ["tab", "run", "a"], "left").join(verdict, ["s", "w", "b"], "left")
-    found = judged.where(F.coalesce("is_cut", F.lit(False)) | F.coalesce("at_limit", F.lit(False)))
-    return seen.where("kind = 'cut'").select("tab", "row_id").unionByName(found.select("tab", "row_id")).distinct()
+    tails = seen.where("kind = 'tail'").select("tab", "row_id", "run", "s", "a", "b")
+    verdict = _judged(tails, seen.where("kind = 'str'").groupBy("s").agg(F.sum("a").alias("n")))
+    limits = field_limits(seen).select("tab", F.coalesce("run", F.lit("")).alias("run"), F.col("field_limit").alias("a"), F.lit(True).alias("at_limit"))
+    keyed = tails.select("tab", "row_id", F.coalesce("run", F.lit("")).alias("run"), "a", "s", F.expr("b % 2 = 1").alias("item"), F.expr("b >= 2").alias("structure"))
+    judged = keyed.join(verdict, ["s", "item"], "left").join(limits, ["tab", "run", "a"], "left")
+    evidence = F.coalesce("evidence", F.when(F.col("structure"), "structure"), F.when(F.col("at_limit"), "limit"))
+    return judged.select("tab", "row_id", evidence.alias("evidence")).where("evidence is not null").groupBy("tab", "row_id").agg(F.min("evidence").alias("evidence"))
 
 
 def scanned(values: DataFrame, further: Callable[[pd.DataFrame], list[tuple]] | None = None) -> DataFrame:
@@ -156,16 +182,18 @@ def scanned(values: DataFrame, further: Callable[[pd.DataFrame], list[tuple]] |
 
 
 def field_limits(seen: DataFrame) -> DataFrame:
-    """Per table and run the length at which values pile up: the largest one, if LIMIT_MIN values or more have it."""
-    lengths = seen.where("kind = 'len'").groupBy("tab", "run", "a").agg(F.sum("b").alias("n"))
-    top = lengths.groupBy("tab", "run").agg(F.max_by("n", "a").alias("n_at_limit"), F.max("a").alias("field_limit"), F.max("n").alias("most"))
-    return top.where(f"n_at_limit >= {LIMIT_MIN} and n_at_limit = most").drop("most")
+    """Per table and run the length at which values pile up, however short: the largest one, against those down to half of it."""
+    lengths = seen.where("kind = 'len'").groupBy("tab", "run", "a").agg(F.sum("b").alias("n"), F.expr("bit_count(bit_or(row_id))").alias("differ"))
+    top = lengths.groupBy("tab", "run").agg(F.max(F.struct("a", "n", "differ")).alias("top")).select("tab", "run", "top.*").withColumnsRenamed({"a": "field_limit", "n": "n_at_limit"})
+    near = lengths.alias("l").join(top.alias("t"), F.expr("l.tab = t.tab AND l.run <=> t.run AND 2 * l.a >= t.field_limit AND l.a < t.field_limit")).groupBy("t.tab", "t.run").agg(F.sum("l.n").alias("n_below"))
+    both = top.alias("t").join(near.alias("b"), F.expr("t.tab = b.tab AND t.run <=> b.run"), "left").select("t.tab", "t.run", "field_limit", "n_at_limit", "differ", F.coalesce("n_below", F.lit(0)).alias("n_below"))
+    return both.where(f"differ >= {LIMIT_MIN} AND field_limit > 1 AND n_at_limit >= {LIMIT_TIMES} * n_below / floor(field_limit / 2)").select("tab", "run", "n_at_limit", "field_limit")
 
 
 def truncation_rates(values: DataFrame) -> DataFrame:
     """Per table and run: distinct rows, cut rows, their share, and the field limit if one shows."""
     seen = scanned(values)
-    found = find_truncated(values, seen).withColumn("is_cut", F.lit(1))
+    found = find_truncated(values, seen).select("tab", "row_id", F.lit(1).alias("is_cut"))
     rows = values.where("row_id is not null").groupBy("tab", "row_id").agg(F.max("run").alias("run"))
     per = rows.join(found, ["tab", "row_id"], "left").groupBy("tab", "run").agg(F.count("*").alias("n_rows"), F.count("is_cut").alias("n_cut"))
     limits = field_limits(seen).select("tab", F.coalesce("run", F.lit("")).alias("k"), "field_limit")
