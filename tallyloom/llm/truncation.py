@@ -136,12 +136,12 @@ def _probes(tails: DataFrame) -> DataFrame:
 
 
 def _judged(tails: DataFrame, counts: DataFrame) -> DataFrame:
-    """(s, item, evidence) of the distinct tails that are cut."""
+    """(s, item, evidence) of the distinct tails that are cut, given (s, n) of strings, maybe in several rows each."""
     probes = cut(_probes(tails))
     each = probes.select("s", "item", F.posexplode("keys").alias("level", "key")).where("key is not null")
     wanted = each.select(F.col("key").alias("s"), F.lit(0).cast("bigint").alias("n"), F.lit(True).alias("probe"))
     opened = probes.select(F.concat(F.lit(ts.SENTENCE), "s").alias("s"), F.col("t").alias("n"), F.lit(False).alias("probe"))
-    strings = counts.withColumn("probe", F.lit(False)).unionByName(opened).unionByName(wanted).groupBy("s").agg(F.sum("n").alias("n"), F.max("probe").alias("probe"))
+    strings = cut(counts.withColumn("probe", F.lit(False)).unionByName(opened).unionByName(wanted).groupBy("s").agg(F.sum("n").alias("n"), F.max("probe").alias("probe")))
     found = each.join(prefix_join(strings).withColumnRenamed("s", "key"), "key")
     at = lambda c, k: F.coalesce(F.max(F.when(F.col("level") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")
     levels = range(ts.WINDOW + 1)
@@ -167,7 +167,7 @@ def find_truncated(values: DataFrame, seen: DataFrame | None = None) -> DataFram
     """
     seen = scanned(values) if seen is None else seen
     tails = seen.where("kind = 'tail'").select("tab", "row_id", "run", "s", "a", "b")
-    verdict = _judged(tails, seen.where("kind = 'str'").groupBy("s").agg(F.sum("a").alias("n")))
+    verdict = _judged(tails, seen.where("kind = 'str'").select("s", F.col("a").alias("n")))
     limits = field_limits(seen).select("tab", F.coalesce("run", F.lit("")).alias("run"), F.col("field_limit").alias("a"), F.lit(True).alias("at_limit"))
     keyed = tails.select("tab", "row_id", F.coalesce("run", F.lit("")).alias("run"), "a", "s", F.expr("b % 2 = 1").alias("item"), F.expr("b >= 2").alias("structure"))
     judged = keyed.join(verdict, ["s", "item"], "left").join(limits, ["tab", "run", "a"], "left")

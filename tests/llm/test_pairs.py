@@ -1,5 +1,4 @@
 import random
-import re
 
 import pandas as pd
 import pytest
@@ -40,8 +39,27 @@ def test_german_question_takes_german_answers():
     assert pairs.is_foreign("Wie viele Lampen sind in diesem Raum zu sehen?", "There are four of them in the room.")
 
 
-def test_copy_costs_less_than_other_text():
-    assert pairs.copied_cost(Q, Q) < pairs.copied_cost(Q, "Something wholly different, about tables and doors")
+def test_copies_cost_less_than_other_text():
+    assert pairs.copied_share(Q, Q) < 0.3 < pairs.COPY_SHARE < pairs.copied_share(Q, "Something wholly different, about tables and doors")
+
+
+def test_without_compression_there_are_no_copies(monkeypatch):
+    assert pairs.is_copy(Q, None, Q)
+    monkeypatch.setattr(pairs, "copied_share", lambda p, r: 1.0)
+    assert not pairs.is_copy(Q, None, Q)
+
+
+@pytest.mark.parametrize(
+    "text,copy",
+    [("How many lamps are ther in this rom?", True), ("how many lamps are there in this rooms", True), ("You asked: How many lamp are there in this room", True), ("How many lamps are there in this room? 4", False), ("How many lamps are there in that hall?", False), ("There are lamps in this room", False), ("How many lamps are there in this room, please?", False)],
+)
+def test_copies_with_slips(text, copy):
+    assert pairs.is_copy(Q, None, text) is copy
+
+
+@pytest.mark.parametrize("q,text", [("Left?", "left"), ("a?", "A?"), ("怎么走？", "怎么走？")])
+def test_short_copies(q, text):
+    assert pairs.is_copy(q, None, text) == (pairs.copied_share(pairs._plain(q), pairs._plain(text)) <= pairs.COPY_SHARE)
 
 
 def test_copies_with_long_options_that_the_table_does_not_hold():
@@ -50,33 +68,27 @@ def test_copies_with_long_options_that_the_table_does_not_hold():
     assert not pairs.is_copy(Q, None, "\n".join([Q, "Options:", *lines, "Four, I think."]))
 
 
-def test_copies_of_prompts_longer_than_any_window():
+@pytest.mark.parametrize("words", [2800, 9000])
+def test_the_window_is_as_long_as_the_prompt(words):
     rng = random.Random(8)
-    q = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(2800))
-    assert len(q) > 19_000 and pairs.is_copy(q, None, f"Question: {q}") and not pairs.is_copy(q, None, f"{q} four")
-
-
-def without_anchor(items, partial):
-    """The ways to go on from `partial` texts through a parsed pattern that hold no anchor yet; \0 stands for what may be any text."""
-    for op, arg in items:
-        name = str(op)
-        if name == "LITERAL":
-            partial = {p + chr(arg) for p in partial}
-        elif name == "SUBPATTERN":
-            partial = without_anchor(arg[3], partial)
-        elif name == "BRANCH":
-            partial = set().union(*(without_anchor(b, partial) for b in arg[1]))
-        elif name == "MAX_REPEAT" and arg[1] == 1:
-            partial = (partial if arg[0] == 0 else set()) | without_anchor(arg[2], partial)
-        elif name != "AT":
-            partial = {p + "\0" for p in partial}
-        partial = {p for p in partial if next(pairs._anchors().iter(p.replace("’", "'")), None) is None}
-    return partial
+    q = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9))) for _ in range(words))
+    assert len(q) > 19_000 and pairs.copied_share(q, q) < 0.02
+    assert pairs.is_copy(q, None, f"Question: {q}") and not pairs.is_copy(q, None, f"{q} four")
 
 
 @pytest.mark.parametrize("lang", pairs.REFUSALS)
-def test_every_refusal_phrase_holds_an_anchor(lang):
-    assert not without_anchor(re._parser.parse(pairs.REFUSALS[lang]), {""})
+def test_every_refusal_phrase_has_an_anchor_and_holds_it(lang):
+    for b in pairs.branches(pairs.REFUSALS[lang]):
+        assert pairs.required(b)
+        for text in list(pairs.spelled(b) or ())[:50]:
+            assert next(pairs._anchors().iter(text), None) is not None and pairs.is_refusal(text)
+
+
+@pytest.mark.parametrize("text,yes", [("无法回答。", True), ("抱歉。", True), ("죄송합니다", True), ("できません", True), ("Sorry.", False), ("B", False)])
+def test_short_refusals(text, yes):
+    assert pairs.is_refusal(text) is yes
+    pdf = pd.DataFrame([("t", 1, Q, None, text)], columns=["tab", "row_id", "question", "options", "text"])
+    assert [r[5] for r in pairs.label(pdf)] == (["refusal"] if yes else [])
 
 
 @pytest.mark.parametrize("text", ["Bunu cevaplayamam.", "Bu soruyu yanıtlayamam.", "È impossibile rispondere."])

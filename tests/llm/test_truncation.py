@@ -105,7 +105,7 @@ def test_field_limits_below_100_show(spark, limit):
 
 def test_field_limit_shows_and_rates_add_up(spark):
     long = "The lamp is placed against the wall. " * 10
-    rows = [("t", i, "cutter", f"{NAMES[i % 6]}, {long}"[:120]) for i in range(8)] + [("t", 50 + i, "fine", long.strip()[: 37 * 4 - 1]) for i in range(3)]
+    rows = [("t", i, "cutter", f"{NAMES[i % 6]:_<10}, {long}"[:120]) for i in range(8)] + [("t", 50 + i, "fine", long.strip()[: 37 * 4 - 1]) for i in range(3)]
     rows += [("t", 100 + i, "cutter", long[: 37 * 3 - 1]) for i in range(2)]
     got = {r.run_name: r for r in truncation.truncation_rates(frame(spark, rows)).collect()}
     assert got["cutter"].field_limit == 120 and got["cutter"].n_cut == 8 and got["cutter"].n_rows == 10
