@@ -14,7 +14,6 @@ import re
 from functools import cache, lru_cache
 
 import ahocorasick
-import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
@@ -270,10 +269,10 @@ def adds_nothing(question: str, options: list[str], body: str, with_lines: bool)
 
 def is_copy(question: str | None, options: list[str] | None, response: str) -> bool:
     """The response says nothing but its question, or question and options."""
-    if not question or not (q := _plain(question)):
+    if not question or len(response) < (least := 0.6 * len(question.strip())):
         return False
     body = final_answer(response).strip()
-    if len(body) < 0.6 * len(question.strip()):
+    if len(body) < least or not (q := _plain(question)):
         return False
     with_lines = len(_OPTION_LINE.findall(body)) >= 2
     said = _plain(_OPTION_LINE.sub(" ", body) if with_lines else body)
@@ -293,21 +292,15 @@ def is_foreign(question: str | None, response: str) -> bool:
     return False
 
 
-def label(pdf: pd.DataFrame) -> list[tuple]:
+def label(columns: dict[str, list]) -> list[tuple]:
     """Rows of kind `defect` for the pairs of a batch, the defect in column w."""
     out = []
-    for tab, row_id, q, opts, text in zip(pdf["tab"], pdf["row_id"], pdf["question"], pdf["options"], pdf["text"]):
-        if row_id is None or row_id != row_id:
+    for tab, row_id, q, opts, text in zip(*(columns[c] for c in ("tab", "row_id", "question", "options", "text"))):
+        if row_id is None:
             continue
-        text = None if text != text else text
-        if is_empty(text):
-            out.append(("defect", tab, row_id, None, None, "empty", 0, 0))
-        elif is_refusal(text):
-            out.append(("defect", tab, row_id, None, None, "refusal", 0, 0))
-        elif is_copy(q, None if opts is None or isinstance(opts, float) else list(opts), text):
-            out.append(("defect", tab, row_id, None, None, "copy", 0, 0))
-        elif is_foreign(q, text):
-            out.append(("defect", tab, row_id, None, None, "language", 0, 0))
+        defect = "empty" if is_empty(text) else "refusal" if is_refusal(text) else "copy" if is_copy(q, opts, text) else "language" if is_foreign(q, text) else None
+        if defect:
+            out.append(("defect", tab, row_id, None, None, defect, 0, 0))
     return out
 
 

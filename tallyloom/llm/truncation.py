@@ -21,9 +21,9 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
-from zlib import crc32
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
@@ -44,38 +44,51 @@ LIMIT_MIN, LIMIT_TIMES = 5, 4.0
 FLUSH = 100_000
 
 _SCHEMA = "kind string, tab string, row_id bigint, run string, s string, w string, a bigint, b bigint"
-_COLUMNS = ["kind", "tab", "row_id", "run", "s", "w", "a", "b"]
+_TYPES = {c.split()[0]: pa.string() if c.endswith("string") else pa.int64() for c in _SCHEMA.split(", ")}
 
 
-def scan(batches: Iterator[pd.DataFrame], further: Callable[[pd.DataFrame], list[tuple]] | None = None) -> Iterator[pd.DataFrame]:
+def _batch(n: int, **columns: list | str) -> pa.RecordBatch:
+    """Rows of _SCHEMA; a column left out is null, a string stands for all rows."""
+    arrays = [pa.array([x] * n if isinstance(x := columns.get(c), str) else x, t) if c in columns else pa.nulls(n, t) for c, t in _TYPES.items()]
+    return pa.RecordBatch.from_arrays(arrays, names=list(_TYPES))
+
+
+def _rows(rows: list[tuple]) -> pa.RecordBatch:
+    return _batch(len(rows), **dict(zip(_TYPES, map(list, zip(*rows)))))
+
+
+def scan(batches: Iterator[pa.RecordBatch], further: Callable[[dict[str, list]], list[tuple]] | None = None) -> Iterator[pa.RecordBatch]:
     """Rows: `tail` (a row with an open tail s, of length a; b adds 1 for an item list and 2 for a structural cut), `str` counts, `len` counts with masks of hashes, and what `further` gives."""
     tally, lengths = ts.Tally(), {}
 
-    def flush() -> pd.DataFrame:
-        rows = [("str", None, None, None, s, None, n, 0) for s, n in tally.strings().items()]
-        rows += [("len", t, m, r, None, None, k, n) for (t, r, k), (n, m) in lengths.items()]
-        return pd.DataFrame(rows, columns=_COLUMNS)
-
-    for pdf in batches:
-        out = further(pdf) if further else []
-        for tab, row_id, run, text in zip(pdf["tab"], pdf["row_id"], pdf["run"], pdf["text"]):
-            if text is None or text != text:
+    def flush() -> Iterator[pa.RecordBatch]:
+        if found := tally.strings():
+            yield _batch(len(found), kind="str", s=list(found), a=list(found.values()))
+        if lengths:
+            yield _rows([("len", t, m, r, None, None, k, n) for (t, r, k), (n, m) in lengths.items()])
+
+    for batch in batches:
+        columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+        out = further(columns) if further else []
+        for tab, row_id, run, text in zip(columns["tab"], columns["row_id"], columns["run"], columns["text"]):
+            if text is None:
                 continue
             tail = tally.add(text)
-            n, mask = lengths.get((tab, run, len(text)), (0, 0))
-            lengths[tab, run, len(text)] = n + 1, mask | 1 << crc32(text.encode("utf-8", "replace")) % 50
-            if row_id is None or row_id != row_id:
+            key = tab, run, len(text)
+            n, mask = lengths.get(key, (0, 0))
+            lengths[key] = n + 1, mask | 1 << hash(text) % 50
+            if row_id is None:
                 continue
             structure = ts.structurally_cut(text, tail)
             whole = not tail or ts.is_quantity(tail)
             if structure or not whole:
                 out.append(("tail", tab, row_id, run, None if whole else ts.normal(tail), None, len(text), ts.is_item_list(tail) + 2 * structure))
         if out:
-            yield pd.DataFrame(out, columns=_COLUMNS)
+            yield _rows(out)
         if len(tally) + len(lengths) > FLUSH:
-            yield flush()
+            yield from flush()
             tally, lengths = ts.Tally(), {}
-    yield flush()
+    yield from flush()
 
 
 def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,10 +188,10 @@ def find_truncated(values: DataFrame, seen: DataFrame | None = None) -> DataFram
     return judged.select("tab", "row_id", evidence.alias("evidence")).where("evidence is not null").groupBy("tab", "row_id").agg(F.min("evidence").alias("evidence"))
 
 
-def scanned(values: DataFrame, further: Callable[[pd.DataFrame], list[tuple]] | None = None) -> DataFrame:
+def scanned(values: DataFrame, further: Callable[[dict[str, list]], list[tuple]] | None = None) -> DataFrame:
     """The Arrow pass over all texts, kept so that it runs once; `further` may add rows of the same columns from each batch."""
     columns = values if further else values.select("tab", "row_id", "run", "text")
-    return cut(columns.mapInPandas(partial(scan, further=further), _SCHEMA))
+    return cut(columns.mapInArrow(partial(scan, further=further), _SCHEMA))
 
 
 def field_limits(seen: DataFrame) -> DataFrame:
