@@ -63,14 +63,14 @@ def _round_group(seed: int):
 
 
 def plan(sized: DataFrame, targets: DataFrame, total_pct: int) -> DataFrame:
-    """Per source of `targets` (source, target_share, max_repeats): its tokens, target tokens, expected copies of a text, and whether it falls short."""
+    """Per source of `targets` (source, target_share, max_repeats): its tokens, target tokens and expected copies of a text."""
     total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_tokens"))
     have = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
     goals = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     out = goals.join(have, "source", "left").crossJoin(total)  # a single row
     mix = F.col("all_tokens") * F.lit(total_pct / 100.0)
     out = out.select("source", "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("n_docs", F.lit(0)).alias("n_docs"), mix.alias("mix_tokens"))
-    out = out.withColumn("target_tokens", F.coalesce("target_share", F.lit(0.0)) * F.col("mix_tokens")).withColumn("falls_short", F.col("max_repeats") * F.col("tokens") < F.col("target_tokens") - 1e-6)
+    out = out.withColumn("target_tokens", F.coalesce("target_share", F.lit(0.0)) * F.col("mix_tokens"))
     rate = F.when(F.col("tokens") > 0, F.least(F.col("max_repeats").cast("double"), F.col("target_tokens") / F.col("tokens"))).otherwise(0.0)
     return out.withColumn("rate", rate)
 
@@ -106,8 +106,15 @@ def mix(docs: DataFrame, targets: DataFrame, total_pct: int, seed: int = 11, tok
 
 
 def shares(mixed: DataFrame, planned: DataFrame) -> DataFrame:
-    """Per targeted source: tokens asked for and reached, and its share of the mix made."""
+    """Per targeted source: tokens asked for and reached, its share of the mix made, and what the mix as a whole lacks.
+
+    falls_short is read from the mix: fewer tokens than asked for were reached although every text is used as often as it may be.
+    """
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("reached_tokens"), F.max("copies").alias("most_copies"))
     out = planned.join(got, "source", "left").withColumn("reached_tokens", F.coalesce("reached_tokens", F.lit(0)))
-    share = F.col("reached_tokens") / F.nullif(F.sum("reached_tokens").over(Window.partitionBy()), F.lit(0))
-    return out.select("source", "target_share", F.round(share, 6).alias("reached_share"), F.round("target_tokens", 3).alias("target_tokens"), "reached_tokens", "tokens", "max_repeats", F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "falls_short")
+    made = F.sum("reached_tokens").over(Window.partitionBy())  # one row per source
+    used_up = F.col("reached_tokens") >= F.col("max_repeats") * F.col("tokens")
+    return out.select(
+        "source", "target_share", F.round(F.col("reached_tokens") / F.nullif(made, F.lit(0)), 6).alias("reached_share"), F.round("target_tokens", 3).alias("target_tokens"), "reached_tokens", "tokens", "max_repeats",
+        F.coalesce("most_copies", F.lit(0)).alias("most_copies"), (used_up & (F.col("reached_tokens") < F.col("target_tokens") - 1e-6)).alias("falls_short"), F.round(F.col("mix_tokens") - made, 3).alias("mix_lacks_tokens"),
+    )

@@ -117,6 +117,17 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d), _param(spark, d, "container_tokens"))
 
 
+def p6_placed(spark: SparkSession, d: str) -> DataFrame:
+    """Documents placed, containers filled beyond the capacity, documents split though they fit, parts missing or placed twice."""
+    packed, capacity = packing.cut(_packed(spark, d)), _param(spark, d, "container_tokens")
+    over = packed.groupBy("container_id").agg(F.sum("n_tokens").alias("used")).where(F.col("used") > capacity).agg(F.count("*").alias("n_over"))
+    per = packed.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts"), F.max("n_parts").alias("n_parts"), F.sum("n_tokens").alias("tokens"))
+    return per.agg(
+        F.count("*").alias("n_docs"), F.coalesce(F.sum(F.expr(f"IF(n_parts > 1 AND tokens <= {capacity}, 1, 0)")), F.lit(0)).alias("n_split_needlessly"),
+        F.coalesce(F.sum(F.expr("IF(n <> n_parts OR parts <> n_parts, 1, 0)")), F.lit(0)).alias("n_incomplete"),
+    ).crossJoin(over)  # fmt: skip  # one row each
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"), _param(spark, d, "mix_total_pct"))
 
@@ -133,6 +144,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7_shares(spark, d).where("falls_short").select("source")
 
 
+def p7_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Per targeted source its documents, the cap on copies, documents used beyond it, and documents used that are not the source's."""
+    mixed, planned = _mixed(spark, d)
+    docs = table(spark, d, "documents").where("doc_id is not null and text <> ''").select("doc_id", F.col("source").alias("own")).dropDuplicates(["doc_id"])
+    used = mixed.join(docs, "doc_id", "left").join(planned.select("source", "max_repeats"), "source")
+    bad = used.groupBy("source").agg(F.sum(F.expr("IF(copies > max_repeats, 1, 0)")).alias("n_over"), F.sum(F.expr("IF(own <=> source, 0, 1)")).alias("n_foreign"), (F.count("*") - F.countDistinct("doc_id")).alias("n_twice"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return planned.join(bad, "source", "left").select("source", "n_docs", "max_repeats", zero("n_over"), zero("n_foreign"), zero("n_twice"))
+
+
 def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     vsi, temp, train = table(spark, d, "vsi_annotation"), table(spark, d, "tempcompass_annotation"), table(spark, d, "training_example")
 
@@ -182,6 +203,8 @@ _SHORT = "available < target_share * n - 1e-9 OR available < min_rows"
 def oracle_sql() -> dict[str, str]:
     """SQL of what needs no tokenizer, model or random draw; the rest is tested against brute force and round trips."""
     return {
+        "p6_placed": "SELECT count(DISTINCT doc_id) AS n_docs, 0 AS n_split_needlessly, 0 AS n_incomplete, 0 AS n_over FROM documents WHERE doc_id IS NOT NULL AND text <> ''",
+        "p7_limits": "SELECT t.source, count(DISTINCT d.doc_id) AS n_docs, max(t.max_repeats) AS max_repeats, 0 AS n_over, 0 AS n_foreign, 0 AS n_twice FROM mix_target t LEFT JOIN documents d ON d.source = t.source AND d.text <> '' WHERE t.source IS NOT NULL GROUP BY t.source",
         "p4_found": f"WITH {_RECORDS} SELECT plan_name, category FROM f WHERE {_SHORT}",
         "p4_shortfalls": f"WITH {_RECORDS} SELECT plan_name, category, target_share, n AS sample_size, available, ({_SHORT}) AS falls_short FROM f",
     }

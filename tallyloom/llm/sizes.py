@@ -7,7 +7,8 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 from ..session import cut
 
@@ -41,15 +42,25 @@ def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
     return n + len(enc.encode_ordinary(text[at:]))
 
 
+def shipped(spark: SparkSession, path: str) -> str:
+    """Sends the vocabulary file to the executors, once per application; its name there."""
+    name = os.path.basename(path)
+    if not any(x.rsplit("/", 1)[-1] == name for x in spark.sparkContext.listFiles):
+        spark.sparkContext.addFile(path)
+    return name
+
+
 def with_tokens(docs: DataFrame, path: str = TOKENIZER, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, *keep, n_tokens) of documents with a text, each doc_id once, kept so that texts are encoded once."""
     types = dict(docs.dtypes)
     columns = ["doc_id", *keep]
+    name = shipped(docs.sparkSession, path)
     schema = ", ".join(f"{c} {types[c]}" for c in columns) + ", n_tokens bigint"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        local = SparkFiles.get(name)
         for pdf in batches:
-            pdf["n_tokens"] = [count_tokens(t, path) for t in pdf["text"]]
+            pdf["n_tokens"] = [count_tokens(t, local) for t in pdf["text"]]
             yield pdf[[*columns, "n_tokens"]]
 
     sized = docs.where("doc_id is not null and text is not null").select(*columns, "text").mapInPandas(run, schema)
