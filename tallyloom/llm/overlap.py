@@ -1,34 +1,40 @@
 """Same or near-same records across splits: evaluation questions that also occur in training.
 
-Method: evaluation passages (the two halves of each normalised question) are sharded by video; per shard one
-Aho-Corasick automaton of them scans every training text of the shard's videos, after slips of
-the pen are read as the evaluation word nearest to them. Matched intervals are merged into the coverage of
-each evaluation record; a record that is covered whole, by a text that asks for nothing else, overlaps.
-
-Both sides are first reduced to distinct (video, normalised question), so copies are compared once; a video
-with many texts is split over several shards, its evaluation passages and word counts repeated in each. What
-a word is, known or a slip, is decided by its video alone, so no verdict depends on the sharding. Members are joined
-back by (video, normalised question).
+Method: the passages of each normalised evaluation question are its pairs of neighbouring words and its rarest word. They are
+sharded by video; per shard one Aho-Corasick automaton of them scans every training text of the shard's videos, after
+slips of the pen are read as the evaluation word nearest to them. Matched intervals are merged into the coverage of
+an evaluation record, the share of its words inside them. A record covered to MIN_COVERAGE or more overlaps if a check
+of the words holds: the training text has all its words in order and at most MAX_EXTRA others, none of which asks for anything.
+
+Both sides are first reduced to distinct (video, normalised question), so copies are compared once. Shards have a
+bounded number of texts: small videos share one, a large video is split on both sides, each part of its evaluation
+texts meeting each part of its training texts. What a word is, known or a slip, is decided by its video alone, so no verdict depends on
+the sharding. Members are joined back by (video, normalised question).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 
-#: Distinct training texts of a video per shard; beyond it, the video is split.
+#: Distinct texts of a video per shard and side; beyond it, the side is split.
 SHARD_TEXTS = 20_000
-#: Shards per shuffle partition.
-SHARDS = 4
+#: Texts of small videos per shard; shards per shuffle partition at least.
+GROUP_TEXTS, SHARDS = 100_000, 1
+#: Lists of videos are broadcast up to this many.
+BROADCAST_CLIPS = 200_000
 #: Share of an evaluation record's words that matched passages must cover.
-MIN_COVERAGE = 1.0
+MIN_COVERAGE = 0.6
 #: At most so many words of a training text may lie outside what it covers.
 MAX_EXTRA = 3
 
@@ -53,28 +59,34 @@ def _singular(w: str) -> str:
     return w[:-1] if len(w) > 3 and w[-1] == "s" and w[-2] != "s" else w
 
 
+@lru_cache(maxsize=100_000)
 def canonical(text: str | None) -> str:
     """The content words of a question, in order, units under one name and plurals without their s."""
     if not text:
         return ""
-    s = _OPTIONS.sub("", text).lower()
-    s = _SQUARE.sub(lambda m: {"m": "sqm", "f": "sqft", "c": "sqcm", "y": "sqyd"}[m.group(1)[0].lower()], s)
-    s = _HALF_RANK.sub(r"\1half", s)
+    s = text.lower()
+    s = _OPTIONS.sub("", s) if "\n" in s else s
+    s = _SQUARE.sub(lambda m: {"m": "sqm", "f": "sqft", "c": "sqcm", "y": "sqyd"}[m.group(1)[0]], s) if "sq" in s else s
+    s = _HALF_RANK.sub(r"\1half", s) if "half" in s else s
     return " ".join(_UNIT_OF.get(w) or _singular(w) for w in _WORD.findall(s) if w not in _EMPTY)
 
 
-def clip_key(path):
-    """Scene or clip name of a path, whatever its folder, file type, re-encoding suffix or spelling: letters and numbers joined by `_`."""
-    s = F.lower(F.trim(path))
-    s = F.regexp_replace(s, r"[?#].*$", "")
-    s = F.regexp_replace(s, r"%5f|%20|%2d", "_")
-    s = F.regexp_replace(s, r"%2f|%5c|\\", "/")
-    s = F.regexp_extract(s, r"([^/]*)/*$", 1)
-    s = F.regexp_replace(F.trim(s), r"\.[a-z][a-z0-9]{1,4}$", "")
-    s = F.regexp_replace(s, r"([a-z])([0-9])", "$1_$2")
-    s = F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9]+", "_"), r"^_+|_+$", "")
-    s = F.regexp_replace(s, r"(?:_(?:[0-9]{3,4}_?p|[hx]_?26[45]|hevc|av_?1|hd|sd|lowres|hires|copy|compressed|reencoded|re_encoded|transcoded|[0-9]+_?fps|[0-9]+_?k|small|web))+$", "")
-    return F.when(s != "", s)
+_QUERY = re.compile(r"[?#].*", re.S)
+_ESCAPES = re.compile(r"%5f|%20|%2d|(%2f|%5c|\\)")
+_SUFFIX = re.compile(r"\.[a-z][a-z0-9]{1,4}$")
+_JOINT = re.compile(r"([a-z])([0-9])")
+_APART = re.compile(r"[^a-z0-9]+")
+_ENCODED = re.compile(r"(?:_(?:[0-9]{3,4}_?p|[hx]_?26[45]|hevc|av_?1|hd|sd|lowres|hires|copy|compressed|reencoded|re_encoded|transcoded|[0-9]+_?fps|[0-9]+_?k|small|web))+$")
+
+
+@lru_cache(maxsize=100_000)
+def clip_key(path: str | None) -> str:
+    """Scene or clip name of a path, whatever its folder, file type, re-encoding suffix or spelling: letters and numbers joined by `_`; '' for none."""
+    if not path:
+        return ""
+    s = _ESCAPES.sub(lambda m: "/" if m.group(1) else "_", _QUERY.sub("", path.strip().lower()))
+    s = _SUFFIX.sub("", s.rstrip("/").rpartition("/")[2].strip())
+    return _ENCODED.sub("", _APART.sub("_", _JOINT.sub(r"\1_\2", s)).strip("_"))
 
 
 @lru_cache(maxsize=100_000)
@@ -123,75 +135,158 @@ class Speller:
         return self.memo[w]
 
 
-def _halves(words: list[str]) -> tuple[str, str]:
-    h = (len(words) + 1) // 2
-    return f" {' '.join(words[:h])} ", f" {' '.join(words[h:])} "
+class Video:
+    """What the evaluation texts of a video are looked up by: the words of each, listed under its rarest one."""
+
+    def __init__(self) -> None:
+        self.texts: dict[str, list[str]] = {}
+        self.known: set[str] = set()
+        self.seen: Counter[str] = Counter()
+        self.by_anchor: dict[str, list[str]] = {}
+        self.speller: Speller | None = None
+
+    def prepare(self) -> Iterator[str]:
+        """Sets anchors and speller; gives the passages."""
+        count = Counter(w for words in self.texts.values() for w in set(words))
+        for text, words in self.texts.items():
+            anchor = min(words, key=lambda w: (count[w], w))
+            self.by_anchor.setdefault(f" {anchor} ", []).append(text)
+            yield f" {anchor} "
+            yield from _passages(words)
+        self.speller = Speller(self.known, self.seen)
+
+
+def _passages(words: list[str]) -> list[str]:
+    return [f" {x} {y} " for x, y in zip(words, words[1:])] or [f" {words[0]} "]
+
+
+def coverage(words: list[str], matched: set[str]) -> float:
+    """Share of words inside the merged intervals of the matched passages."""
+    inside, to = 0, 0
+    for i, p in enumerate(_passages(words)):
+        if p in matched:
+            end = min(i + 2, len(words))
+            inside += end - max(i, to)
+            to = end
+    return inside / len(words)
+
+
+def in_order(words: list[str], among: list[str]) -> bool:
+    rest = iter(among)
+    return all(w in rest for w in words)
 
 
 def match_shard(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Evaluation (clip, text) against training (clip, text) of one shard: (clip, eval_text, train_text, coverage).
 
-    Rows of `left` with an `n` are no passages but the words of a split video's training texts with their counts.
+    Rows of `left` with an `n` are no texts but the words of a split video: n is 0 or more for words of its training texts, -1 for evaluation words.
     """
     columns = ["clip", "eval_text", "train_text", "coverage"]
     if not len(left) or not len(right):
         return pd.DataFrame(columns=columns)
-    known: dict[str, set[str]] = {}
-    seen: dict[str, Counter[str]] = {}
-    if "n" in left:
-        counted = left["n"].notna()
-        for clip, w, n in left.loc[counted, ["clip", "text", "n"]].itertuples(index=False):
-            seen.setdefault(clip, Counter())[w] = int(n)
-        left = left[~counted]
-    whole = set(right["clip"].unique()) - seen.keys()
+    videos: dict[str, Video] = {}
+    split = set()
+    for clip, text, n in zip(left["clip"], left["text"], left["n"] if "n" in left else [None] * len(left)):
+        video = videos.setdefault(clip, Video())
+        if n is None or n != n:
+            video.texts[text] = text.split()
+            video.known.update(video.texts[text])
+        else:
+            split.add(clip)
+            if n < 0:
+                video.known.add(text)
+            else:
+                video.seen[text] = int(n)
+    of_clip: dict[str, list[str]] = {}
     for clip, text in zip(right["clip"], right["text"]):
-        if clip in whole:
-            seen.setdefault(clip, Counter()).update(text.split())
+        if clip in videos:
+            of_clip.setdefault(clip, []).append(text)
+            if clip not in split:
+                videos[clip].seen.update(text.split())
     automaton = ahocorasick.Automaton()
-    records: dict[str, dict[str, dict[str, str]]] = {}  # clip -> head -> tail -> text
-    for clip, text in zip(left["clip"], left["text"]):
-        head, tail = _halves(text.split())
-        for passage in (head, tail):
-            if passage.strip():
-                automaton.add_word(passage, passage)
-        records.setdefault(clip, {}).setdefault(head, {})[tail] = text
-        known.setdefault(clip, set()).update(text.split())
-    if not known:
+    for clip in of_clip:
+        for passage in videos[clip].prepare():
+            automaton.add_word(passage, passage)
+    if not len(automaton):
         return pd.DataFrame(columns=columns)
     automaton.make_automaton()
     out = []
-    spell = Speller(set(), Counter())
-    at = None
-    for clip, text in right[["clip", "text"]].sort_values("clip", kind="stable").itertuples(index=False):
-        if clip != at:  # one video's speller at a time
-            at, spell = clip, Speller(known.get(clip, set()), seen[clip])
-        words = [spell(w) for w in text.split()]
-        scanned = f" {' '.join(words)} "
-        spans: dict[str, tuple[int, int]] = {}
-        last: dict[str, tuple[int, int]] = {}
-        for end, passage in automaton.iter(scanned):
-            last[passage] = (end - len(passage) + 2, end)
-            spans.setdefault(passage, last[passage])
-        if not spans:
-            continue
-        heads = records.get(clip, {})
-        for head in spans:
-            tails = heads.get(head, {})
-            for tail in tails if len(tails) <= len(spans) else [t for t in (*spans, "  ") if t in tails]:
-                got = tails[tail]
-                if tail.strip() and (tail not in last or last[tail][0] <= spans[head][0]):
-                    continue
-                merged = [spans[head], *([last[tail]] if tail.strip() else [])]
-                covered = sum(b - a for a, b in merged) + (len(merged) - 1)
-                coverage = min(1.0, covered / max(1, len(got)))
-                extra = Counter(words)
-                extra.subtract(got.split())
-                rest = list((+extra).elements())
-                if coverage >= MIN_COVERAGE and len(rest) <= MAX_EXTRA and not any(w in spell.known or w[0] == "[" or w.isdigit() for w in rest):
-                    out.append((clip, got, text, coverage))
+    for clip, texts in of_clip.items():
+        video = videos[clip]
+        for text in texts:
+            words = [video.speller(w) for w in text.split()]
+            matched = {passage for _, passage in automaton.iter(f" {' '.join(words)} ")}
+            for anchor in matched & video.by_anchor.keys():
+                for asked in video.by_anchor[anchor]:
+                    own = video.texts[asked]
+                    if len(words) - len(own) > MAX_EXTRA or (c := coverage(own, matched)) < MIN_COVERAGE or not in_order(own, words):
+                        continue
+                    extra = Counter(words)
+                    extra.subtract(own)
+                    if not any(w in video.known or w[0] == "[" or w.isdigit() for w in (+extra)):
+                        out.append((clip, asked, text, c))
     return pd.DataFrame(out, columns=columns)
 
 
+def _normalised(df: DataFrame, *ids: str) -> DataFrame:
+    """(*ids, clip, text) of the rows that have an id, a clip name and a question with content words."""
+    types = dict(df.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            clips = [clip_key(x) for x in b.column("clip").to_pylist()]
+            texts = [canonical(x) for x in b.column("text").to_pylist()]
+            keep = pa.array([i for i, (c, t) in enumerate(zip(clips, texts)) if c and t], pa.int64())
+            columns = [*(b.column(i) for i in ids), pa.array(clips, pa.string()), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays([x.take(keep) for x in columns], names=[*ids, "clip", "text"])
+
+    schema = ", ".join(f"{c} {types[c]}" for c in ids) + ", clip string, text string"
+    return df.where(F.col(ids[-1]).isNotNull() & F.col("clip").isNotNull() & F.col("text").isNotNull()).select(*ids, "clip", "text").mapInArrow(run, schema)
+
+
+def _bounded(df: DataFrame) -> DataFrame:
+    """Marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_CLIPS + 1).count() <= BROADCAST_CLIPS else df
+
+
+def overlapping_texts(e: DataFrame, t: DataFrame) -> DataFrame:
+    """(clip, eval_text, train_text, coverage) of the distinct texts that overlap, given normalised (clip, text) of both sides."""
+    e_texts, t_texts = e.select("clip", "text").distinct(), t.select("clip", "text").distinct()
+    count = lambda df, name: df.groupBy("clip").agg(F.count("*").alias(name))
+    per = cut(count(t_texts, "n_t").join(count(e_texts, "n_e"), "clip"))
+    groups = int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SHARDS
+    total = per.agg(F.coalesce(F.sum(F.col("n_t") + F.col("n_e")), F.lit(0))).first()[0]
+    groups = max(groups, math.ceil(total / GROUP_TEXTS))
+    parts = lambda n: F.ceil(F.col(n) / SHARD_TEXTS).cast("int")
+    large = cut(per.where((F.col("n_t") > SHARD_TEXTS) | (F.col("n_e") > SHARD_TEXTS)).select("clip", parts("n_t").alias("k_t"), parts("n_e").alias("k_e")))
+    large_ones = _bounded(large)
+
+    def placed(texts: DataFrame, own: str, other: str) -> DataFrame:
+        """A text of a large video goes to the part that its hash says, against every part of the other side."""
+        known = texts.join(large_ones, "clip", "left")
+        mine = F.pmod(F.xxhash64("text"), F.coalesce(own, F.lit(1))).cast("int").alias(own[-1])
+        all_of = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(other[-1])
+        shard = F.when(F.col(own).isNotNull(), F.col("clip")).otherwise(F.pmod(F.xxhash64("clip"), F.lit(groups)).cast("string"))
+        return known.select("clip", "text", "n", shard.alias("shard"), mine, all_of)
+
+    none = F.lit(None).cast("bigint")
+    words = lambda df, n: df.join(large_ones, "clip").select("clip", F.explode(F.split("text", " ")).alias("text")).groupBy("clip", "text").agg(n.alias("n"))
+    of_large = words(t_texts, F.count("*")).unionByName(words(e_texts, F.lit(-1).cast("bigint"))).join(large_ones, "clip")
+    every = F.explode(F.expr("flatten(transform(sequence(0, k_t - 1), x -> transform(sequence(0, k_e - 1), y -> struct(x AS t, y AS e))))")).alias("at")
+    of_large = of_large.select("clip", "text", "n", F.col("clip").alias("shard"), every).select("clip", "text", "n", "shard", "at.e", "at.t")
+    left = placed(e_texts.withColumn("n", none), "k_e", "k_t").unionByName(of_large)
+    right = placed(t_texts.withColumn("n", none), "k_t", "k_e").drop("n")
+    keys = ["shard", "e", "t"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(match_shard, "clip string, eval_text string, train_text string, coverage double")
+
+
+def _sides(evals: DataFrame, training: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides normalised once; of training only what shows a video of the evaluation splits."""
+    e = cut(_normalised(evals, "tab", "eval_id").distinct())
+    clips = _bounded(cut(e.select("clip").distinct()))
+    return e, cut(_normalised(training, "data_source", "problem_id").join(clips, "clip", "left_semi").distinct())
+
+
 def find_overlaps(evals: DataFrame, training: DataFrame) -> DataFrame:
     """Pairs (tab, eval_id, problem_id, data_source, coverage).
 
@@ -200,27 +295,15 @@ def find_overlaps(evals: DataFrame, training: DataFrame) -> DataFrame:
     text, or a text without content words match nothing; repeated rows give one pair. Empty tables give an
     empty result; further columns are ignored.
     """
-    canon = F.pandas_udf(lambda s: s.map(canonical), "string")
-
-    def known(df: DataFrame, *ids: str) -> DataFrame:
-        kept = df.select(*ids, clip_key(F.col("clip")).alias("clip"), canon("text").alias("text"))
-        return kept.where(F.col("clip").isNotNull() & (F.col("text") != "") & F.col(ids[-1]).isNotNull())
-
-    # normalised once, then read from the checkpoint by the shards and by the joins back to members
-    e = cut(known(evals, "tab", "eval_id").distinct())
-    t = cut(known(training, "data_source", "problem_id").distinct())
-    e_texts, t_texts = e.select("clip", "text").distinct(), t.select("clip", "text").distinct()
-    # only videos of both sides; a video's shards by its number of texts
-    per_clip = t_texts.groupBy("clip").agg(F.count("*").alias("n")).join(e_texts.select("clip").distinct(), "clip", "left_semi")
-    split = per_clip.select("clip", F.ceil(F.col("n") / SHARD_TEXTS).cast("int").alias("splits"))
-    groups = int(evals.sparkSession.conf.get("spark.sql.shuffle.partitions")) * SHARDS
-    base = F.pmod(F.xxhash64("clip"), F.lit(groups))
-    every = F.explode(F.sequence(F.lit(0), F.col("splits") - 1)).alias("s")
-    # a shard holds all texts of a video that is not split, and counts its words itself
-    words = t_texts.join(split.where("splits > 1"), "clip").select("clip", "splits", F.explode(F.split("text", " ")).alias("text")).groupBy("clip", "splits", "text").agg(F.count("*").alias("n"))
-    passages = e_texts.join(split, "clip").withColumn("n", F.lit(None).cast("bigint"))
-    left = passages.unionByName(words).select("clip", "text", "n", base.alias("g"), every)
-    right = t_texts.join(split, "clip").select("clip", "text", base.alias("g"), F.pmod(F.xxhash64("text"), F.col("splits")).cast("int").alias("s"))
-    hits = left.groupBy("g", "s").cogroup(right.groupBy("g", "s")).applyInPandas(match_shard, "clip string, eval_text string, train_text string, coverage double")
+    e, t = _sides(evals, training)
+    hits = overlapping_texts(e, t)
     pairs = hits.join(e.withColumnRenamed("text", "eval_text"), ["clip", "eval_text"]).join(t.withColumnRenamed("text", "train_text"), ["clip", "train_text"])
     return pairs.groupBy("tab", "eval_id", "problem_id").agg(F.max("data_source").alias("data_source"), F.max("coverage").alias("coverage"))
+
+
+def overlap_classes(evals: DataFrame, training: DataFrame) -> DataFrame:
+    """One row per overlapping pair of texts, whatever the number of their copies: (tab, eval_id, problem_id, n_eval, n_train, coverage), the ids those of the class representatives, its least members."""
+    e, t = _sides(evals, training)
+    e_class = e.groupBy("clip", F.col("text").alias("eval_text")).agg(F.min(F.struct("tab", "eval_id")).alias("first"), F.count("*").alias("n_eval"))
+    t_class = t.groupBy("clip", F.col("text").alias("train_text")).agg(F.min("problem_id").alias("problem_id"), F.countDistinct("problem_id").alias("n_train"))
+    return overlapping_texts(e, t).join(e_class, ["clip", "eval_text"]).join(t_class, ["clip", "train_text"]).select("first.tab", "first.eval_id", "problem_id", "n_eval", "n_train", F.round("coverage", 6).alias("coverage"))

@@ -154,7 +154,7 @@ def p7_limits(spark: SparkSession, d: str) -> DataFrame:
     return planned.join(bad, "source", "left").select("source", "n_docs", "max_repeats", zero("n_over"), zero("n_foreign"), zero("n_twice"))
 
 
-def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+def _splits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     vsi, temp, train = table(spark, d, "vsi_annotation"), table(spark, d, "tempcompass_annotation"), table(spark, d, "training_example")
 
     def known(df: DataFrame, tab: str, i: str, clip: str, text: str) -> DataFrame:
@@ -163,7 +163,16 @@ def _overlaps(spark: SparkSession, d: str) -> DataFrame:
     evals = known(vsi, "vsi_annotation", "id", "scene_name", "question")
     for text in ("question", "problem"):
         evals = evals.unionByName(known(temp, "tempcompass_annotation", "question_id", "video_id", text))
-    return overlap.find_overlaps(evals, train.select("problem_id", F.col("path").alias("clip"), F.col("problem").alias("text"), "data_source"))
+    return evals, train.select("problem_id", F.col("path").alias("clip"), F.col("problem").alias("text"), "data_source")
+
+
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.find_overlaps(*_splits(spark, d))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Overlapping texts with the sizes of their classes of copies, copies not expanded into pairs."""
+    return overlap.overlap_classes(*_splits(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

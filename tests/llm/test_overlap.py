@@ -3,15 +3,15 @@ import random
 import pandas as pd
 import pytest
 
-from tallyloom.llm import encoding, overlap
+from tallyloom.llm import overlap
 
 
 @pytest.mark.parametrize(
     "path,key",
-    [("train/video/hall_0000010_00_480p.MP4 ", "hall_0000010_00"), ("media\\video\\Hall_0000010_00.avi", "hall_0000010_00"), ("/store/SR/HALL%5F0000010%5F00.mkv?t=3", "hall_0000010_00"), ("clip00300104", "clip_00300104"), ("./x//CLIP00300104.PNG", "clip_00300104"), ("", None), ("///", None), (None, None)],
+    [("train/video/hall_0000010_00_480p.MP4 ", "hall_0000010_00"), ("media\\video\\Hall_0000010_00.avi", "hall_0000010_00"), ("/store/SR/HALL%5F0000010%5F00.mkv?t=3", "hall_0000010_00"), ("clip00300104", "clip_00300104"), ("./x//CLIP00300104.PNG", "clip_00300104"), ("", ""), ("///", ""), (None, "")],
 )
-def test_clip_key(spark, path, key):
-    assert spark.createDataFrame([(path,)], "p string").select(overlap.clip_key(overlap.F.col("p")).alias("k")).first().k == key
+def test_clip_key(path, key):
+    assert overlap.clip_key(path) == key
 
 
 def test_edits_against_brute_force():
@@ -44,8 +44,10 @@ def slip(q, rng):
     return " ".join(words)
 
 
-def test_overlaps_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(overlap, "SHARD_TEXTS", 40)  # the hot video is split
+@pytest.mark.parametrize("size", [20_000, 40, 9])
+def test_overlaps_against_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(overlap, "SHARD_TEXTS", size)  # the hot video is split, at 9 on both sides into many parts
+    monkeypatch.setattr(overlap, "BROADCAST_CLIPS", 3 if size == 9 else 200_000)
     rng = random.Random(4)
     clips = ["hot_001_00"] * 6 + [f"hall_{i:03d}_00" for i in range(6)]
     evals = [("e", i, rng.choice(clips), ask(rng)) for i in range(120)]
@@ -61,6 +63,8 @@ def test_overlaps_against_brute_force(spark, monkeypatch):
     T = spark.createDataFrame([(*r, 0) for r in train + [(9000, None, "x", "s"), (9001, "hot_001_00.mp4", None, "s"), (9002, "hot_001_00.mp4", "", None), (9003, "hot_001_00.mp4", "lamp " * 30_000, "s"), train[0]]], "problem_id bigint, clip string, text string, data_source string, n int")
     got = {(r.tab, r.eval_id, r.problem_id) for r in overlap.find_overlaps(E, T).collect()}
     assert got == truth and len(truth) > 100
+    classes = overlap.overlap_classes(E, T).collect()
+    assert len({(r.tab, r.eval_id, r.problem_id) for r in classes}) == len(classes) <= len(truth) and sum(r.n_eval * r.n_train for r in classes) >= len(truth)
     assert overlap.find_overlaps(E.limit(0), T).count() == 0 == overlap.find_overlaps(E, T.limit(0)).count()
 
 
@@ -70,6 +74,27 @@ def test_other_objects_numbers_and_directions_are_other_questions():
     assert not len(overlap.match_shard((0, 0), left, right))
 
 
+def brute_coverage(words, matched):
+    inside = {j for i, p in enumerate(overlap._passages(words)) if p in matched for j in (i, min(i + 1, len(words) - 1))}
+    return len(inside) / len(words)
+
+
+def test_coverage_merges_intervals():
+    rng = random.Random(2)
+    for _ in range(500):
+        words = [rng.choice("abcdef") for _ in range(rng.randint(1, 8))]
+        matched = {p for p in overlap._passages(words) if rng.random() < 0.5}
+        assert overlap.coverage(words, matched) == pytest.approx(brute_coverage(words, matched))
+
+
+@pytest.mark.parametrize("least,found", [(0.5, True), (0.8, True), (0.81, False), (1.0, False)])
+def test_the_threshold_decides_on_texts_with_words_put_in(monkeypatch, least, found):
+    monkeypatch.setattr(overlap, "MIN_COVERAGE", least)
+    left, right = (pd.DataFrame([("v", overlap.canonical(q))], columns=["clip", "text"]) for q in ("How tall is the filing cabinet in millimetres?", "How tall is the filing cabinet expessed in millimetres?"))
+    got = overlap.match_shard((), left, right)
+    assert len(got) == found and (not found or got["coverage"][0] == 0.8)
+
+
 def test_verdict_on_a_pair_does_not_depend_on_the_other_videos_of_its_shard():
     evals = [("v", "How many stools are in the picture of a bathroom?"), ("u", "Does the carefully drawn bathrom appear?")]
     train = [("v", "Carefully: How many stools are in the picture of a bathrom?"), *(("u", f"Is bathrom {i} seen by itself?") for i in range(9))]
@@ -86,54 +111,3 @@ def test_words_of_a_split_video_count_in_all_its_shards(spark, monkeypatch):
     for size in (20_000, 1):
         monkeypatch.setattr(overlap, "SHARD_TEXTS", size)
         assert overlap.find_overlaps(E, T).count() == 0  # too frequent in the video to be a slip
-
-
-WORDS = "lámpara está detrás señala sillón próximo größer Tür Küche für weiße façade naïve à côté fenêtre déjà São três coração łóżko źle część лампа стоит рядом окном камера 机の上にランプ 椅子は動かされました 24 m² ±90° “keep” – • € £20 ★★☆ 🙂 É Ä Ø".split(" ")
-
-
-def test_undo_is_the_inverse_of_garbling():
-    rng, n = random.Random(5), 0
-    for _ in range(400):
-        chain, w = rng.choice(encoding.CHAINS), rng.choice(WORDS)
-        g = encoding.garble(w, chain)
-        if g and "�" not in g and g != w:
-            n += 1
-            assert encoding.undo(g, chain) == w, (chain, w, g)
-    assert n > 80
-
-
-def test_find_garbled(spark):
-    rng = random.Random(6)
-    vocab = [w for w in WORDS if w]
-    say = lambda: " ".join(rng.choice(vocab if rng.random() < 0.4 else ["the", "lamp", "stands", "here"]) for _ in range(25))
-    clean = [(i, say()) for i in range(1200)]
-    chains = [("cp1252", "utf_8", 1), ("cp1252", "utf_8", 2), ("cp437", "utf_8", 1), ("cp1251", "utf_8", 1), ("mac_roman", "utf_8", 1)]
-    bad = []
-    for i in range(60):
-        t = say()
-        half = t.split(" ")
-        g = encoding.garble(" ".join(half[10:]), chains[i % len(chains)])
-        bad.append((5000 + i, " ".join(half[:10]) + " " + g, t))
-    rows = clean + [(i, g) for i, g, _ in bad] + [(9000, None), (9001, ""), (9002, "plain ASCII & more"), (9003, "a lost � sign"), (5000, bad[0][1]), (9004, "naïve lamp " * 20_000)]
-    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, gain string")
-    got = {r.doc_id: r for r in encoding.find_garbled(df).collect()}
-    assert set(got) - {i for i, _, _ in bad} == {9003}
-    assert len(set(got)) >= 59 and got[9003].lost and got[9003].restored is None
-    right = sum(i in got and got[i].restored == t for i, _, t in bad)
-    assert right >= 50, right
-    assert encoding.find_garbled(df.limit(0)).count() == 0
-
-
-def test_margin_counts_every_held_out_text_whatever_its_length(spark, monkeypatch):
-    rng = random.Random(9)
-    rows = [(i, " ".join(rng.choice(WORDS[:30]) for _ in range(3500 if i % 3 == 0 else 8)) + " naïve") for i in range(150)]
-    held = []
-    judged = encoding.validate
-    monkeypatch.setattr(encoding, "validate", lambda model, clean: held.append(clean) or judged(model, clean))
-    model, margin = encoding.fit(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    texts = [r.text for r in held[0].collect()]
-    assert sum(len(t) >= 20_000 for t in texts) >= 2
-    gains = [model.judge(t)[0] for t in texts]
-    allowed = [m for m in encoding.MARGINS if sum(g > m for g in gains) <= encoding.CLEAN_FLAGGED * len(gains)]
-    assert margin == (allowed or encoding.MARGINS[-1:])[0]
-    assert encoding.validate(model, held[0].limit(0)) == encoding.MARGINS[0]
