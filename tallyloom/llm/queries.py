@@ -187,7 +187,7 @@ def p5_overlap_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return encoding.find_garbled(table(spark, d, "documents")).select("doc_id")
+    return encoding.judged(table(spark, d, "documents"))[0].select("doc_id")
 
 
 def p8_restored(spark: SparkSession, d: str) -> DataFrame:
@@ -195,6 +195,12 @@ def p8_restored(spark: SparkSession, d: str) -> DataFrame:
     return encoding.find_garbled(table(spark, d, "documents")).withColumn("gain", F.round("gain", 3))
 
 
+def p8_validation(spark: SparkSession, d: str) -> DataFrame:
+    """The margin, and on how many held-out clean texts and garbled ones made from them it was validated, with which shares found."""
+    check = encoding.judged(table(spark, d, "documents"))[2]
+    return spark.createDataFrame([tuple(check.values())], "margin double, n_clean bigint, n_garbled bigint, clean_flagged double, recall double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 

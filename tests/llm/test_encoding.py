@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import pytest
 
@@ -40,16 +42,62 @@ def test_find_garbled(spark):
     assert encoding.find_garbled(df.limit(0)).count() == 0
 
 
-def test_margin_counts_every_held_out_text_whatever_its_length(spark, monkeypatch):
+def test_candidates_are_what_undo_gives():
+    for w in [w for w in WORDS if not w.isascii()] + [encoding.garble(w, c) for w in WORDS[:20] for c in encoding.MADE_BY]:
+        numbers, at, texts = encoding.candidates(w) if w else ([], [], [])
+        expected = {k: was for k, c in enumerate(encoding.CHAINS) if w and (was := encoding.undo(w, c)) not in (None, w) and "�" not in was and was.isprintable()}
+        assert {k: texts[i] for k, i in zip(numbers, at)} == expected
+
+
+def brute_score(model, text):
+    """The interpolated log likelihood by hand, one trigram at a time."""
+
+    def place(*codes):
+        h = 1469598103
+        for c in codes:
+            h = (h * 1000003 ^ c) & 0xFFFFFFFFFFFF
+        return (h ^ h >> 23) & ((1 << encoding.BITS) - 1)
+
+    codes, total = [2, 3, *(48 if c in "0123456789" else ord(c.lower()) if c.isascii() else ord(c) for c in text), 4], 0.0
+    tri, tri_of, bi, bi_of, uni = model.counts
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        if max(a, b, c) > 127:
+            p = encoding.WEIGHTS[0] * tri[place(1, a, b, c)] / max(1, tri_of[place(2, a, b)]) + encoding.WEIGHTS[1] * bi[place(3, b, c)] / max(1, bi_of[place(4, b)])
+            total += math.log(min(1, p + encoding.WEIGHTS[2] * uni[place(5, c)] / model.total + encoding.WEIGHTS[3] / 1000))
+    return total
+
+
+def test_scores_against_brute_force(spark):
+    distinct = spark.createDataFrame([(w, i + 1) for i, w in enumerate(WORDS) if not w.isascii()] + [("Öl", 0)], "piece string, n bigint")
+    model = encoding.train(distinct)
+    texts = [*WORDS, "Größe 12é", "", "ab"]
+    assert model.scores(texts) == pytest.approx([brute_score(model, t) for t in texts]) and len(model.scores([])) == 0
+    for w, gains in zip(WORDS, model.gains(WORDS)):
+        own = brute_score(model, w)
+        every = {k: brute_score(model, was) - own for k, c in enumerate(encoding.CHAINS) if (was := encoding.undo(w, c)) not in (None, w) and "�" not in was and was.isprintable()}
+        assert gains == pytest.approx({k: g for k, g in every.items() if g > 0})
+
+
+def test_the_margin_is_validated_on_clean_and_garbled_texts(spark):
+    posted = spark.createDataFrame([(i, k, False, "x", 1) for k in (encoding.OUT, encoding.MADE) for i in range(100)] + [(500, encoding.SIGNED, False, "x", 1)], "doc_id bigint, kind int, lost boolean, piece string, n bigint")
+    gain = lambda k, i: 1.7 if k == encoding.OUT and i < 5 else 3.2 if k == encoding.MADE and i < 1 else 9.0 if k == encoding.MADE else 0.1
+    sums = spark.createDataFrame([(i, k, gain(k, i), 0) for k in (encoding.OUT, encoding.MADE) for i in range(100)] + [(500, encoding.SIGNED, 50.0, 0)], "doc_id bigint, kind int, gain double, k int")
+    assert encoding.validated(posted, sums) == {"margin": 2.5, "n_clean": 100, "n_garbled": 100, "clean_flagged": 0.0, "recall": 1.0}
+    assert encoding.validated(posted.limit(0), sums.limit(0))["n_clean"] == 0
+
+
+def test_made_texts_are_garbled_in_whole_or_in_part():
+    found, kinds = Counter({w: 2 for w in ("größer", "Küche", "weiße", "schön", "für")}), Counter()
+    for seed in range(300):
+        got = encoding.made(found, seed)
+        if got:
+            assert not any(encoding._LOST.search(p) for p in got)
+            kinds["part" if any(p in got for p in found) else "whole"] += 1
+    assert min(kinds["part"], kinds["whole"]) > 40 and encoding.made(Counter({"ok": 1}), 1) is None
+
+
+def test_long_texts_are_judged_whole(spark):
     rng = random.Random(9)
-    rows = [(i, " ".join(rng.choice(WORDS[:30]) for _ in range(3500 if i % 3 == 0 else 8)) + " naïve") for i in range(150)]
-    held = []
-    judged = encoding.validate
-    monkeypatch.setattr(encoding, "validate", lambda model, clean: held.append(clean) or judged(model, clean))
-    model, margin = encoding.fit(spark.createDataFrame(rows, "doc_id bigint, text string"))
-    texts = [r.text for r in held[0].collect()]
-    assert sum(len(t) >= 20_000 for t in texts) >= 2
-    gains = [model.judge(t)[0] for t in texts]
-    allowed = [m for m in encoding.MARGINS if sum(g > m for g in gains) <= encoding.CLEAN_FLAGGED * len(gains)]
-    assert margin == (allowed or encoding.MARGINS[-1:])[0]
-    assert encoding.validate(model, held[0].limit(0)) == encoding.MARGINS[0]
+    vocab = [w for w in WORDS if w]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(30))) for i in range(400)] + [(1000, "the lamp " * 30_000 + encoding.garble("größer für weiße Küche", ("cp1252", "utf_8", 1)))]
+    assert 1000 in {r.doc_id for r in encoding.judged(spark.createDataFrame(rows, "doc_id bigint, text string"))[0].collect()}
