@@ -63,9 +63,10 @@ def sample_fps(n: Column, total: Column, video_fps: Column) -> Column:
     return n / F.greatest(total.cast("double"), F.lit(1e-6)) * video_fps
 
 
-def pixel_budget(n: Column, total_pixels: int, frame_max: int, frame_min: int) -> Column:
-    """Pixels a frame may have when n frames share a total."""
-    return F.greatest(F.least(F.lit(float(frame_max)), F.lit(float(total_pixels)) / n * FRAME_FACTOR), F.lit(float(int(frame_min * 1.05))))
+def pixel_budget(n: Column, total_pixels: int, frame_max: int, frame_min: int, given: Column | None = None) -> Column:
+    """Pixels a frame may have when n frames share a total; a maximum given by the row lowers it and never raises it."""
+    limit = F.greatest(F.least(F.lit(float(frame_max)), F.lit(float(total_pixels)) / n * FRAME_FACTOR), F.lit(float(int(frame_min * 1.05))))
+    return limit if given is None else F.least(given.cast("double"), limit)
 
 
 def padded_even(frames: Column) -> Column:
@@ -82,11 +83,15 @@ def sampled_frames(total: Column, video_fps: Column, num_frames: int, fps: int)
     return F.struct(n.cast("bigint").alias("n"), duration.alias("duration"), idx.alias("indices"), F.transform(idx, lambda i: F.floor(i / rate)).alias("timestamps"))
 
 
-def capped_size(h: Column, w: Column, max_side: int = 448) -> Column:
-    """(height, width) no longer than max_side, never enlarged."""
+def capped_size(h: Column, w: Column, max_side: int = 448, transposed: bool = False) -> Column:
+    """(height, width) no longer than max_side, never enlarged. `transposed` gives shrunken images the sides the other way round, as a reader does that takes width for height."""
     scale = F.lit(float(max_side)) / F.greatest(h, w)
     fit = lambda x: F.when(F.greatest(h, w) <= max_side, x).otherwise(F.floor(x * scale)).cast("bigint")
-    return F.struct(fit(h).alias("height"), fit(w).alias("width"))
+    a, b = fit(h), fit(w)
+    if transposed:
+        small = F.greatest(h, w) <= max_side
+        a, b = F.when(small, a).otherwise(b), F.when(small, b).otherwise(a)
+    return F.struct(a.alias("height"), b.alias("width"))
 
 
 def backoff_delay(attempt: Column, base: float = 3.0, spread: Column | None = None) -> Column:

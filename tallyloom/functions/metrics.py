@@ -6,9 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from . import text
+from . import text, wordscores
 from .binding import let
-from .stemming import stemmed
 
 #: The ten confidence levels of mean relative accuracy, as binary doubles of 0.5 + i * (0.45 / 9).
 LEVELS = [0.5 + i * ((0.95 - 0.5) / 9) for i in range(10)]
@@ -94,28 +93,9 @@ def camera_distance(pred: Column, truth: Column) -> Column:
     return F.sqrt(F.pow((p["x"] - t["x"]) / 1000, 2) + F.pow((p["y"] - t["y"]) / 1000, 2) + F.pow(p["depth"] - t["depth"], 2))
 
 
-def words(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+"), lambda w: w != "")
-
-
 def word_error_rate(reference: Column, hypothesis: Column) -> Column:
-    """Levenshtein distance on words over the number of reference words (1 at least): a fold over reference words that carries the row of distances."""
-    r, h = words(reference), words(hypothesis)
-    first = F.transform(F.sequence(F.lit(0), F.size(h)), lambda i: i.cast("int"))
-
-    def step(row: Column, w: Column) -> Column:
-        start = F.array((F.get(row, F.lit(0)) + 1).cast("int"))
-        zipped = F.transform(h, lambda x, j: F.struct(x.alias("x"), j.alias("j")))
-
-        def cell(acc: Column, z: Column) -> Column:
-            same = F.get(row, z["j"])
-            least = F.least(same, F.get(row, z["j"] + 1), F.element_at(acc, -1))
-            return F.array_append(acc, F.when(z["x"] == w, same).otherwise(least + 1).cast("int"))
-
-        return F.aggregate(zipped, start, cell)
-
-    last = F.aggregate(r, first, step)
-    return F.element_at(last, -1).cast("double") / F.greatest(F.lit(1), F.size(r))
+    """Levenshtein distance on words over the number of reference words (1 at least)."""
+    return wordscores.error_rate(reference, hypothesis)
 
 
 def clamp01(c: Column) -> Column:
@@ -123,36 +103,6 @@ def clamp01(c: Column) -> Column:
     return let(c, lambda x: F.when(x < ZERO, ZERO).when(x > ONE, ONE).otherwise(x))
 
 
-def plain_words(c: Column) -> Column:
-    """Lower-case words without marks."""
-    return F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda w: w != "")
-
-
-def _f1(common: Column, n_said: Column, n_truth: Column) -> Column:
-    p, q = F.try_divide(common, n_said), F.try_divide(common, n_truth)
-    return F.coalesce(F.try_divide(2 * p * q, p + q), F.lit(ZERO))
-
-
-def ngrams_f1(r: Column, h: Column, n: int) -> Column:
-    """F1 of n-grams of two word lists, each counted as often as both hold it."""
-
-    def grams(w: Column) -> Column:
-        if n == 1:
-            return w
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-
-    def score(s: Column) -> Column:
-        count = lambda a, g: F.size(F.filter(a, lambda x: x == g))
-        both = F.aggregate(F.array_distinct(s["h"]), F.lit(0), lambda acc, g: acc + F.least(count(s["h"], g), count(s["r"], g)))
-        return _f1(both.cast("double"), F.size(s["h"]), F.size(s["r"]))
-
-    return let(F.struct(grams(r).alias("r"), grams(h).alias("h")), score)
-
-
-def ngram_f1(reference: Column, hypothesis: Column, n: int) -> Column:
-    return let(F.struct(plain_words(reference).alias("r"), plain_words(hypothesis).alias("h")), lambda s: ngrams_f1(s["r"], s["h"], n))
-
-
 def regression_score(pred: Column, truth: Column) -> Column:
     """1 less the clamped relative difference, 0 for anything that is no number."""
     both = F.struct(text.normalized_number(pred).alias("p"), text.normalized_number(truth).alias("t"))
@@ -164,27 +114,7 @@ def format_score(c: Column) -> Column:
     return c.rlike(r"(?s)\A<think>.*?</think>\s*<answer>.*?</answer>\z").cast("double")
 
 
-def longest_common_f1(r: Column, h: Column) -> Column:
-    """F1 of the longest common subsequence of two word lists: the fold of word errors with its row of lengths."""
-
-    def score(s: Column) -> Column:
-        zipped = F.transform(s["h"], lambda x, j: F.struct(x.alias("x"), j.alias("j")))
-        first = F.array_repeat(F.lit(0), F.size(s["h"]) + 1)
-
-        def step(row: Column, w: Column) -> Column:
-            def cell(acc: Column, z: Column) -> Column:
-                return F.array_append(acc, F.when(z["x"] == w, F.get(row, z["j"]) + 1).otherwise(F.greatest(F.get(row, z["j"] + 1), F.element_at(acc, -1))).cast("int"))
-
-            return F.aggregate(zipped, F.array(F.lit(0)), cell)
-
-        common = F.element_at(F.aggregate(s["r"], first, step), -1).cast("double")
-        return _f1(common, F.size(s["h"]), F.size(s["r"]))
-
-    return let(F.struct(r.alias("r"), h.alias("h")), score)
-
-
 def mean_rouge(reference: Column, hypothesis: Column, stemming: bool = True) -> Column:
-    """Mean F1 of single words, word pairs and the longest common subsequence; stems are made in one Arrow pass."""
-    prepare = stemmed if stemming else plain_words
-    mean = lambda s: (ngrams_f1(s["r"], s["h"], 1) + ngrams_f1(s["r"], s["h"], 2) + longest_common_f1(s["r"], s["h"])) / F.lit(3.0)
-    return let(F.struct(prepare(reference).alias("r"), prepare(hypothesis).alias("h")), mean)
+    """Mean F1 of single words, word pairs and the longest common subsequence; 0 where a text is null."""
+    s = wordscores.rouge_scores(reference, hypothesis, stemming)
+    return F.coalesce(let(s, lambda x: (x["unigram"] + x["bigram"] + x["longest"]) / F.lit(3.0)), F.lit(ZERO))

@@ -13,9 +13,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from . import text
+
 POINTS = "map<string,array<array<int>>>"
+# What counts as a number and as a name.
 _NUMBERS = re.compile(r"-?\d+(?:\.\d+)?")
-_ELEMENT = re.compile(r"^[<\[(]*(-?\d+(?:\.\d+)?)[>\])]*$")
+_ELEMENT = re.compile(text.ELEMENT)
 _NAME = re.compile(r"^[^\w\s]*([\w\s]+)[^\w\s]*$")
 
 

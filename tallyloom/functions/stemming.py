@@ -5,8 +5,6 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, functions as F
 
 # Suffixes and what takes their place, by step of the publication.
 _STEP_2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"), ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble")]
@@ -81,9 +79,5 @@ def tokens(text: str | None) -> list[str] | None:
     return None if text is None else [stem(t) if len(t) > 3 else t for t in _TOKEN.findall(text.lower())]
 
 
-def _batch(s: pd.Series) -> pd.Series:
-    return s.map(tokens)
-
-
-def stemmed(c: Column) -> Column:
-    return F.pandas_udf(_batch, "array<string>")(c)
+def plain_tokens(text: str) -> list[str]:
+    return _TOKEN.findall(text.lower())

@@ -27,6 +27,9 @@ OPTION_PATTERNS = [
     r"\b([A-E])[\.\)]\s*$",
 ]
 
+# Fixed value: an element of a point, in brackets of any kind.
+ELEMENT = r"^[<\[(]*(-?\d+(?:\.\d+)?)[>\])]*$"
+
 _BLANK = r"^\s+|\s+$"
 
 
@@ -167,14 +170,14 @@ def split_reasoning(c: Column) -> Column:
     """A raw response as problem, reasoning and final answer.
 
     The problem is what precedes the first <think>, without a leading `Question:` and trailing `Answer:`; all
-    closed think bodies are joined by a blank; the final answer follows the last <answer>.
+    closed think bodies are joined by a blank; the final answer follows the last <answer>, without a leading `Answer:`.
     """
     parts = F.split(c, "<think>")
     problem = strip(F.regexp_replace(F.regexp_replace(strip(F.get(parts, F.lit(0))), r"^Question:", ""), r"Answer:\s*$", ""))
     closed = F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.contains(p, F.lit("</think>")))
     thinking = F.array_join(F.transform(closed, lambda p: strip(F.substring_index(p, "</think>", 1))), " ")
     tail = F.element_at(F.split(c, "<answer>"), -1)
-    answer = strip(F.replace(F.substring_index(tail, "</answer>", 1), F.lit("Answer:"), F.lit("")))
+    answer = F.regexp_replace(strip(F.substring_index(tail, "</answer>", 1)), r"^Answer:\s*", "")
     return F.struct(problem.alias("problem"), thinking.alias("thinking"), F.when(F.contains(c, F.lit("<answer>")), answer).alias("answer"))
 
 
@@ -194,7 +197,7 @@ def data_url(c: Column, kind: str = "image") -> Column:
 
 def number_of(c: Column) -> Column:
     """A coordinate element freed of brackets, as a number."""
-    return F.regexp_extract(c, r"^[<\[(]*(-?\d+(?:\.\d+)?)[>\])]*$", 1).try_cast("double")
+    return F.regexp_extract(c, ELEMENT, 1).try_cast("double")
 
 
 def run_directory(ts: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text
+from ..session import cut
 
 BROADCAST_ROWS = 100_000
 
@@ -22,6 +23,17 @@ def clean_reasoning(raw: DataFrame, response: str = "response") -> DataFrame:
     return raw.withColumns({"problem": parts["problem"], "solution": F.concat(body, answer)})
 
 
+def ingest_annotations(raw: DataFrame, line: str = "line") -> DataFrame:
+    """image_path, problem, solution, original_question and original_answer of raw annotations, JSON texts with a response, an image's path, a question and an answer.
+
+    A text that is no JSON, or lacks one of the four, gives nulls throughout.
+    """
+    data = F.from_json(F.col(line), "gpt4o_response string, image_path string, question string, answer string")
+    whole = data["gpt4o_response"].isNotNull() & data["image_path"].isNotNull() & data["question"].isNotNull() & data["answer"].isNotNull()
+    got = clean_reasoning(raw.withColumns({"_d": F.when(whole, data)}).withColumn("_r", F.col("_d.gpt4o_response")), "_r")
+    return got.withColumns({"image_path": F.col("_d.image_path"), "original_question": F.col("_d.question"), "original_answer": F.col("_d.answer")}).drop("_d", "_r")
+
+
 def keep_clean(df: DataFrame, problem: str = "problem", solution: str = "solution", height: str | None = None, width: str | None = None, least: int = 28) -> DataFrame:
     """Rows without empty or adjacent tag pairs in the solution, without `Answer:` in the problem, with images large enough; rows of null solutions are dropped."""
     ok = ~text.has_empty_tags(F.col(solution)) & ~F.contains(F.col(problem), F.lit("Answer:"))
@@ -60,7 +72,7 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
     """Row numbers from 0 over the whole order, without a single-task window: ranges are sorted apart and their counts added up."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
+    parts = cut(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))  # both uses read the same ranges
     local = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
     counted = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counted.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row per range

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.binding import let
+
 
 def _w(group: str = "group_id") -> Window:
     return Window.partitionBy(group)
@@ -58,14 +60,13 @@ def completion_length(ids: Column, eos: int) -> Column:
 
 
 def completion_mask(ids: Column, eos: int) -> Column:
-    n = completion_length(ids, eos)
-    return F.transform(ids, lambda x, i: F.when(i < n, 1).otherwise(0))
+    return let(completion_length(ids, eos), lambda n: F.transform(ids, lambda x, i: F.when(i < n, 1).otherwise(0)))
 
 
 def token_kl(logp: Column, ref: Column, limit: float = 10.0) -> Column:
     """exp(x) - x - 1 per token, x the clamped difference of the reference's and the policy's log-probability."""
-    x = lambda z: F.greatest(F.lit(-limit), F.least(F.lit(limit), z["r"] - z["p"]))
-    return F.transform(F.arrays_zip(logp.alias("p"), ref.alias("r")), lambda z: F.exp(x(z)) - x(z) - 1)
+    clamped = F.zip_with(logp, ref, lambda p, r: F.greatest(F.lit(-limit), F.least(F.lit(limit), r - p)))
+    return F.transform(clamped, lambda x: F.exp(x) - x - 1)
 
 
 def masked_mean(values: Column, mask: Column) -> Column:
@@ -91,3 +92,9 @@ def keep_last_tokens(ids: Column, n: int) -> Column:
 def process_slice(rows: DataFrame, process: int, per_process: int, order: str = "rn") -> DataFrame:
     """The rows of one process, by position."""
     return rows.where(F.col(order).between(process * per_process, (process + 1) * per_process - 1))
+
+
+def regrouped(rows: DataFrame, owners: DataFrame, per_item: int, order: str = "rn") -> DataFrame:
+    """Gathered rows given back to their processes: each item of `owners` (item, process) owns per_item rows, in order; `local` is the position among the process's own."""
+    owned = rows.withColumn("item", F.floor(F.col(order) / per_item)).join(owners, "item")
+    return owned.withColumn("local", F.row_number().over(Window.partitionBy("process").orderBy(order)) - 1)

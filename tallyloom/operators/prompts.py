@@ -23,12 +23,17 @@ def lettered(options: Column) -> Column:
 
 
 def keyed(options: Column) -> Column:
-    """`key text` lines of a map, keys in order."""
-    return F.array_join(F.transform(F.array_sort(F.map_entries(options)), lambda e: F.concat_ws(" ", e["key"], e["value"])), "\n")
+    """`key text` lines of a map, in its order."""
+    return F.array_join(F.transform(F.map_entries(options), lambda e: F.concat_ws(" ", e["key"], e["value"])), "\n")
 
 
 def time_range(question: Column, start: Column, end: Column) -> Column:
-    return F.concat(F.lit("From "), start.cast("string"), F.lit(" s to "), end.cast("string"), F.lit(" s. "), question)
+    return F.concat(F.lit("From "), start.cast("string"), F.lit(" seconds to "), end.cast("string"), F.lit(" seconds. "), question)
+
+
+def ranged_question(question: Column, start: Column, end: Column, candidates: Column) -> Column:
+    """A question on a stretch of a video with its keyed candidates below."""
+    return F.concat(time_range(question, start, end), F.lit("\n"), keyed(candidates))
 
 
 def answer_letter(index: Column) -> Column:
@@ -46,18 +51,42 @@ def filled(template: Column, **values: Column) -> Column:
     return template
 
 
-def with_template(rows: DataFrame, templates: DataFrame, kind: str, fallback: str, strict: bool = False) -> DataFrame:
-    """`template` by the row's prompt kind, the fallback's for unknown kinds, or an error if strict. templates: (kind, template), one per kind."""
-    t = templates.select(F.col("kind").alias("_k"), "template")
-    base = t.where(F.col("_k") == fallback).select(F.col("template").alias("_base"))
-    joined = rows.join(F.broadcast(t), F.col(kind) == F.col("_k"), "left").crossJoin(F.broadcast(base.limit(1)))  # a catalogue of templates, one row each
-    missing = F.raise_error(F.concat(F.lit("unknown prompt kind: "), F.coalesce(F.col(kind), F.lit("null")))).cast("string") if strict else F.col("_base")
-    return joined.withColumn("template", F.coalesce("template", missing)).drop("_k", "_base")
+def with_template(rows: DataFrame, templates: dict[str, str], kind: str, fallback: str, strict: bool = False) -> DataFrame:
+    """`template` by the row's prompt kind, the fallback's for unknown kinds, or an error if strict: a map literal, no join."""
+    return rows.withColumn("template", _looked_up(templates, F.col(kind), None if strict else templates[fallback]))
+
+
+def _looked_up(values: dict[str, str], key: Column, default: str | None) -> Column:
+    known = F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    missing = F.raise_error(F.concat(F.lit("unknown prompt kind: "), F.coalesce(key, F.lit("null")))).cast("string") if default is None else F.lit(default)
+    return F.coalesce(F.try_element_at(known, key), missing)
+
+
+def typed_prompt(question: Column, problem_type: Column, template: str, suffixes: dict[str, str], strict: bool = False) -> Column:
+    """The template with its {Question}, and behind it what the problem type asks for; without an entry nothing, or an error if strict."""
+    return F.concat(filled(F.lit(template), Question=question), _looked_up(suffixes, problem_type, None if strict else ""))
+
 
+def listed(names: Column) -> Column:
+    """Names as a bracketed list in quotes: single ones, double ones around a name that holds a single one."""
+    quoted = F.transform(names, lambda n: F.when(F.contains(n, F.lit("'")), F.concat(F.lit('"'), n, F.lit('"'))).otherwise(F.concat(F.lit("'"), n, F.lit("'"))))
+    return F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]"))
 
-def map_aware(problem: Column, object_list: Column, data_source: Column, source: str = "SR_dataset") -> Column:
-    """A problem with the objects to map, for rows of the mapped source."""
-    return F.when((data_source == source) & object_list.isNotNull(), F.concat(problem, F.lit("\nObjects: "), F.array_join(object_list, ", "))).otherwise(problem)
+
+def map_aware(question: Column, cognitive_map: Column, data_source: Column, problem_type: Column, plain: str, mapped: str, suffixes: dict[str, str], example: str, source: str = "SR_dataset") -> Column:
+    """A prompt that asks rows of the mapped source for an object map too.
+
+    Its template has {Question}, {object_list} and {map_example}; the names are those of the row's map. A row of
+    that source without a map has no prompt.
+    """
+    suffix = _looked_up(suffixes, problem_type, "")
+    with_map = filled(F.lit(mapped), Question=question, object_list=listed(F.map_keys(cognitive_map)), map_example=F.lit(example))
+    return F.concat(F.when(data_source == source, with_map).otherwise(filled(F.lit(plain), Question=question)), suffix)
+
+
+def single_choice(problem: Column, solution: Column) -> Column:
+    """(query, choices, gold_index): a prompt whose only choice is its solution."""
+    return F.struct(problem.alias("query"), F.array(solution).alias("choices"), F.lit(0).alias("gold_index"))
 
 
 def _part(kind: Column, text: Column | None = None, media: Column | None = None) -> Column:
@@ -65,7 +94,7 @@ def _part(kind: Column, text: Column | None = None, media: Column | None = None)
     media = null if media is None else media
     return F.struct(
         kind.alias("type"), (null if text is None else text).alias("text"),
-        F.when(kind == "image", media).alias("image"), F.when(kind == "video", media).alias("video"),
+        F.when(kind == "image", media).alias("image"), F.when(kind == "image_url", media).alias("image_url"), F.when(kind == "video", media).alias("video"),
     )
 
 
@@ -90,9 +119,14 @@ def without_nulls(messages: Column) -> Column:
 
 
 def vision_parts(messages: Column) -> Column:
-    """The image and video parts of a conversation, in order."""
+    """The parts of a conversation that hold an image, an image's address or a video, or are of such a type, in order."""
     parts = F.flatten(F.transform(messages, lambda m: m["content"]))
-    return F.filter(parts, lambda p: p["image"].isNotNull() | p["video"].isNotNull() | p["type"].isin("image", "image_url", "video"))
+    return F.filter(parts, lambda p: p["image"].isNotNull() | p["image_url"].isNotNull() | p["video"].isNotNull() | p["type"].isin("image", "image_url", "video"))
+
+
+def vision_parts_of_all(conversations: Column) -> Column:
+    """The same over several conversations, one after the other."""
+    return vision_parts(F.flatten(conversations))
 
 
 def media_kind(path: Column) -> Column:

@@ -9,13 +9,13 @@ from ..functions import metrics
 # Task families of the benchmarks.
 VSI_CHOICE = ["object_rel_direction_easy", "object_rel_direction_medium", "object_rel_direction_hard", "object_rel_distance", "route_planning", "obj_appearance_order"]
 VSI_NUMBER = ["object_abs_distance", "object_counting", "object_size_estimation", "room_size_estimation"]
-VSI_DIRECTIONS = VSI_CHOICE[:3]
+VSI_DIRECTIONS = ["object_rel_direction_easy", "object_rel_direction_medium", "object_rel_direction_hard"]
 SPAR_CHOICE = ["obj_spatial_relation_oo", "obj_spatial_relation_oc_mv", "obj_spatial_relation_oo_mv", "spatial_imagination_oc", "spatial_imagination_oo", "spatial_imagination_oc_mv", "spatial_imagination_oo_mv", "position_matching", "camera_motion_infer", "distance_infer_center_oo", "distance_infer_center_oo_mv"]
 SPAR_NUMBER = ["depth_prediction_oc", "depth_prediction_oo", "distance_prediction_oc", "distance_prediction_oo", "depth_prediction_oc_mv", "depth_prediction_oo_mv", "distance_prediction_oo_mv", "distance_prediction_oc_mv"]
 SPAR_VIEW = ["view_change_infer"]
 SPAR_LOW = SPAR_NUMBER
-SPAR_MIDDLE = ["position_matching", "camera_motion_infer"]
-SPAR_HIGH = [t for t in SPAR_CHOICE if t not in SPAR_MIDDLE]
+SPAR_MIDDLE = ["view_change_infer", "position_matching", "camera_motion_infer"]
+SPAR_HIGH = ["obj_spatial_relation_oo", "obj_spatial_relation_oc_mv", "obj_spatial_relation_oo_mv", "spatial_imagination_oc", "spatial_imagination_oo", "spatial_imagination_oc_mv", "spatial_imagination_oo_mv", "distance_infer_center_oo", "distance_infer_center_oo_mv"]
 STI_SPATIAL = ["Dimensional Measurement", "Displacement & Path Length", "Ego-Centric Orientation", "Spatial Relation", "Speed & Acceleration", "Trajectory Description"]
 LONG_PERCEPTION = ["S2E", "S2O", "S2A", "E2O", "O2E", "T2E", "T2O", "T2A"]
 LONG_RELATION = ["E3E", "O3O", "SSS", "SOS", "SAA", "T3E", "T3O", "TOS", "TAA"]
@@ -29,17 +29,23 @@ def family(task: Column, choice: list[str], number: list[str], special: list[str
     return out.when(task.isNotNull(), F.raise_error(F.concat(F.lit("unknown task: "), task)))
 
 
-def vsi_score(task: Column, pred: Column, truth: Column) -> Column:
-    return F.when(task.isin(VSI_CHOICE), metrics.choice_task_score(pred, truth)).when(task.isin(VSI_NUMBER), metrics.number_task_score(pred, truth))
+def _known(score: Column, task: Column, strict: bool) -> Column:
+    return score.otherwise(F.when(task.isNotNull(), F.raise_error(F.concat(F.lit("unknown task: "), task)))) if strict else score
 
 
-def spar_score(task: Column, pred: Column, truth: Column) -> Column:
+def vsi_score(task: Column, pred: Column, truth: Column, strict: bool = True) -> Column:
+    """The score of a row by its task; an unknown task raises, or is null if not strict."""
+    return _known(F.when(task.isin(VSI_CHOICE), metrics.choice_task_score(pred, truth)).when(task.isin(VSI_NUMBER), metrics.number_task_score(pred, truth)), task, strict)
+
+
+def spar_score(task: Column, pred: Column, truth: Column, strict: bool = True) -> Column:
     multi = task.endswith("_mv")
-    return (
+    return _known(
         F.when(task.isin(SPAR_CHOICE), metrics.contained_match(pred, truth))
         .when(task.isin(SPAR_NUMBER), metrics.spatial_number_score(pred, truth, multi))
-        .when(task.isin(SPAR_VIEW), metrics.view_change_score(pred, truth))
-    )
+        .when(task.isin(SPAR_VIEW), metrics.view_change_score(pred, truth)),
+        task, strict,
+    )
 
 
 def task_means(scored: DataFrame, task: str, score: str) -> DataFrame:
@@ -51,38 +57,60 @@ def _long(df: DataFrame, scope: str) -> DataFrame:
     return df.select(F.lit(scope).alias("scope"), "name", "n", "value")
 
 
+def _listed(means: DataFrame) -> DataFrame:
+    """All means in one row, so that what is made of them needs no second scan; as many entries as there are tasks."""
+    return means.agg(F.collect_list(F.struct("name", "n", "value")).alias("m"))
+
+
+def _sum(entries: Column, field: str) -> Column:
+    return F.aggregate(F.filter(entries, lambda e: e[field].isNotNull()), F.lit(0).cast("double"), lambda a, e: a + e[field])
+
+
+def _mean(entries: Column) -> Column:
+    return F.try_divide(_sum(entries, "value"), F.size(F.filter(entries, lambda e: e["value"].isNotNull())))
+
+
+def _entry(name: str, n: Column, value: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), n.cast("bigint").alias("n"), value.cast("double").alias("value"))
+
+
+def _with_overall(entries: DataFrame) -> DataFrame:
+    """Rows of the entries e and of their macro mean."""
+    e = F.col("e")
+    scoped = F.concat(F.transform(e, lambda x: F.struct(F.lit("task").alias("scope"), x.alias("x"))), F.array(F.struct(F.lit("overall").alias("scope"), _entry("overall", _sum(e, "n"), _mean(e)).alias("x"))))
+    return entries.select(F.explode(scoped).alias("r")).select("r.scope", "r.x.*")
+
+
 def vsi_report(scored: DataFrame, task: str = "task", score: str = "score") -> DataFrame:
     """Tasks, with the direction tasks rolled up to their mean (0 if any is missing; those before the first missing one are dropped), and the macro mean."""
-    means = task_means(scored, task, score)
-    have = means.agg(*(F.max(F.when(F.col("name") == t, 1).otherwise(0)).alias(t) for t in VSI_DIRECTIONS), F.sum(F.when(F.col("name").isin(VSI_DIRECTIONS), F.col("value"))).alias("s"), F.sum(F.when(F.col("name").isin(VSI_DIRECTIONS), F.col("n"))).alias("dn"))
-    easy, medium, hard = (F.coalesce(F.col(t), F.lit(0)) == 1 for t in VSI_DIRECTIONS)
-    rolled = have.select(F.lit("object_rel_direction").alias("name"), F.coalesce("dn", F.lit(0)).alias("n"), F.when(easy & medium & hard, F.col("s") / 3).otherwise(0.0).alias("value"))
-    dropped = have.select(F.when(~easy, F.array().cast("array<string>")).when(~medium, F.array(F.lit(VSI_DIRECTIONS[0]))).when(~hard, F.array(*map(F.lit, VSI_DIRECTIONS[:2]))).otherwise(F.array(*map(F.lit, VSI_DIRECTIONS))).alias("gone"))
-    kept = means.join(F.broadcast(dropped), ~F.array_contains("gone", F.col("name"))).drop("gone")  # one row of at most three names
-    entries = kept.unionByName(rolled)
-    overall = entries.agg(F.lit("overall").alias("name"), F.sum("n").alias("n"), F.avg("value").alias("value"))
-    return _long(entries, "task").unionByName(_long(overall, "overall"))
+    m = F.col("m")
+    easy, medium, hard = (F.array_contains(F.transform(m, lambda e: e["name"]), t) for t in VSI_DIRECTIONS)
+    of_directions = F.filter(m, lambda e: e["name"].isin(VSI_DIRECTIONS))
+    rolled = _entry("object_rel_direction", _sum(of_directions, "n"), F.when(easy & medium & hard, _sum(of_directions, "value") / 3).otherwise(0.0))
+    n_gone = F.when(~easy, 0).when(~medium, 1).when(~hard, 2).otherwise(3)
+    gone = F.slice(F.array(*map(F.lit, VSI_DIRECTIONS)), F.lit(1), n_gone)
+    kept = F.filter(m, lambda e: ~F.array_contains(gone, e["name"]))
+    return _with_overall(_listed(task_means(scored, task, score)).select(F.concat(kept, F.array(rolled)).alias("e")))
 
 
 def sti_report(scored: DataFrame, task: str = "task", score: str = "score", sub_tasks: list[str] = STI_SPATIAL) -> DataFrame:
     """Tasks, the mean over the listed sub-tasks as one more task (0 without any), and the macro mean over all of them."""
-    means = task_means(scored, task, score)
-    sub = means.agg(F.lit("sr_sub").alias("name"), F.coalesce(F.sum(F.when(F.col("name").isin(sub_tasks), F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.avg(F.when(F.col("name").isin(sub_tasks), F.col("value"))), F.lit(0.0)).alias("value"))
-    entries = means.unionByName(sub)
-    overall = entries.agg(F.lit("overall").alias("name"), F.sum("n").alias("n"), F.avg("value").alias("value"))
-    return _long(entries, "task").unionByName(_long(overall, "overall"))
+    m = F.col("m")
+    mine = F.filter(m, lambda e: e["name"].isin(sub_tasks))
+    sub = _entry("sr_sub", _sum(mine, "n"), F.coalesce(_mean(mine), F.lit(0.0)))
+    return _with_overall(_listed(task_means(scored, task, score)).select(F.concat(m, F.array(sub)).alias("e")))
 
 
 def spar_report(scored: DataFrame, task: str = "task", image_type: str = "image_type", score: str = "score") -> DataFrame:
     """Per task, per image type and task, their macro means and tiers, overall and per image type, from one grouping-sets pass.
 
-    Tiers are unweighted means of their tasks' means; the view-change task belongs to none, as its reported
-    name does not match the tier's. Columns: scope (task, overall, tier), image_type (null: all), name, value.
+    Tiers are unweighted means of their tasks' means; the view-change task counts in none, as the name that it is
+    reported under is not the one on the tier's list. Columns: scope (task, overall, tier), image_type (null: all), name, value.
     """
     rows = scored.where(F.col(task).isNotNull()).select(F.col(task).alias("name"), F.col(image_type).alias("it"), F.col(score).alias("v"))
     both = rows.groupingSets([["name"], ["name", "it"]], "name", "it").agg(F.grouping("it").alias("every"), F.avg("v").alias("value"))
     tasks = both.where("every = 1 or it is not null").select("name", F.when(F.col("every") == 0, F.col("it")).alias("image_type"), "value")
-    tier = F.when(F.col("name").isin(SPAR_LOW), "Low").when(F.col("name").isin(SPAR_MIDDLE), "Middle").when(F.col("name").isin(SPAR_HIGH), "High")
+    tier = F.when(F.col("name").isin(SPAR_VIEW), None).when(F.col("name").isin(SPAR_LOW), "Low").when(F.col("name").isin(SPAR_MIDDLE), "Middle").when(F.col("name").isin(SPAR_HIGH), "High")
     rolled = tasks.groupBy("image_type").agg(
         F.avg("value").alias("overall"), *(F.avg(F.when(tier == t, F.col("value"))).alias(t) for t in ("Low", "Middle", "High"))
     )

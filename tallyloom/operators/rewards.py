@@ -18,7 +18,7 @@ def base_reward(problem_type: Column, completion: Column, solution: Column) -> C
     out = (
         F.when(problem_type == "multiple choice", (text.strip(said) == text.strip(truth)).cast("double"))
         .when(problem_type == "numerical", number)
-        .when(problem_type == "OCR", metrics.clamp01(1 - metrics.word_error_rate(truth, said)))
+        .when(problem_type == "OCR", metrics.clamp01(1 - metrics.word_error_rate(F.when(problem_type == "OCR", truth), F.when(problem_type == "OCR", said))))
         .when(problem_type == "free-form", metrics.clamp01(metrics.mean_rouge(F.when(problem_type == "free-form", truth), F.when(problem_type == "free-form", said))))
         .when(problem_type == "regression", metrics.regression_score(said, truth))
     )
@@ -36,17 +36,25 @@ def with_map_bonus(reward: Column, problem_type: Column, completion: Column, sco
     return F.when(eligible & has_map, F.when(F.coalesce(score, F.lit(ZERO)) > 0, reward + score).otherwise(ZERO)).otherwise(reward)
 
 
-def map_guided(rows: DataFrame, maps: DataFrame, n: int = 10) -> DataFrame:
+def map_guided(rows: DataFrame, maps: DataFrame, n: int = 10, order: str | None = None) -> DataFrame:
     """`reward` with the map bonus. rows: problem_type, completion, solution, path; maps: video_id, cognitive_map, object_list.
 
-    A map-bearing text whose video has no map scores 0. Map dimensions hold one row per video.
+    A map-bearing text whose video has no map scores 0. Of several maps of a video the last in `order` counts, any without one.
     """
+    one = F.max_by(F.struct("cognitive_map", "object_list"), F.col(order)) if order else F.any_value(F.struct("cognitive_map", "object_list"))
+    maps = maps.where("video_id is not null").groupBy("video_id").agg(one.alias("m")).select("video_id", "m.*")
     keyed = rows.withColumn("video_id", text.file_stem(F.col("path"))).join(maps, "video_id", "left")
     keyed = keyed.withColumn("_said", objectmap.parse(text.extract_map_text(F.col("completion")), F.col("object_list")))
     score = objectmap.map_score(F.col("_said"), F.col("cognitive_map"), n)
     return keyed.withColumn("reward", with_map_bonus(base_reward(F.col("problem_type"), F.col("completion"), F.col("solution")), F.col("problem_type"), F.col("completion"), score)).drop("cognitive_map", "object_list", "video_id", "_said")
 
 
+def debug_entry(at: Column, reward: Column, completion: Column, solution: Column) -> Column:
+    """The lines of a log entry about one reward."""
+    head = F.concat(F.lit("------------- "), F.date_format(at, "dd-HH-mm-ss-SSSSSS"), F.lit(" Accuracy reward: "), reward.cast("string"), F.lit(" -------------\n"))
+    return F.concat(head, F.lit("Content: "), completion, F.lit("\nSolution: "), solution, F.lit("\n"))
+
+
 #: Reward functions by name: (problem_type, completion, solution) -> column.
 REGISTRY: dict[str, Callable[[Column, Column, Column], Column]] = {
     "accuracy": base_reward,

@@ -1,13 +1,15 @@
 """Quantities recorded in different units: read every stated value, find its unit, convert it to m, m2 or s.
 
 Method: a unit string is segmented by dynamic programming over tries of qualifiers (square), prefixes
-(milli), roots (metre), plurals and exponents. Ambiguous strings (`ms`: milliseconds or metres; `′`: feet or
-minutes) are decided by the score of the parts plus a prior for the dimension that the field's question asks
-for. A value without a unit takes the one its question asks for, else the one of its source's note.
+(milli), roots (metre), plurals and exponents. An ambiguous string (`ms`: milliseconds or metres; `′`: feet or
+minutes) is read once per dimension; the score of the parts plus a prior of the dimension decides. The prior is the field's own: how
+often the unambiguous values of the same field, under questions for the same dimension, are of each dimension. A value without a
+unit takes the one its question asks for, else the one of its source's note.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -15,10 +17,12 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut
+
 LENGTH, AREA, TIME = "length", "area", "time"
 COMMON = {LENGTH: "m", AREA: "m2", TIME: "s"}
-#: Log priors of a reading whose dimension is the one asked for, and of another one.
-PRIOR_ASKED, PRIOR_OTHER = 0.0, -4.0
+#: Counts that every field has beforehand, of the dimension asked for and of each other one; and the log prior of another one where there is no field.
+COUNT_ASKED, COUNT_OTHER, PRIOR_OTHER = 10.0, 0.2, -4.0
 #: The note table is broadcast only up to this many rows.
 BROADCAST_ROWS = 10_000
 
@@ -79,13 +83,11 @@ def _reading(parts: tuple) -> tuple[str, str, float] | None:
 
 
 @lru_cache(maxsize=100_000)
-def segment(text: str, asked: str | None) -> tuple[str, str, float] | None:
-    """The best reading (unit, dimension, factor) of a whole unit string, given the dimension asked for."""
+def readings(text: str) -> dict[str, tuple[float, tuple[str, str, float]]]:
+    """The best reading of a whole unit string in each dimension: dimension -> (score, (unit, dimension, factor))."""
     s = text.lower().strip().rstrip(".")
-    if not s or len(s) > 24:
-        return None
-    # states[layer][position] = (score, parts) lists; few, as unit strings are short
-    states: dict[int, list[tuple[float, tuple]]] = {0: [(0.0, ())]}
+    # states[position] = (score, parts) of the layers passed so far; the tries end long strings that are no unit
+    states: dict[int, list[tuple[float, tuple]]] = {0: [(0.0, ())]} if s else {}
     for trie, needed in _LAYERS:
         after: dict[int, list[tuple[float, tuple]]] = {}
         for at, found in states.items():
@@ -96,14 +98,19 @@ def segment(text: str, asked: str | None) -> tuple[str, str, float] | None:
                 for end, meaning, weight in _matches(trie, s, start):
                     after.setdefault(end, []).append((score + weight, (*parts, meaning)))
         states = after
-    best = None
+    best: dict[str, tuple[float, tuple[str, str, float]]] = {}
     for score, parts in states.get(len(s), ()):
-        if (r := _reading(parts)) is None:
-            continue
-        score += PRIOR_ASKED if asked is None or r[1] == asked else PRIOR_OTHER
-        if best is None or score > best[0]:
-            best = (score, r)
-    return best[1] if best else None
+        if (r := _reading(parts)) is not None and (r[1] not in best or score > best[r[1]][0]):
+            best[r[1]] = score, r
+    return best
+
+
+def segment(text: str, asked: str | None, only: bool = False) -> tuple[str, str, float] | None:
+    """The best reading (unit, dimension, factor) of a whole unit string, given the dimension asked for; `only` takes no other."""
+    best = readings(text)
+    if only:
+        return best[asked][1] if asked in best else None
+    return max(best.values(), key=lambda x: x[0] + (0.0 if asked is None or x[1][1] == asked else PRIOR_OTHER))[1] if best else None
 
 
 _WORDNUM = {w: i for i, w in enumerate("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty".split())}
@@ -152,31 +159,51 @@ def answer_part(text: str) -> str | None:
     return text
 
 
-def _unit_at(s: str, at: int, asked: str | None) -> tuple[int, tuple[str, str, float]] | None:
+_APART = re.compile(r"\s?((?:square|sq\.?)\s+[^\W\d_]+)", re.I)
+
+
+def _unit_at(s: str, at: int, asked: str | None, only: bool) -> tuple[int, tuple[str, str, float], str] | None:
+    """(end, reading, unit string) of the unit at a position."""
     m = _UNIT.match(s, at)
     if not m:
         return None
-    r = segment(m.group(1), asked)
+    raw = m.group(1)
+    r = segment(raw, asked, only)
     if r is None:
         # `sq. ft.`: the qualifier and the root may be apart
-        m2 = re.compile(r"\s?((?:square|sq\.?)\s+[^\W\d_]+)", re.I).match(s, at)
-        if not m2 or (r := segment(re.sub(r"\s+", " ", m2.group(1)), asked)) is None:
+        m = _APART.match(s, at)
+        if not m or (r := segment(raw := re.sub(r"\s+", " ", m.group(1)), asked, only)) is None:
             return None
-        m = m2
     end = m.end(1)
-    return end + (s[end : end + 1] == "."), r
+    return end + (s[end : end + 1] == "."), r, raw
 
 
-def quantities(text: str | None, asked: str | None) -> list[tuple[float, tuple[str, str, float] | None]]:
-    """The value stated as the final answer, as (number, unit or None); two entries or more for `2 ft 5 in`; [] for none."""
+def hypotheses(text: str | None, asked: str) -> list[tuple[str | None, float, list[tuple[float, tuple[str, str, float] | None]]]]:
+    """(dimension, score, quantities) for every dimension in which the value's first unit can be read; one without a dimension if it has no unit."""
+    said: list[str] = []
+    found = quantities(text, asked, said=said)
+    if not found or found[0][1] is None:
+        return [(None, 0.0, found)] if found else []
+    out = []
+    for dim, (score, _) in readings(said[0]).items():
+        other = found if found[0][1][1] == dim else quantities(text, dim, only=True)
+        if other and other[0][1] is not None:
+            out.append((dim, score, other))
+    return out
+
+
+def quantities(text: str | None, asked: str | None, only: bool = False, said: list[str] | None = None) -> list[tuple[float, tuple[str, str, float] | None]]:
+    """The value stated as the final answer, as (number, unit or None); two entries or more for `2 ft 5 in`; [] for none. Unit strings are added to `said`."""
     if not text or (part := answer_part(text)) is None:
         return []
     for chunk in reversed([c for c in _SENTENCE.split(part.strip()) if c and c.strip()]):
         bare = _LEAD.sub("", chunk.strip())
         if (m := _SPOKEN.match(bare)) is not None:
             value = float(_WORDNUM[m.group(1).lower()]) + {None: 0.0, "half": 0.5, "quarter": 0.25}.get(m.group(2) and m.group(2).lower(), 0.75)
-            hit = _unit_at(bare, m.end(), asked)
+            hit = _unit_at(bare, m.end(), asked, only)
             if hit:
+                if said is not None:
+                    said.append(hit[2])
                 return [(value, hit[1])]
             if re.match(r"\s*(?:[.,;!)*\"]|$)", bare[m.end() :]):
                 return [(value, None)]
@@ -185,7 +212,9 @@ def quantities(text: str | None, asked: str | None) -> list[tuple[float, tuple[s
         out: list[tuple[float, tuple[str, str, float] | None]] = []
         at = m.start()
         while m and m.start() == at and (value := number(m.group())) is not None:
-            hit = _unit_at(chunk, m.end(), asked)
+            hit = _unit_at(chunk, m.end(), asked, only)
+            if hit and said is not None:
+                said.append(hit[2])
             if out and (hit is None or hit[1][1] != out[0][1][1]):
                 break
             out.append((value, hit and hit[1]))
@@ -242,34 +271,50 @@ def _factor(unit: str) -> float:
     return segment(unit, None)[2]
 
 
-_OUT = "tab string, row_id bigint, field string, value double, unit string, unit_from string, common_value double, common_unit string"
+_OUT = "tab string, row_id bigint, field string, asked string, unit_from string, hyps array<struct<dim: string, score: double, common_value: double, parts: array<struct<value: double, unit: string>>>>"
+
+
+def _entry(dim: str | None, score: float, total: float | None, parts: list[tuple[float, str | None]]) -> dict:
+    return {"dim": dim, "score": score, "common_value": total, "parts": [{"value": v, "unit": u} for v, u in parts]}
 
 
 def read_values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per stated value with its readings, one for each dimension that its unit may have."""
     for pdf in batches:
         out = []
         for tab, row_id, field, q, text, nl, na, nt in zip(*(pdf[c] for c in ("tab", "row_id", "field", "question", "text", "note_length", "note_area", "note_time"))):
             if not q or (dim := dimension(q)) is None:
                 continue
-            found = quantities(text, dim)
-            if not found:
+            hyps = hypotheses(text, dim)
+            if not hyps:
                 continue
-            if found[0][1] is None:
-                source = "question"
+            source = "value"
+            if hyps[0][0] is None:
+                number, source = hyps[0][2][0][0], "question"
                 r = asked_unit(q, dim)
                 if r is None:
                     name = {LENGTH: nl, AREA: na, TIME: nt}[dim]
                     source, r = "note", segment(name, dim) if isinstance(name, str) else None
                 if r is None:
-                    out.append((tab, row_id, field, found[0][0], None, None, None, None))
+                    out.append((tab, row_id, field, dim, None, [_entry(None, 0.0, None, [(number, None)])]))
                     continue
-                found = [(found[0][0], r)]
-            else:
-                source = "value"
-            total = sum(v * r[2] for v, r in found)
-            for v, r in found:
-                out.append((tab, row_id, field, v, r[0], source, total, COMMON[r[1]]))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
+                hyps = [(r[1], 0.0, [(number, r)])]
+            out.append((tab, row_id, field, dim, source, [_entry(d, score, sum(v * r[2] for v, r in found), [(v, r[0]) for v, r in found]) for d, score, found in hyps]))
+        yield pd.DataFrame(out, columns=["tab", "row_id", "field", "asked", "unit_from", "hyps"])
+
+
+def field_priors(read: DataFrame) -> dict[str, float]:
+    """`tab|field|asked|dimension` -> log prior, from the values whose unit has one dimension: as many entries as fields times nine."""
+    sure = read.where("unit_from = 'value' AND size(hyps) = 1").groupBy("tab", "field", "asked", F.col("hyps")[0]["dim"].alias("dim")).agg(F.count("*").alias("n")).collect()
+    counts: dict[tuple, dict[str, int]] = {}
+    for r in sure:
+        counts.setdefault((r.tab, r.field, r.asked), {})[r.dim] = r.n
+    out = {}
+    for (tab, field, asked), n in counts.items():
+        weight = {d: n.get(d, 0) + (COUNT_ASKED if d == asked else COUNT_OTHER) for d in COMMON}
+        for d, x in weight.items():
+            out["|".join((tab, field, asked, d))] = math.log(x / sum(weight.values()))
+    return out
 
 
 def convert_values(values: DataFrame, notes: DataFrame) -> DataFrame:
@@ -293,4 +338,14 @@ def convert_values(values: DataFrame, notes: DataFrame) -> DataFrame:
     stated = values.where(F.col("question").isNotNull() & F.col("text").isNotNull() & F.col("row_id").isNotNull() & (F.length("text") > 0))
     stated = stated.where(F.col("question").rlike(f"(?i){_AREA_Q.pattern}|{_TIME_Q.pattern}|{_LENGTH_Q.pattern}"))
     joined = stated.join(card, "source", "left").select("tab", "row_id", "field", "question", "text", "note_length", "note_area", "note_time")
-    return joined.mapInPandas(read_values, _OUT).distinct()
+    read = cut(joined.mapInPandas(read_values, _OUT))  # texts are read once, for the priors and for the values
+    priors = field_priors(read)
+    known = F.create_map(*(F.lit(x) for pair in priors.items() for x in pair)) if priors else F.create_map().cast("map<string,double>")
+    prior = lambda dim: F.coalesce(F.try_element_at(known, F.concat_ws("|", "tab", "field", "asked", dim)), F.when(dim == F.col("asked"), 0.0).otherwise(PRIOR_OTHER))
+    ranked = F.transform("hyps", lambda h: F.struct((h["score"] + prior(h["dim"])).alias("rank"), h.alias("h")))
+    best = F.when(F.size("hyps") == 1, F.col("hyps")[0]).otherwise(F.array_max(ranked)["h"])
+    common = F.create_map(*(F.lit(x) for pair in COMMON.items() for x in pair))
+    chosen = read.select("tab", "row_id", "field", "unit_from", best.alias("b"))
+    return chosen.select("tab", "row_id", "field", "unit_from", "b.dim", "b.common_value", F.explode("b.parts").alias("p")).select(
+        "tab", "row_id", "field", "p.value", "p.unit", "unit_from", "common_value", F.try_element_at(common, F.col("dim")).alias("common_unit")
+    ).distinct()

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import frames, metrics, objectmap, text
+from ..functions import frames, metrics, objectmap, text, wordscores
 from ..operators import curation, groups, prompts, reports, rewards
 from ..session import table
 from ..sources import tables
@@ -137,7 +137,7 @@ UNION ALL SELECT 'overall', 'overall', sum(n)::BIGINT, round(avg(value), 6) FROM
 def report_vsi(spark: SparkSession, d: str) -> DataFrame:
     rows = _vsi(spark, d).where(F.col("task").isNotNull())
     said = text.guarded_answer(F.col("predicted_answer"), True)
-    scored = rows.select("task", reports.vsi_score(F.col("task"), said, F.col("ground_truth")).alias("score"))
+    scored = rows.select("task", reports.vsi_score(F.col("task"), said, F.col("ground_truth"), strict=False).alias("score"))
     return reports.vsi_report(scored).withColumn("value", F.round("value", 6))
 
 
@@ -151,7 +151,7 @@ def vsi_row_scores(spark: SparkSession, d: str) -> DataFrame:
     said = text.guarded_answer(F.col("predicted_answer"), True)
     fam = reports.family(F.col("task"), reports.VSI_CHOICE, reports.VSI_NUMBER)
     got = F.when(fam == "choice", text.option_letter(text.without_answer_mark(said))).otherwise(text.number_word_or_digits(said))
-    return rows.select("row_id", "task", fam.alias("family"), got.alias("extracted"), F.round(reports.vsi_score(F.col("task"), said, F.col("ground_truth")), 6).alias("score"))
+    return rows.select("row_id", "task", fam.alias("family"), got.alias("extracted"), F.round(reports.vsi_score(F.col("task"), said, F.col("ground_truth"), strict=False), 6).alias("score"))
 
 
 _PRED = q_guarded("predicted_answer")
@@ -165,13 +165,13 @@ _SPAR_SCORED = rf"""scored AS (SELECT row_id, task, image_type, v, {_SPAR_SCORE}
 def _spar(spark: SparkSession, d: str) -> DataFrame:
     rows = _once(table(spark, d, "spar_result").select("row_id", "ground_truth", "predicted_answer", "task", "image_type", "logged_at")).withColumn("task", _task("task"))
     said = text.guarded_answer(F.col("predicted_answer"), True)
-    return rows.where(F.col("task").isNotNull()).select("row_id", "task", "image_type", text.number_in(said, F.col("task").endswith("_mv")).alias("v"), reports.spar_score(F.col("task"), said, F.col("ground_truth")).alias("score"))
+    return rows.where(F.col("task").isNotNull()).select("row_id", "task", "image_type", text.number_in(said, F.col("task").endswith("_mv")).alias("v"), reports.spar_score(F.col("task"), said, F.col("ground_truth"), strict=False).alias("score"))
 
 
 @query(f"""
 WITH {_SPAR_SQL}, {_SPAR_SCORED},
 tasks AS (SELECT task AS name, image_type, value FROM (SELECT task, image_type, grouping(image_type) AS every, avg(score) AS value FROM scored GROUP BY GROUPING SETS ((task), (task, image_type))) WHERE every = 1 OR image_type IS NOT NULL),
-tiers AS (SELECT *, CASE WHEN name IN {q_in(reports.SPAR_LOW)} THEN 'Low' WHEN name IN {q_in(reports.SPAR_MIDDLE)} THEN 'Middle' WHEN name IN {q_in(reports.SPAR_HIGH)} THEN 'High' END AS tier FROM tasks),
+tiers AS (SELECT *, CASE WHEN name = 'view_change_infer' THEN NULL WHEN name IN {q_in(reports.SPAR_LOW)} THEN 'Low' WHEN name IN {q_in(reports.SPAR_MIDDLE)} THEN 'Middle' WHEN name IN {q_in(reports.SPAR_HIGH)} THEN 'High' END AS tier FROM tasks),
 groups AS (SELECT DISTINCT image_type FROM tasks)
 SELECT 'task' AS scope, image_type, name, round(value, 6) AS value FROM tasks
 UNION ALL SELECT 'overall', image_type, 'overall', round(avg(value), 6) FROM tasks GROUP BY image_type
@@ -309,15 +309,20 @@ w AS (SELECT question_id, list_filter(regexp_split_to_array(lower(question), '[^
 SELECT a.question_id, round(a.f, 6) AS unigram, round(b.f, 6) AS bigram FROM {_q_f1(1)} a JOIN {_q_f1(2)} b USING (question_id)""")
 def ngram_scores(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "tempcompass_annotation").where("question is not null and problem is not null").groupBy("question_id").agg(F.max("question").alias("question"), F.max("problem").alias("problem"))
-    q, p = F.col("question"), F.col("problem")
-    return t.select("question_id", F.round(metrics.ngram_f1(q, p, 1), 6).alias("unigram"), F.round(metrics.ngram_f1(q, p, 2), 6).alias("bigram"))
+    scores = t.select("question_id", wordscores.rouge_scores(F.col("question"), F.col("problem"), stemming=False).alias("s"))
+    return scores.select("question_id", F.round("s.unigram", 6).alias("unigram"), F.round("s.bigram", 6).alias("bigram"))
 
 
-@query(None)
+@query(rf"""
+WITH t AS (SELECT question_id, any_value(question) AS question, any_value(problem) AS problem FROM tempcompass_annotation WHERE question IS NOT NULL AND problem IS NOT NULL GROUP BY question_id),
+w AS (SELECT question_id, list_filter(regexp_split_to_array(lower(question), '[^a-z0-9]+'), lambda x: x <> '') AS r, list_filter(regexp_split_to_array(lower(problem), '[^a-z0-9]+'), lambda x: x <> '') AS h FROM t),
+l AS (SELECT question_id, len(r) AS nr, len(h) AS nh, list_reduce(list_concat([struct_pack(k := 0, d := list_transform(range(len(h) + 1), lambda i: 0))], list_transform(range(1, len(r) + 1), lambda i: struct_pack(k := i::INT, d := []::INT[]))),
+  lambda a, b: struct_pack(k := b.k, d := list_reduce(list_concat([[0]], list_transform(range(1, len(h) + 1), lambda j: [j::INT])), lambda acc, j: list_append(acc, (CASE WHEN h[j[1]] = r[b.k] THEN a.d[j[1]] + 1 ELSE greatest(a.d[j[1] + 1], acc[-1]) END)::INT)))).d[-1] AS common FROM w)
+SELECT l.question_id, round((a.f + b.f + coalesce(2.0::DOUBLE * common / nullif(nr + nh, 0), 0)) / 3, 6) AS rouge FROM l JOIN {_q_f1(1)} a USING (question_id) JOIN {_q_f1(2)} b USING (question_id)""")
 def rouge_scores(spark: SparkSession, d: str) -> DataFrame:
-    """Mean F1 of words, pairs and longest common subsequence; tested against brute force."""
+    """Mean F1 of words, pairs and longest common subsequence, of words as they stand; training_rewards has the stemmed one."""
     t = table(spark, d, "tempcompass_annotation").where("question is not null and problem is not null").groupBy("question_id").agg(F.max("question").alias("question"), F.max("problem").alias("problem"))
-    return t.select("question_id", F.round(metrics.mean_rouge(F.col("question"), F.col("problem")), 6).alias("rouge"))
+    return t.select("question_id", F.round(metrics.mean_rouge(F.col("question"), F.col("problem"), stemming=False), 6).alias("rouge"))
 
 
 @query(f"""WITH {_VSI_SQL}, n AS (SELECT row_id, {q_float("replace(ground_truth, ',', '')")} AS t, {q_float("replace(" + q_guarded('predicted_answer') + ", ',', '')")} AS p FROM vsi)
@@ -354,9 +359,11 @@ def map_matching(spark: SparkSession, d: str) -> DataFrame:
 _OBJECTS = ["aquarium", "bathtub", "bench", "bicycle", "chair", "coffee table", "cushion", "desk", "lamp", "mirror", "piano", "rug", "sofa", "stove", "table", "wardrobe"]
 
 
-@query(None)
+@query(rf"""WITH v AS (SELECT row_id, {q_tag('predicted_answer', 'map', '')} AS m FROM (SELECT row_id, predicted_answer FROM vsi_result {_ONCE}) WHERE contains(predicted_answer, '</map>')),
+k AS (SELECT row_id, m, list_filter(json_keys(m), lambda k: k IN {q_in(_OBJECTS)} AND json_array_length(json_extract(m, '$."' || k || '"')) > 0) AS keys FROM v)
+SELECT row_id, array_to_string(list_sort(keys), ',') AS objects, coalesce(list_sum(list_transform(keys, lambda k: json_array_length(json_extract(m, '$."' || k || '"')))), 0)::INT AS n_points FROM k""")
 def maps_in_answers(spark: SparkSession, d: str) -> DataFrame:
-    """The object map each answer states, and the number of its points; parsing is tested against examples."""
+    """The object map each answer states, and the number of its points; maps that are no JSON are tested against examples."""
     said = text.extract_map_text(F.col("predicted_answer"))
     rows = _vsi(spark, d).where(F.contains("predicted_answer", F.lit("</map>")))
     rows = rows.withColumn("m", objectmap.parse(said, F.array(*map(F.lit, _OBJECTS))))
@@ -455,24 +462,85 @@ _TRAIN = "tr AS (SELECT problem_id, any_value(problem_type) AS problem_type, any
 _TRUTH, _SAID = "coalesce(regexp_extract(s, '(?s)<answer>(.*?)</answer>', 1), '')", "said"
 
 
+_KIND = "CASE WHEN problem_type = 'free-form' AND problem_id % 2 = 0 THEN 'OCR' ELSE problem_type END"
+_PLAIN = "list_filter(regexp_split_to_array(lower(truth), '[^a-z0-9]+'), lambda x: x <> '')"
+_BLANKS = r"list_filter(regexp_split_to_array(truth, '\s+'), lambda x: x <> '')"
+_COMMON = "(CASE WHEN k = 1 THEN least(len(list_filter(w, lambda x: x = 'b')), 1) ELSE least(len(list_filter(w, lambda x: x = '2')), 1) + least(len(list_filter(w, lambda x: x = '5')), 1) END)"
+_LONGEST = f"(CASE WHEN k = 2 AND list_contains(w, '2') AND list_contains(w[list_position(w, '2'):], '5') THEN 2 ELSE least({_COMMON}, 1) END)"
+_ROUGE = f"""CASE WHEN len(w) = 0 THEN 0 WHEN k = 0 THEN (2 + CAST(len(w) > 1 AS INT)) / 3.0::DOUBLE ELSE (2.0::DOUBLE * {_COMMON} / (k + len(w))
+ + CASE WHEN k = 2 AND len(w) > 1 AND len(list_filter(range(1, len(w)), lambda i: w[i] = '2' AND w[i + 1] = '5')) > 0 THEN 2.0::DOUBLE / len(w) ELSE 0 END + 2.0::DOUBLE * {_LONGEST} / (k + len(w))) / 3 END"""
+_ERRORS = f"CASE WHEN k = 0 THEN 1 WHEN len(b) = 0 THEN 0 WHEN list_contains(b, said) THEN 1.0::DOUBLE / len(b) ELSE 0 END"
+
+
+def q_rewards(rows: str) -> str:
+    """accuracy of `rows` (problem_id, problem_type, s, k, ...): k 0 says the truth, 1 `B`, 2 `2.5`."""
+    return f"""x AS (SELECT *, CASE WHEN k = 0 THEN {q_strip(_TRUTH)} WHEN k = 1 THEN 'B' ELSE '2.5' END AS said0, {q_strip(_TRUTH)} AS truth FROM {rows}), y AS (SELECT *, {q_strip('said0')} AS said FROM x),
+z AS (SELECT *, {q_float(q_number_word('said'))} AS p, {q_float('truth')} AS t, {q_float("replace(said, ',', '')")} AS pr, {q_float("replace(truth, ',', '')")} AS trr, {_PLAIN} AS w, {_BLANKS} AS b FROM y),
+scored AS (SELECT *, coalesce(CASE problem_type WHEN 'multiple choice' THEN CAST(said = truth AS INT)::DOUBLE WHEN 'numerical' THEN {q_mra('abs(p - t) / nullif(t, 0)')} WHEN 'OCR' THEN {_ERRORS} WHEN 'free-form' THEN {_ROUGE}
+ WHEN 'regression' THEN CASE WHEN pr IS NOT NULL AND trr IS NOT NULL THEN 1 - least(1.0::DOUBLE, (abs(pr - trr) + 1e-9) / (abs(trr) + 1e-9)) END END, 0)::DOUBLE AS accuracy FROM z)"""
+
+
 @query(f"""
-WITH {_TRAIN}, c AS (SELECT problem_id, problem_type, solution AS s, problem_id % 3 AS k FROM tr WHERE solution IS NOT NULL AND problem_type IN ('multiple choice', 'numerical', 'regression')),
-x AS (SELECT *, CASE WHEN k = 0 THEN {q_strip(_TRUTH)} WHEN k = 1 THEN 'B' ELSE '2.5' END AS said0, {q_strip(_TRUTH)} AS truth FROM c), y AS (SELECT *, {q_strip('said0')} AS said FROM x),
-z AS (SELECT *, {q_float(q_number_word('said'))} AS p, {q_float('truth')} AS t, {q_float("replace(said, ',', '')")} AS pr, {q_float("replace(truth, ',', '')")} AS trr FROM y)
-SELECT problem_id, problem_type, round(coalesce(CASE problem_type WHEN 'multiple choice' THEN CAST(said = truth AS INT)::DOUBLE WHEN 'numerical' THEN {q_mra('abs(p - t) / nullif(t, 0)')} WHEN 'regression' THEN CASE WHEN pr IS NOT NULL AND trr IS NOT NULL THEN 1 - least(1.0::DOUBLE, (abs(pr - trr) + 1e-9) / (abs(trr) + 1e-9)) END END, 0), 6) AS accuracy,
- CASE WHEN k = 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS format FROM z""")
+WITH {_TRAIN}, c AS (SELECT problem_id, {_KIND} AS problem_type, solution AS s, problem_id % 3 AS k FROM tr), {q_rewards('c')}
+SELECT problem_id, problem_type, round(accuracy, 6) AS accuracy, CASE WHEN k = 2 OR s IS NULL AND k = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS format FROM scored""")
 def training_rewards(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy and format rewards of completions made from the solutions."""
+    """Accuracy and format rewards of completions made from the solutions, of all types; half of the free-form rows count as OCR."""
     t = table(spark, d, "training_example").groupBy("problem_id").agg(F.max("problem_type").alias("problem_type"), F.max("solution").alias("solution"))
-    rows = t.where(F.col("solution").isNotNull() & F.col("problem_type").isin("multiple choice", "numerical", "regression"))
+    kind = F.when((F.col("problem_type") == "free-form") & (F.col("problem_id") % 2 == 0), "OCR").otherwise(F.col("problem_type"))
     k = F.col("problem_id") % 3
     said = F.when(k == 0, text.extract_answer(F.col("solution"))).when(k == 1, "B").otherwise("2.5")
     completion = F.concat(F.when(k == 2, "").otherwise("<think>so</think>"), F.lit("<answer>"), said, F.lit("</answer>"))
-    rows = rows.withColumn("completion", completion)
+    rows = t.withColumns({"problem_type": kind, "completion": completion})
     args = (F.col("problem_type"), F.col("completion"), F.col("solution"))
     return rows.select("problem_id", "problem_type", F.round(rewards.total_reward(["accuracy"], *args), 6).alias("accuracy"), rewards.total_reward(["format"], *args).alias("format"))
 
 
+_STEM = r"regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\.[^.]*$', '\1')"
+_LAMPS = "[[(n * 7 % 10)::INT, (n * 3 % 10)::INT], [(n * 5 % 10)::INT, (n % 10)::INT]]"
+_SAID_LAMPS = "[[(problem_id % 10)::INT, (problem_id * 3 % 10)::INT], [(problem_id * 7 % 10)::INT, (problem_id % 7)::INT]]"
+
+
+@query(f"""
+WITH {_TRAIN}, c AS (SELECT problem_id, problem_type, solution AS s, CASE WHEN problem_id % 4 = 2 THEN 1 ELSE 0 END AS k, problem_id % 4 AS form, {_STEM} AS stem FROM tr WHERE problem_type IN ('multiple choice', 'numerical')), {q_rewards('c')},
+m AS (SELECT *, length(stem) AS n FROM scored), q AS (SELECT *, {_LAMPS} AS sol, {_SAID_LAMPS} AS resp FROM m),
+pairs AS (SELECT *, list_sort(flatten(list_transform(range(1, 3), lambda i: list_transform(range(1, 3), lambda j: struct_pack(d := sqrt((resp[i][1] - sol[j][1])::DOUBLE ** 2 + (resp[i][2] - sol[j][2])::DOUBLE ** 2), i := i::INT, j := j::INT))))) AS ps FROM q),
+two AS (SELECT *, list_filter(ps, lambda x: x.i <> ps[1].i AND x.j <> ps[1].j)[1] AS other FROM pairs),
+lamps AS (SELECT *, (greatest(0.0::DOUBLE, 1 - ps[1].d / (10 * sqrt(2.0::DOUBLE))) + greatest(0.0::DOUBLE, 1 - other.d / (10 * sqrt(2.0::DOUBLE)))) / 2 AS lamp, CASE WHEN problem_id % 5 = 0 THEN 0 ELSE greatest(0.0::DOUBLE, 1 - abs(n % 10 - problem_id % 10) / (10 * sqrt(2.0::DOUBLE))) END AS sofa FROM two),
+total AS (SELECT *, CASE WHEN form = 3 OR stem IS NULL OR n % 7 = 0 THEN 0 ELSE (2 * lamp + sofa) / 3 END AS score FROM lamps)
+SELECT problem_id, problem_type, round(CASE WHEN form <> 1 AND s IS NOT NULL AND (CASE WHEN problem_type = 'numerical' THEN accuracy > 0.5 ELSE accuracy = 1.0 END) THEN CASE WHEN score > 0 THEN accuracy + score ELSE 0 END ELSE accuracy END, 6) AS reward FROM total""")
+def map_guided_rewards(spark: SparkSession, d: str) -> DataFrame:
+    """Choice and number rewards with the bonus of the object map that a completion states, against the map of its video; every seventh length of a name has none, every video has an older map too."""
+    t = table(spark, d, "training_example").groupBy("problem_id").agg(*(F.max(c).alias(c) for c in ("problem_type", "solution", "path"))).where(F.col("problem_type").isin("multiple choice", "numerical"))
+    whole = lambda x: x.cast("int")
+    n = F.length("video_id")
+    point = lambda a, b: F.array(whole(a % 10), whole(b % 10))
+    videos = t.select(text.file_stem(F.col("path")).alias("video_id")).where(F.col("video_id").isNotNull() & (n % 7 != 0)).distinct()
+    newest = F.create_map(F.lit("lamp"), F.array(point(n * 7, n * 3), point(n * 5, n)), F.lit("sofa"), F.array(point(n, F.lit(0))))
+    older = F.create_map(F.lit("lamp"), F.array(point(F.lit(0), F.lit(0))))
+    maps = videos.withColumn("at", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("cognitive_map", F.when(F.col("at") == 2, newest).otherwise(older)).withColumn("object_list", F.map_keys("cognitive_map"))
+    p, form = F.col("problem_id"), F.col("problem_id") % 4
+    said = F.when(form == 2, "B").otherwise(text.extract_answer(F.col("solution")))
+    sofa = F.when(p % 5 == 0, "").otherwise(F.format_string(', "sofa": [[%d, 0]]', p % 10))
+    stated = F.when(form == 1, "").when(form == 3, '<map>{"ghost": [[1, 1]]}</map>').otherwise(F.concat(F.format_string('<map>{"lamp": [[%d, %d], [%d, %d]]', p % 10, p * 3 % 10, p * 7 % 10, p % 7), sofa, F.lit("}</map>")))
+    rows = t.withColumn("completion", F.concat(F.lit("<think>so</think>"), stated, F.lit("<answer>"), said, F.lit("</answer>")))
+    return rewards.map_guided(rows, maps, order="at").select("problem_id", "problem_type", F.round("reward", 6).alias("reward"))
+
+
+@query("""SELECT event_id, '------------- ' || strftime(ts, '%d-%H-%M-%S-%f') || ' Accuracy reward: ' || ((event_id % 11) / 10.0)::DOUBLE::VARCHAR || ' -------------' || chr(10) || 'Content: ' || event_type || chr(10) || 'Solution: ' || user_id || chr(10) AS entry FROM events""")
+def debug_log(spark: SparkSession, d: str) -> DataFrame:
+    """The log entry of each reward."""
+    e = table(spark, d, "events")
+    return e.select("event_id", rewards.debug_entry(F.col("ts"), (F.col("event_id") % 11) / F.lit(10.0), F.col("event_type"), F.col("user_id").cast("string")).alias("entry"))
+
+
+@query("""WITH o AS (SELECT event_id, (event_id // 4 * 7) % 3 AS process FROM events) SELECT event_id, process, row_number() OVER (PARTITION BY process ORDER BY event_id) - 1 AS local FROM o""")
+def regrouped(spark: SparkSession, d: str) -> DataFrame:
+    """Gathered generations given back to the processes that own their items, four each."""
+    rows = table(spark, d, "events").select("event_id")
+    owners = rows.select(F.floor(F.col("event_id") / 4).alias("item")).distinct().withColumn("process", F.col("item") * 7 % 3)
+    return groups.regrouped(rows, owners, 4, "event_id").select("event_id", "process", "local")
+
+
 @query(f"""WITH m AS (SELECT event_id, user_id % 2 AS k, ({_E} % 11) / 10.0::DOUBLE AS r, (({_E} // 11) % 4) / 10.0::DOUBLE AS s, event_id % 3 <> 0 AS has_map FROM events)
 SELECT event_id, round(CASE WHEN has_map AND (CASE WHEN k = 0 THEN r = 1.0 ELSE r > 0.5 END) THEN CASE WHEN s > 0 THEN r + s ELSE 0 END ELSE r END, 6) AS reward FROM m""")
 def map_bonus(spark: SparkSession, d: str) -> DataFrame:
@@ -501,50 +569,84 @@ def option_prompts(spark: SparkSession, d: str) -> DataFrame:
     return _training(spark, d).select("problem_id", prompts.options_block(F.col("problem"), o, F.col("problem_type")).alias("block"), prompts.options_suffix(o).alias("suffix"), F.coalesce(prompts.lettered(o), F.lit("")).alias("lettered"))
 
 
-@query("""SELECT p_partkey, 'A ' || p_brand || chr(10) || 'B ' || p_type AS keyed, 'From ' || p_size || ' s to ' || (p_size + 5) || ' s. ' || p_name AS ranged, chr(65 + (p_partkey % 5)::INT) AS letter, CASE WHEN p_size % 2 = 0 THEN 128 ELSE 1024 END AS max_tokens FROM part""")
+@query("""SELECT p_partkey, 'B ' || p_type || chr(10) || 'A ' || p_brand AS keyed, 'From ' || p_size || ' seconds to ' || (p_size + 5) || ' seconds. ' || p_name || chr(10) || 'B ' || p_type || chr(10) || 'A ' || p_brand AS ranged, chr(65 + (p_partkey % 5)::INT) AS letter, CASE WHEN p_size % 2 = 0 THEN 128 ELSE 1024 END AS max_tokens FROM part""")
 def keyed_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates in their map's order, and questions on a stretch of time with them below."""
     options = F.create_map(F.lit("B"), F.col("p_type"), F.lit("A"), F.col("p_brand"))
     kind = F.when(F.col("p_size") % 2 == 0, "default").otherwise("thinking")
-    return table(spark, d, "part").select("p_partkey", prompts.keyed(options).alias("keyed"), prompts.time_range(F.col("p_name"), F.col("p_size"), F.col("p_size") + 5).alias("ranged"), prompts.answer_letter((F.col("p_partkey") % 5).cast("int")).alias("letter"), prompts.max_tokens(kind).alias("max_tokens"))
+    ranged = prompts.ranged_question(F.col("p_name"), F.col("p_size"), F.col("p_size") + 5, options)
+    return table(spark, d, "part").select("p_partkey", prompts.keyed(options).alias("keyed"), ranged.alias("ranged"), prompts.answer_letter((F.col("p_partkey") % 5).cast("int")).alias("letter"), prompts.max_tokens(kind).alias("max_tokens"))
 
 
-_TEMPLATES = [("default", "Q: {Question}"), ("multiple choice", "Pick one. {Question}"), ("numerical", "Give a number. {Question}")]
+_TEMPLATES = {"default": "Q: {Question}", "multiple choice": "Pick one. {Question}", "numerical": "Give a number. {Question}"}
+_SUFFIXES = {"multiple choice": " Answer with a letter.", "numerical": " Answer with a number.", "free-form": " Answer with a text.", "regression": " Answer with a value."}
+_VALUES = lambda d: ", ".join(f"('{k}', '{v}')" for k, v in d.items())
+_ASKED = "CASE WHEN problem_type = 'multiple choice' AND options IS NOT NULL THEN problem || 'Options:' || chr(10) || coalesce(array_to_string(list_transform(options, lambda x: x || chr(10)), ''), '') ELSE problem END"
 
 
-@query(f"""WITH {_OPT}, t(kind, template) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v in _TEMPLATES)})
-SELECT problem_id, replace(coalesce(t.template, 'Q: {{Question}}'), '{{Question}}', problem) AS prompt FROM tr LEFT JOIN t ON problem_type = t.kind""")
+@query(f"""WITH {_OPT}, t(kind, template) AS (VALUES {_VALUES(_TEMPLATES)}), x(kind, suffix) AS (VALUES {_VALUES(_SUFFIXES)})
+SELECT problem_id, replace(coalesce(t.template, 'Q: {{Question}}'), '{{Question}}', problem) AS prompt, 'Question: ' || {_ASKED} || chr(10) || 'Think first.' || coalesce(x.suffix, '') AS typed
+FROM tr LEFT JOIN t ON problem_type = t.kind LEFT JOIN x ON problem_type = x.kind""")
 def template_prompts(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.createDataFrame(_TEMPLATES, "kind string, template string")
-    rows = prompts.with_template(_training(spark, d), t, "problem_type", "default")
-    return rows.select("problem_id", prompts.filled(F.col("template"), Question=F.col("problem")).alias("prompt"))
+    """A template by prompt kind; and one template for all, with what each problem type asks for behind it."""
+    rows = prompts.with_template(_training(spark, d), _TEMPLATES, "problem_type", "default")
+    asked = prompts.options_block(F.col("problem"), F.col("options"), F.col("problem_type"))
+    typed = prompts.typed_prompt(asked, F.col("problem_type"), "Question: {Question}\nThink first.", _SUFFIXES)
+    return rows.select("problem_id", prompts.filled(F.col("template"), Question=F.col("problem")).alias("prompt"), typed.alias("typed"))
+
 
+_MAPPED = "Map {object_list} as {map_example}. Question: {Question}"
 
-@query(f"""WITH {_OPT} SELECT problem_id, CASE WHEN data_source = 'SR_dataset' THEN problem || chr(10) || 'Objects: lamp, sofa' ELSE problem END AS prompt,
+
+@query(f"""WITH {_OPT}, x(kind, suffix) AS (VALUES {_VALUES(_SUFFIXES)})
+SELECT problem_id, CASE WHEN data_source = 'SR_dataset' THEN 'Map [''lamp'', "cook''s table"] as {{"lamp": [[1, 2]]}}. Question: ' || {_ASKED} ELSE 'Question: ' || {_ASKED} END || coalesce(x.suffix, '') AS prompt,
  CASE WHEN path IS NULL THEN NULL WHEN regexp_matches(path, '^https?://') THEN 'http' WHEN regexp_matches(path, '^file://') THEN 'file_url' WHEN regexp_matches(path, '^data:image') THEN 'data_url' ELSE 'path' END AS media,
- CASE WHEN data_type IN ('image', 'video') THEN 1 ELSE 0 END AS n_vision, regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS stem FROM tr""")
+ (CASE WHEN data_type IN ('image', 'video') THEN 2 ELSE 0 END + 1)::INT AS n_vision, path AS first_medium, regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS stem FROM tr LEFT JOIN x ON problem_type = x.kind""")
 def message_prompts(spark: SparkSession, d: str) -> DataFrame:
-    """Map-aware prompts in conversations, and the vision parts found in them."""
+    """Prompts that ask for an object map where the source has one, in conversations, and the vision parts found in several of them."""
     rows = _training(spark, d)
-    objects = F.array(F.lit("lamp"), F.lit("sofa"))
-    prompt = prompts.map_aware(F.col("problem"), objects, F.col("data_source"))
-    chat = prompts.sft_messages("You watch videos.", F.coalesce("data_type", F.lit("none")), F.col("path"), prompt, F.col("solution"))
-    user = prompts.user_message(F.coalesce("data_type", F.lit("none")), F.col("path"), prompt)
-    n = F.size(prompts.vision_parts(chat))
-    return rows.select("problem_id", F.get(F.get(user, F.lit(0))["content"], F.lit(1))["text"].alias("prompt"), prompts.media_kind(F.col("path")).alias("media"), n.alias("n_vision"), text.file_stem(F.col("path")).alias("stem"))
+    points = F.array(F.array(F.lit(1), F.lit(2)))
+    question = prompts.options_block(F.col("problem"), F.col("options"), F.col("problem_type"))
+    prompt = prompts.map_aware(question, F.create_map(F.lit("lamp"), points, F.lit("cook's table"), points), F.col("data_source"), F.col("problem_type"), "Question: {Question}", _MAPPED, _SUFFIXES, '{"lamp": [[1, 2]]}')
+    kind = F.coalesce("data_type", F.lit("none"))
+    chat = prompts.sft_messages("You watch videos.", kind, F.col("path"), prompt, F.col("solution"))
+    user = prompts.user_message(kind, F.col("path"), prompt)
+    addressed = prompts.user_message(F.lit("image_url"), F.col("path"), prompt)
+    parts = prompts.vision_parts_of_all(F.array(addressed, chat, user))
+    return rows.select(
+        "problem_id", F.get(F.get(user, F.lit(0))["content"], F.lit(1))["text"].alias("prompt"), prompts.media_kind(F.col("path")).alias("media"), F.size(parts).alias("n_vision"),
+        F.get(parts, F.lit(0))["image_url"].alias("first_medium"), text.file_stem(F.col("path")).alias("stem"),
+    )
 
 
 # Curation, sampling, shards ------------------------------------------------------------------------------------------
 
 
 @query(r"""
-WITH raw AS (SELECT p_partkey, 'Question: ' || p_name || ' Answer: ' || '<think>' || p_brand || '</think> then <think> ' || p_type || '</think><answer>Answer: ' || p_size || '</answer>' AS response, p_size AS h, p_size * 2 AS w FROM part)
-SELECT p_partkey, p_name AS problem, '<think>' || p_brand || ' ' || p_type || '</think>' || chr(10) || chr(10) || '<answer>' || p_size || '</answer>' AS solution FROM part WHERE p_size >= 28 AND p_size * 2 >= 28""")
+SELECT p_partkey, p_name AS problem, '<think>' || p_brand || ' ' || p_type || '</think>' || chr(10) || chr(10) || '<answer>' || p_size || '</answer>' AS solution FROM part WHERE p_size >= 28 AND p_partkey % 5 > 1""")
 def curated(spark: SparkSession, d: str) -> DataFrame:
-    """Raw responses taken apart, put together and filtered."""
-    raw = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("h"), (F.col("p_size") * 2).alias("w"), F.concat(F.lit("Question: "), "p_name", F.lit(" Answer: <think>"), "p_brand", F.lit("</think> then <think> "), "p_type", F.lit("</think><answer>Answer: "), F.col("p_size").cast("string"), F.lit("</answer>")).alias("response"))
+    """Raw responses taken apart, put together and filtered: by size, without answer marks in problems, without empty tags in solutions."""
+    k = F.col("p_partkey") % 5
+    name = F.concat("p_name", F.when(k == 0, " Answer: so").otherwise(""))
+    brand, kind = F.when(k == 1, "").otherwise(F.col("p_brand")), F.when(k == 1, "").otherwise(F.concat(F.lit(" "), "p_type"))
+    said = F.when(k == 1, "").otherwise(F.concat(F.lit("Answer: "), F.col("p_size").cast("string")))
+    raw = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("h"), (F.col("p_size") * 2).alias("w"), F.concat(F.lit("Question: "), name, F.lit(" Answer: <think>"), brand, F.lit("</think> then <think> "), kind, F.lit("</think><answer>"), said, F.lit("</answer>")).alias("response"))
     return curation.keep_clean(curation.clean_reasoning(raw), height="h", width="w").select("p_partkey", "problem", "solution")
 
 
+@query(f"""SELECT p_partkey, p_name AS problem, '<think>' || p_brand || ' ' || p_type || '</think>' || chr(10) || chr(10) || '<answer>' || p_size || ' Answer: yes</answer>' AS solution, 'im/' || p_partkey || '.png' AS image_path, p_type AS original_question, p_brand AS original_answer
+FROM part WHERE p_partkey % 7 > 1 UNION ALL SELECT p_partkey, NULL, NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 7 <= 1""")
+def ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Annotations read from JSON texts: a mark before an answer goes, one within it stays; broken and incomplete texts give nulls."""
+    p = table(spark, d, "part")
+    mark = F.when(F.col("p_partkey") % 2 == 0, "Answer: ").otherwise("")
+    response = F.concat(F.lit("Question: "), "p_name", F.lit(" Answer: <think>"), "p_brand", F.lit("</think> then <think>"), "p_type", F.lit("</think><answer>"), mark, F.col("p_size").cast("string"), F.lit(" Answer: yes</answer>"))
+    image = F.concat(F.lit("im/"), F.col("p_partkey").cast("string"), F.lit(".png"))
+    whole = F.to_json(F.struct(response.alias("gpt4o_response"), image.alias("image_path"), F.col("p_type").alias("question"), F.when(F.col("p_partkey") % 7 != 1, F.col("p_brand")).alias("answer")))
+    raw = p.select("p_partkey", F.when(F.col("p_partkey") % 7 == 0, F.expr("substring(p_name, 1, 5)")).otherwise(whole).alias("line"))
+    return curation.ingest_annotations(raw).select("p_partkey", "problem", "solution", "image_path", "original_question", "original_answer")
+
+
 @query(r"""SELECT problem_id, path FROM training_example WHERE path IS NULL OR regexp_extract(path, '[^/]*$') NOT IN (SELECT scene_name || '.mp4' FROM vsi_annotation WHERE scene_name IS NOT NULL)""")
 def leakage_excluded(spark: SparkSession, d: str) -> DataFrame:
     """Training rows whose file is not on the list of evaluation files."""
@@ -626,22 +728,61 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
     return both.unionByName(a.union(b).distinct().exceptAll(both.select("name")).withColumn("in_both", F.lit(False)))
 
 
-@query("""SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey, 'json' AS kind FROM nation UNION ALL SELECT n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR, 'csv' FROM nation UNION ALL SELECT n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR, 'tsv' FROM nation UNION ALL SELECT n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR, 'parquet' FROM nation""")
+_KINDS = ["lines.json", "array.json", "jsonl", "csv", "tsv", "parquet"]
+
+
+@query(" UNION ALL ".join(f"SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey, '{k}' AS kind FROM nation" for k in _KINDS))
 def source_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """A table written as JSON lines, CSV, TSV and Parquet, and read back by extension."""
+    """A table written as JSON lines, a JSON array, CSV, TSV and Parquet, and read back by extension."""
+    base, nation = _scratch(spark, "source_kinds"), table(spark, d, "nation")
+    frames_ = []
+    for kind in _KINDS:
+        path = f"{base}.{kind}"
+        w = nation.write.mode("overwrite")
+        if kind == "array.json":  # one document by its nature
+            nation.agg(F.to_json(F.collect_list(F.struct(*nation.columns))).alias("value")).write.mode("overwrite").text(path)
+        else:
+            w.parquet(path) if kind == "parquet" else w.option("header", True).option("sep", "," if kind == "csv" else "\t").csv(path) if kind in ("csv", "tsv") else w.json(path)
+        frames_.append(tables.read_table(spark, path).select(*(F.col(c).cast("string").alias(c) for c in ("n_nationkey", "n_name", "n_regionkey"))).withColumn("kind", F.lit(kind)))
+    return tables.union_tables(frames_)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder."""
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get() + "/source_kinds"
-    nation = table(spark, d, "nation")
-    out = None
-    for kind, ext in (("json", "jsonl"), ("csv", "csv"), ("tsv", "tsv"), ("parquet", "parquet")):
-        path = f"{base}.{ext}"
-        w = nation.write.mode("overwrite")
-        w.parquet(path) if kind == "parquet" else w.json(path) if kind == "json" else w.option("header", True).option("sep", "," if kind == "csv" else "\t").csv(path)
-        back = tables.read_table(spark, path).select(*(F.col(c).cast("string").alias(c) for c in ("n_nationkey", "n_name", "n_regionkey"))).withColumn("kind", F.lit(kind))
-        out = back if out is None else out.unionByName(back)
-    return out
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get() + f"/{name}"
+
+
+@query("SELECT id, question, ground_truth, predicted_answer, task, image_type, promt FROM spar_result")
+def typed_results(spark: SparkSession, d: str) -> DataFrame:
+    """Result rows written as JSON lines and read under their declared schema."""
+    path = _scratch(spark, "typed_results")
+    columns = [c.split()[0] for c in tables.RESULT_SCHEMAS["spar"].split(", ")]
+    tables.write_results(table(spark, d, "spar_result").select(*columns), path, mode="overwrite")
+    return tables.read_table(spark, path, fmt="jsonl", schema=tables.RESULT_SCHEMAS["spar"])
+
+
+@query("SELECT event_id, event_id % 4 AS rank, row_number() OVER (ORDER BY event_id % 4, event_id) - 1 AS place FROM events")
+def merged_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of four ranks, one after the other."""
+    rows = table(spark, d, "events").select("event_id", (F.col("event_id") % 4).alias("rank"))
+    return curation.numbered(rows, ["rank", "event_id"], "place")
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def existing_files(spark: SparkSession, d: str) -> DataFrame:
+    """The tables of a list of files, those that do not exist left out."""
+    names = {f"{d}/nation.parquet": ("n_nationkey", "n_name"), f"{d}/missing.parquet": ("x", "y"), f"{d}/region.parquet": ("r_regionkey", "r_name")}
+    found = [tables.read_table(spark, p).select(F.col(names[p][0]).alias("n_nationkey"), F.col(names[p][1]).alias("n_name")) for p in tables.existing(spark, list(names))]
+    return tables.union_tables(found)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{f}', '{m}')" for t, (fs, m) in tables.CATALOGUE.items() for f in fs) + ") AS c(task, file, media)")
+def benchmark_files(spark: SparkSession, d: str) -> DataFrame:
+    """The data files and media folders of the benchmarks."""
+    return tables.catalogue(spark).select("task", F.explode("files").alias("file"), "media")
 
 
 @query(r"""SELECT event_id, lpad(((floor(value)::BIGINT * 100 % 86400) // 3600)::VARCHAR, 2, '0') || 'h' || lpad((((floor(value)::BIGINT * 100 % 86400) % 3600) // 60)::VARCHAR, 2, '0') || 'm' || lpad(((floor(value)::BIGINT * 100 % 86400) % 60)::VARCHAR, 2, '0') || 's' AS elapsed,
@@ -663,12 +804,14 @@ WITH p AS (SELECT p_partkey, (p_partkey * 37 % 4000 + 10)::DOUBLE AS h, (p_partk
 r AS (SELECT *, greatest(28, {_q_half_even('(h / 28)')} * 28) AS h1, greatest(28, {_q_half_even('(w / 28)')} * 28) AS w1, sqrt(h * w / 12845056.0::DOUBLE) AS down, sqrt(3136.0::DOUBLE / (h * w)) AS up FROM p)
 SELECT p_partkey, CASE WHEN greatest(h, w) / least(h, w) <= 200 THEN CASE WHEN h1 * w1 > 12845056 THEN floor(h / down / 28) * 28 WHEN h1 * w1 < 3136 THEN ceil(h * up / 28) * 28 ELSE h1 END END::BIGINT AS height,
  CASE WHEN greatest(h, w) / least(h, w) <= 200 THEN CASE WHEN h1 * w1 > 12845056 THEN floor(w / down / 28) * 28 WHEN h1 * w1 < 3136 THEN ceil(w * up / 28) * 28 ELSE w1 END END::BIGINT AS width,
- CASE WHEN greatest(h, w) <= 448 THEN h ELSE floor(h * (448.0::DOUBLE / greatest(h, w))) END::BIGINT AS capped_height, CASE WHEN greatest(h, w) <= 448 THEN w ELSE floor(w * (448.0::DOUBLE / greatest(h, w))) END::BIGINT AS capped_width FROM r""")
+ CASE WHEN greatest(h, w) <= 448 THEN h ELSE floor(h * (448.0::DOUBLE / greatest(h, w))) END::BIGINT AS capped_height, CASE WHEN greatest(h, w) <= 448 THEN w ELSE floor(w * (448.0::DOUBLE / greatest(h, w))) END::BIGINT AS capped_width,
+ CASE WHEN greatest(h, w) <= 448 THEN h ELSE floor(w * (448.0::DOUBLE / greatest(h, w))) END::BIGINT AS turned_height FROM r""")
 def resized(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey")
     h, w = (k * 37 % 4000 + 10).cast("double"), (k * 91 % 5000 + 10).cast("double")
     s, c = frames.smart_resize(h, w), frames.capped_size(h, w)
-    return table(spark, d, "part").select("p_partkey", s["height"].alias("height"), s["width"].alias("width"), c["height"].alias("capped_height"), c["width"].alias("capped_width"))
+    turned = frames.capped_size(h, w, transposed=True)
+    return table(spark, d, "part").select("p_partkey", s["height"].alias("height"), s["width"].alias("width"), c["height"].alias("capped_height"), c["width"].alias("capped_width"), turned["height"].alias("turned_height"))
 
 
 @query(f"""
@@ -676,7 +819,7 @@ WITH o AS (SELECT o_orderkey, o_orderkey % 900 + 1 AS total, (o_orderkey % 30 +
 n AS (SELECT *, floor(least(greatest(total / vf * 2.0::DOUBLE, 4.0::DOUBLE), floor(least(768, total) / 2.0::DOUBLE) * 2, total::DOUBLE) / 2) * 2 AS n0, {_q_half_even('((total % 17) / 2.0::DOUBLE)')} * 2 AS n1 FROM o)
 SELECT o_orderkey, CASE WHEN n0 >= 2 AND n0 <= total THEN n0 END::BIGINT AS n_frames, CASE WHEN n1 >= 2 AND n1 <= total THEN n1 END::BIGINT AS n_given, round(8 / greatest(total::DOUBLE, 1e-6) * vf, 6) AS sample_fps,
  array_to_string(list_transform(range(0, 5), lambda i: {_q_half_even('(i * ((total - 1)::DOUBLE / 4))')}::BIGINT), ' ') AS rounded, array_to_string(list_transform(range(0, 5), lambda i: floor(i * ((total - 1)::DOUBLE / 4))::BIGINT), ' ') AS truncated,
- greatest(least(602112.0::DOUBLE, 90316800.0::DOUBLE / total * 2), 105369.0::DOUBLE) AS pixels FROM n""")
+ greatest(least(602112.0::DOUBLE, 90316800.0::DOUBLE / total * 2), 105369.0::DOUBLE) AS pixels, least((o_orderkey % 50 * 20000)::DOUBLE, greatest(least(602112.0::DOUBLE, 90316800.0::DOUBLE / total * 2), 105369.0::DOUBLE)) AS given_pixels FROM n""")
 def frame_counts(spark: SparkSession, d: str) -> DataFrame:
     """Frames taken, indices rounded and truncated, rates and pixel budgets."""
     o = table(spark, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 900 + 1).alias("total"), (F.col("o_orderkey") % 30 + 1).cast("double").alias("vf"))
@@ -684,7 +827,7 @@ def frame_counts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("total")
     return o.select(
         "o_orderkey", frames.smart_nframes(t, F.col("vf")).alias("n_frames"), frames.rounded_nframes(t % 17, t).alias("n_given"), F.round(frames.sample_fps(F.lit(8), t, F.col("vf")), 6).alias("sample_fps"),
-        joined(frames.frame_indices(t, F.lit(5))).alias("rounded"), joined(frames.truncated_indices(t, F.lit(5))).alias("truncated"), frames.pixel_budget(t, 90316800, 602112, 128 * 28 * 28).alias("pixels"),
+        joined(frames.frame_indices(t, F.lit(5))).alias("rounded"), joined(frames.truncated_indices(t, F.lit(5))).alias("truncated"), frames.pixel_budget(t, 90316800, 602112, 128 * 28 * 28).alias("pixels"), frames.pixel_budget(t, 90316800, 602112, 128 * 28 * 28, F.col("o_orderkey") % 50 * 20000).alias("given_pixels"),
     )
 
 
@@ -728,7 +871,8 @@ def point_pairs(spark: SparkSession, d: str) -> DataFrame:
 def retry_delays(spark: SparkSession, d: str) -> DataFrame:
     """Back-off delays of retries, beside a single-choice prompt row."""
     e = _events(spark, d)
-    return e.select("event_id", F.round(frames.backoff_delay(F.col("event_id") % 5, spread=(F.col("user_id") % 10) / F.lit(10.0)), 6).alias("delay"), F.col("event_type").alias("query"), F.get(F.array(F.lit("gold")), F.lit(0)).alias("choice"))
+    prompt = prompts.single_choice(F.col("event_type"), F.lit("gold"))
+    return e.select("event_id", F.round(frames.backoff_delay(F.col("event_id") % 5, spread=(F.col("user_id") % 10) / F.lit(10.0)), 6).alias("delay"), prompt["query"].alias("query"), F.element_at(prompt["choices"], prompt["gold_index"] + 1).alias("choice"))
 
 
 @query(f"""WITH {_VSI_SQL} SELECT count(CASE WHEN task IN {_CHOICE} THEN 1 END) AS n_choice, count(CASE WHEN task IN {_NUMBER} THEN 1 END) AS n_number, round(avg(CASE WHEN task IN {_NUMBER} THEN video_duration END), 6) AS mean_duration, max(video_duration) AS longest FROM vsi""")

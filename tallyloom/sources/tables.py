@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions import text
+
 RESULT_SCHEMAS = {
     "vsi": "id bigint, dataset string, scene_name string, question string, ground_truth string, predicted_answer string, question_type string, promt string, frame_timestamps array<int>, video_duration int",
     "sti": "id bigint, question string, ground_truth string, predicted_answer string, task string, promt string, frame_timestamps array<int>, video_duration int",
@@ -18,8 +21,24 @@ MAP_SCHEMA = "video_id string, cognitive_map map<string,array<array<int>>>, obje
 _KINDS = {".parquet": "parquet", ".json": "json", ".jsonl": "jsonl", ".csv": "csv", ".tsv": "tsv", ".pkl": "pickle", ".pickle": "pickle"}
 
 
+def _holds_lines(spark: SparkSession, path: str | list[str]) -> bool:
+    """The first line that is not blank is an object by itself."""
+    first = spark.read.text(path).where("trim(value) <> ''").limit(1).collect()
+    if not first or not first[0].value.strip().startswith("{"):
+        return False
+    try:
+        return isinstance(json.loads(first[0].value), dict)
+    except ValueError:
+        return False
+
+
+def read_media(spark: SparkSession, path: str | list[str], kind: str = "image") -> DataFrame:
+    """(path, url) of media files, their bytes as data URLs."""
+    return spark.read.format("binaryFile").load(path).select("path", text.data_url(F.col("content"), kind).alias("url"))
+
+
 def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = None, schema: str | T.StructType | None = None, infer: bool = False) -> DataFrame:
-    """A table by its extension or `fmt`: parquet, json (an array or one object), jsonl, csv and tsv (strings unless `infer`).
+    """A table by its extension or `fmt`: parquet, json (an array, one object, or lines, told apart by the first line), jsonl, csv and tsv (strings unless `infer`).
 
     Pickle is refused, as reading it runs code; unknown kinds raise ValueError.
     """
@@ -29,7 +48,7 @@ def read_table(spark: SparkSession, path: str | list[str], fmt: str | None = Non
     if kind == "parquet":
         return reader.parquet(*([path] if isinstance(path, str) else path))
     if kind in ("json", "jsonl"):
-        return reader.option("multiLine", kind == "json").json(path)
+        return reader.option("multiLine", kind == "json" and not _holds_lines(spark, path)).json(path)
     if kind in ("csv", "tsv"):
         return reader.option("header", True).option("inferSchema", infer).option("sep", "," if kind == "csv" else "\t").option("multiLine", True).option("escape", '"').csv(path)
     raise ValueError(f"refused: {first}" if kind == "pickle" else f"unknown kind of table: {first}")
@@ -78,17 +97,24 @@ def write_metrics(report_json: DataFrame, path: str, mode: str = "append") -> No
     report_json.coalesce(1).write.mode(mode).text(path)
 
 
-#: Task -> (kind of data file, where its media lie, relative to a data root).
+# Benchmark -> its data files and the folder of its media, relative to a data root.
 CATALOGUE = {
-    "vsibench": ("parquet", "VSI"), "stibench": ("parquet", "STI"), "sparbench": ("parquet", "SPAR"),
-    "videomme": ("parquet", "VideoMME"), "longvideobench": ("json", "LongVideoBench"), "tempcompass": ("json", "TempCompass"),
-}
+    "VSI-Bench": (["VSI_bench/test-00000-of-00001.parquet"], "VSI_bench"),
+    "STI-Bench": (["STI-Bench/qa.parquet"], "STI-Bench/video"),
+    "SPAR-Bench": ([f"SPAR-Bench/data/test-{i:05d}-of-00004.parquet" for i in range(4)], "SPAR-7M/spar/structured3d/images"),
+    "Video-MME": (["Video-MME/videomme/test-00000-of-00001.parquet"], "Video-MME/data"),
+    "LongVideoBench": (["LongVideoBench/lvb_val.json"], "LongVideoBench/videos"),
+    "TempCompass": (["TempCompass/eval_tempcompass.json"], "TempCompass/videos"),
+}
 
 
-def catalogued(task: str) -> tuple[str, str]:
+def catalogued(task: str) -> tuple[list[str], str]:
+    """(data files, media folder) of a benchmark; an unknown one raises ValueError."""
     try:
         return CATALOGUE[task]
     except KeyError:
         raise ValueError(f"unknown task: {task}") from None
 
 
+def catalogue(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(t, files, media) for t, (files, media) in CATALOGUE.items()], "task string, files array<string>, media string")

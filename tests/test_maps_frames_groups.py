@@ -83,6 +83,35 @@ def test_frames(spark):
     assert (s.n, s.duration, list(s.timestamps)) == (3, 3, [0, 1, 2])
 
 
+def test_given_pixels_and_transposed_sides(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    budget = lambda given: one(frames.pixel_budget(F.lit(10), 1000, 200, 100, given))
+    assert (budget(None), budget(F.lit(50)), budget(F.lit(10**6))) == (200.0, 50.0, 200.0)
+    size = lambda h, w, t: tuple(one(frames.capped_size(F.lit(h), F.lit(w), transposed=t)))
+    assert (size(896, 448, False), size(896, 448, True), size(100, 200, True)) == ((448, 224), (224, 448), (100, 200))
+
+
+def test_regrouped(spark):
+    rows = spark.createDataFrame([(i, i) for i in range(9)], "rn bigint, v int")
+    owners = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "item bigint, process int")
+    got = sorted((r.process, r.local, r.v) for r in groups.regrouped(rows, owners, 2).collect())
+    assert got == [(0, 0, 2), (0, 1, 3), (1, 0, 0), (1, 1, 1), (1, 2, 4), (1, 3, 5)]
+
+
+def test_unknown_tasks_raise_unless_told_otherwise(spark):
+    df = spark.createDataFrame([("route_planning", "B", "B"), ("cooking", "B", "B")], "t string, p string, a string")
+    for score in (reports.vsi_score, reports.spar_score):
+        with pytest.raises(Exception, match="unknown task"):
+            df.select(score(F.col("t"), F.col("p"), F.col("a"))).collect()
+    assert [r[0] for r in df.coalesce(1).select(reports.vsi_score(F.col("t"), F.col("p"), F.col("a"), strict=False)).collect()] == [1.0, None]
+
+
+def test_sub_task_report(spark):
+    got = {(r.scope, r.name): (r.n, r.value) for r in reports.sti_report(spark.createDataFrame([("a", 1.0), ("b", 0.0), (None, 1.0)], "task string, score double"), sub_tasks=["a"]).collect()}
+    assert got == {("task", "a"): (1, 1.0), ("task", "b"): (1, 0.0), ("task", "sr_sub"): (1, 1.0), ("overall", "overall"): (3, pytest.approx(2 / 3))}
+    assert {r.name: r.value for r in reports.vsi_report(spark.createDataFrame([], "task string, score double")).collect()} == {"object_rel_direction": 0.0, "overall": 0.0}
+
+
 def test_advantages_and_bonuses(spark):
     rows = [(1, i, a, n, True) for i, (a, n) in enumerate([(0.5, 319), (0.5, 320), (0.0, 400), (0.9, 512)])] + [(2, 0, 0.5, 400, True), (2, 1, 0.0, 400, True)] + [(3, i, 0.4, 513, False) for i in range(3)]
     df = spark.createDataFrame(rows, "group_id bigint, gen_idx int, acc double, length int, is_video boolean")
@@ -127,7 +156,8 @@ def test_map_guided_reward(spark):
     say = lambda m: f"<think>t</think><map>{m}</map><answer>B</answer>"
     rows = [(1, "multiple choice", say('{"chair": [[1, 2]]}'), "<answer>B</answer>", "x/v1.mp4"), (2, "multiple choice", say("none"), "<answer>B</answer>", "x/v1.mp4"), (3, "multiple choice", say("none"), "<answer>C</answer>", "x/v1.mp4"), (4, "multiple choice", "<answer>B</answer>", "<answer>B</answer>", "x/v9.mp4"), (5, "other", "<answer>B</answer>", "<answer>B</answer>", None)]
     df = spark.createDataFrame(rows, "i int, problem_type string, completion string, solution string, path string")
-    assert {r.i: r.reward for r in rewards.map_guided(df, maps).collect()} == {1: 2.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 0.0}
+    twice = maps.withColumn("at", F.lit(2)).unionByName(spark.createDataFrame([("v1", {"chair": [[9, 9]]}, ["chair"], 1), (None, {"chair": [[9, 9]]}, ["chair"], 3)], "video_id string, cognitive_map map<string,array<array<int>>>, object_list array<string>, at int"))
+    assert {r.i: r.reward for r in rewards.map_guided(df, twice, order="at").collect()} == {r.i: r.reward for r in rewards.map_guided(df, maps).collect()} == {1: 2.0, 2: 0.0, 3: 0.0, 4: 1.0, 5: 0.0}
 
 
 def test_rewards_by_type(spark):

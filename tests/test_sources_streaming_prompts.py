@@ -26,6 +26,30 @@ def test_read_table_by_extension(spark, tmp_path):
         tables.existing(spark, [str(tmp_path / "no")])
     with pytest.raises(ValueError):
         tables.catalogued("nothing")
+    assert len(tables.catalogued("SPAR-Bench")[0]) == 4
+
+
+@pytest.mark.parametrize(
+    "content,xs",
+    [('{"x": 1}\n{"x": 2}\n{"x": 3}\n', [1, 2, 3]), ('\n  {"x": 1}\n', [1]), ('[{"x": 1},\n {"x": 2}]', [1, 2]), ('[{"x": 1}, {"x": 2}]', [1, 2]), ('{\n "x": 4\n}', [4]), ('{"x": 1}\nbroken\n{"x": 3}\n', [1, 3]), ("", [])],
+)
+def test_json_of_every_shape(spark, tmp_path, content, xs):
+    (tmp_path / "a.json").write_text(content)
+    assert sorted(r.x for r in tables.read_table(spark, str(tmp_path / "a.json"), schema="x int").where("x is not null").collect()) == xs
+
+
+def test_media_as_data_urls(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\x00")
+    assert tables.read_media(spark, str(tmp_path / "a.png")).first().url == "data:image;base64,iVBORwA="
+
+
+def test_ingestion(spark):
+    whole = {"gpt4o_response": "Question: how many? Answer: <think>a</think><answer>Answer: 4 Answer: 5</answer>", "image_path": "i.png", "question": "q", "answer": "a"}
+    lines = [json.dumps(whole), json.dumps({**whole, "answer": None}), json.dumps({k: v for k, v in whole.items() if k != "question"}), "{broken", "", None, json.dumps({**whole, "gpt4o_response": "no tags"})]
+    df = spark.createDataFrame([(i, x, "extra") for i, x in enumerate(lines)], "i int, line string, image_path string")
+    got = {r.i: (r.image_path, r.problem, r.solution, r.original_question, r.original_answer) for r in curation.ingest_annotations(df).collect()}
+    assert got[0] == ("i.png", "how many?", "<think>a</think>\n\n<answer>4 Answer: 5</answer>", "q", "a") and got[6] == ("i.png", "no tags", "<think></think>", "q", "a")
+    assert all(got[i] == (None,) * 5 for i in range(1, 6))
 
 
 def test_maps_keep_the_last_line(spark, tmp_path):
@@ -60,12 +84,28 @@ def test_prompts(spark):
     chat = prompts.user_message(F.col("k"), F.lit("f.mp4"), F.col("p"))
     row = df.select(prompts.without_nulls(chat).alias("j"), prompts.vision_parts(chat).alias("v")).first()
     assert json.loads(row.j) == [{"role": "user", "content": [{"type": "video", "video": "f.mp4"}, {"type": "text", "text": "q"}]}] and row.v[0].video == "f.mp4"
-    t = spark.createDataFrame([("default", "D {Question}"), ("free", "F {Question}")], "kind string, template string")
+    t = {"default": "D {Question}", "free": "F {Question}"}
     assert [r.template for r in prompts.with_template(df, t, "t", "default").orderBy("t").collect()] == ["F {Question}", "D {Question}"]
     with pytest.raises(Exception, match="unknown prompt kind"):
         prompts.with_template(df, t, "t", "default", strict=True).collect()
 
 
+def test_map_prompts(spark):
+    rows = [("q", "SR_dataset", {"lamp": [[1, 2]], "cook's": [[3, 4]]}, "numerical"), ("q", "SR_dataset", None, "numerical"), ("q", "other", None, "unheard of")]
+    df = spark.createDataFrame(rows, "p string, s string, m map<string,array<array<int>>>, t string")
+    c = prompts.map_aware(F.col("p"), F.col("m"), F.col("s"), F.col("t"), "P {Question}", "M {object_list} {map_example} {Question}", {"numerical": " N"}, "{}")
+    got = [r[0] for r in df.coalesce(1).select(c).collect()]
+    assert got[0] in ("M ['lamp', \"cook's\"] {} q N", "M [\"cook's\", 'lamp'] {} q N") and got[1:] == [None, "P q"]
+    with pytest.raises(Exception, match="unknown prompt kind"):
+        df.select(prompts.typed_prompt(F.col("p"), F.col("t"), "{Question}", {"numerical": "x"}, strict=True)).collect()
+
+
+def test_vision_parts_of_several_conversations(spark):
+    one = lambda kind: prompts.user_message(F.lit(kind), F.lit("f"), F.lit("q"))
+    got = spark.range(1).select(prompts.vision_parts_of_all(F.array(one("image_url"), one("audio"), one("video"))).alias("v")).first().v
+    assert [(p.type, p.image_url, p.video) for p in got] == [("image_url", "f", None), ("video", None, "f")]
+
+
 def test_exclusion_and_media(spark):
     df = spark.createDataFrame([(1, "a/x.mp4"), (2, "y.mp4"), (3, None)], "i int, path string")
     listed = spark.createDataFrame([("x.mp4",), (None,)], "file_name string")

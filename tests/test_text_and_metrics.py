@@ -131,6 +131,8 @@ def test_reasoning_split(spark):
     got = values(spark, [(raw,), ("plain",)], "s string", text.split_reasoning(F.col("s")))
     assert tuple(got[0]) == ("how?", "one two", "7")
     assert tuple(got[1]) == ("plain", "", None)
+    got = values(spark, [("q<think>t</think><answer> Answer: 3, not Answer: 4 </answer>",)], "s string", text.split_reasoning(F.col("s")))
+    assert got[0].answer == "3, not Answer: 4"
 
 
 def test_camera_distance_and_time(spark):

@@ -51,3 +51,36 @@ def test_hot_source(spark):
     df = spark.range(3000).selectExpr("'t' tab", "id row_id", "'f' field", "case when id % 3 = 0 then 'hot' else concat('s', id) end source", "'How tall is it?' question", "cast(id as string) text")
     notes = spark.createDataFrame([("hot", "in cm")], "source string, note string")
     assert U.convert_values(df, notes).where("unit = 'cm'").count() == 1000
+
+
+def test_ambiguous_units_follow_the_field(spark):
+    q = "For how long is the lamp seen?"
+    rows = [(f, i, f, None, q, v) for f, v in (("tapes", "7 ft"), ("clocks", "7 min")) for i in range(200)] + [(f, 1000, f, None, q, "5′") for f in ("tapes", "clocks", "new")]
+    df = spark.createDataFrame(rows, "tab string, row_id bigint, field string, source string, question string, text string")
+    notes = spark.createDataFrame([], "source string, note string")
+    got = {r.field: (r.unit, r.common_value) for r in U.convert_values(df, notes).where("row_id = 1000").collect()}
+    assert got == {"tapes": ("ft", pytest.approx(1.524)), "clocks": ("min", 300.0), "new": ("min", 300.0)}
+
+
+def brute_readings(text):
+    """Every way to put one entry of each layer together."""
+    import itertools
+
+    layers = [[*x, ("", None, 0.0)] for x in (U.QUALIFIERS, U.PREFIXES)] + [U.ROOTS] + [[*x, ("", None, 0.0)] for x in (U.PLURALS, U.EXPONENTS)]
+    best = {}
+    for combo in itertools.product(*layers):
+        if "".join(c[0] for c in combo) == text and (r := U._reading(tuple(c[1] for c in combo))):
+            score = sum(c[2] for c in combo)
+            if r[1] not in best or score > best[r[1]][0]:
+                best[r[1]] = score, r
+    return best
+
+
+@pytest.mark.parametrize("s", ["ms", "m", "mm", "min", "s", "sqft", "′", "″", "square metres2", "cm2", "hs", "dm", "inches", "mins"])
+def test_readings_against_brute_force(s):
+    got, expected = U.readings(s), brute_readings(s)
+    assert {d: (pytest.approx(x), r) for d, (x, r) in got.items()} == expected
+
+
+def test_unit_strings_of_any_length():
+    assert U.readings("x" * 5000) == {} and U.readings("square millimeter(s)" + " " * 40)["area"][1][0] == "mm2"
