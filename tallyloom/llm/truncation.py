@@ -92,13 +92,18 @@ def scan(batches: Iterator[pa.RecordBatch], further: Callable[[dict[str, list]],
 
 
 def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted (s, n, probe) rows: for each probe how many strings end with it (n_end), go on (n_on), and go on within the word (n_in)."""
+    """Sorted (s, n, probe) rows: for each probe how many strings end with it (n_end), go on (n_on), and go on within the word (n_in).
+
+    Parts follow one another, each sorted without equal strings: a string not above the last one begins a new part.
+    """
     stack: list[list] = []
+    last = ""
     for pdf in batches:
         done = []
         for s, n, probe in zip(pdf["s"], pdf["n"], pdf["probe"]):
-            while stack and not s.startswith(stack[-1][0]):
+            while stack and (s <= last or not s.startswith(stack[-1][0])):
                 done.append(tuple(stack.pop()))
+            last = s
             for top in stack:
                 after = s[len(top[0]) :]
                 if after == ts.END:
@@ -123,16 +128,19 @@ def prefix_join(strings: DataFrame) -> DataFrame:
     """
     whole = F.length("s") >= PREFIX
     keyed = strings.where(whole).withColumn("bucket", F.xxhash64(F.substring("s", 1, PREFIX)))
-    hot = keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(f"size > {HOT}").select("bucket", F.lit(True).alias("hot"))
-    placed = keyed.join(hot, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    long = F.length("s") >= LONG_PREFIX
-    home = F.when(~F.col("hot"), 0).otherwise(F.pmod(F.xxhash64(F.substring("s", 1, LONG_PREFIX)), F.lit(PARTS))).cast("int")
-    everywhere = F.col("hot") & F.col("probe") & ~long
-    placed = placed.withColumn("home", home).withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(home))))
-    once = F.when(F.col("part") == F.col("home"), 1).otherwise(0)
-    rows = placed.select("bucket", "part", "s", (F.col("n") * once).alias("n"), "probe")
-    swept = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "s").select("s", "n", "probe").mapInPandas(sweep, "s string, n_end bigint, n_on bigint, n_in bigint")
-    found = swept.groupBy("s").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"), F.sum("n_in").alias("n_in"))
+    hot = cut(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(f"size > {HOT}").select("bucket", F.lit(True).alias("hot")))
+    swept_as = "s string, n_end bigint, n_on bigint, n_in bigint"
+    if hot.isEmpty():  # every string is in one place
+        found = keyed.repartition("bucket").sortWithinPartitions("s").select("s", "n", "probe").mapInPandas(sweep, swept_as)
+    else:
+        placed = keyed.join(hot, "bucket", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        home = F.when(~F.col("hot"), 0).otherwise(F.pmod(F.xxhash64(F.substring("s", 1, LONG_PREFIX)), F.lit(PARTS))).cast("int")
+        everywhere = F.col("hot") & F.col("probe") & (F.length("s") < LONG_PREFIX)
+        placed = placed.withColumn("home", home).withColumn("part", F.explode(F.when(everywhere, F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(home))))
+        once = F.when(F.col("part") == F.col("home"), 1).otherwise(0)
+        rows = placed.select("bucket", "part", "s", (F.col("n") * once).alias("n"), "probe")
+        swept = rows.repartition("bucket", "part").sortWithinPartitions("part", "s").select("s", "n", "probe").mapInPandas(sweep, swept_as)
+        found = swept.groupBy("s").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"), F.sum("n_in").alias("n_in"))
     heads = strings.groupBy(F.substring("s", 1, PREFIX).alias("head")).agg(F.sum("n").alias("n"))
     begun = heads.select(F.explode(F.expr(f"transform(sequence(1, least(length(head), {PREFIX - 1})), i -> struct(substring(head, 1, i) AS s, substring(head, i + 1) AS rest))")).alias("x"), "n")
     begun = begun.where("x.rest != ''").groupBy("x.s").agg(

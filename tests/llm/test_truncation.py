@@ -48,6 +48,12 @@ def test_sweep_against_brute_force():
     assert got == brute(rows)
 
 
+def test_parts_are_swept_apart():
+    rows = [("ab", 0, True), ("abc", 3, False), ("ab", 0, True), ("abd", 5, False), ("ab", 0, True), ("ab", 0, True), ("ab" + ts.END, 2, False)]
+    got = [x for f in truncation.sweep(iter([pd.DataFrame(rows, columns=["s", "n", "probe"])])) for x in f.itertuples(index=False, name=None)]
+    assert got == [("ab", 0, 3, 3), ("ab", 0, 5, 5), ("ab", 0, 0, 0), ("ab", 2, 0, 0)]
+
+
 @pytest.mark.parametrize("hot", [10**9, 20])
 def test_probes_of_every_length_meet_all_their_continuations(spark, monkeypatch, hot):
     rng = random.Random(5)
