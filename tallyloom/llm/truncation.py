@@ -37,8 +37,8 @@ HOT, LONG_PREFIX, PARTS = 500_000, 24, 64
 MAX_ENDS = 0.02
 #: Weight of the shorter string's share in a longer one's; the share of ends of a string never seen.
 SMOOTHING, UNSEEN = 3.0, 0.5
-#: A tail repeated so often that no sentence continues is a whole answer.
-COPIES = 5
+#: A tail repeated so often that no sentence continues is a whole answer, unless its last word is one of the language's most frequent, above this share of all words.
+COPIES, FREQUENT = 5, 0.01
 #: A length is a field limit if it is a run's largest, so many values of it differ, and it is so many times as frequent as those of its upper half.
 LIMIT_MIN, LIMIT_TIMES = 5, 4.0
 FLUSH = 100_000
@@ -91,8 +91,11 @@ def scan(batches: Iterator[pa.RecordBatch], further: Callable[[dict[str, list]],
     yield from flush()
 
 
+_COUNTS = ("n_end", "n_on", "n_in", "n_mark")
+
+
 def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted (s, n, probe) rows: for each probe how many strings end with it (n_end), go on (n_on), and go on within the word (n_in).
+    """Sorted (s, n, probe) rows: for each probe how many strings end with it (n_end), go on (n_on), go on within the word (n_in), and with a mark (n_mark).
 
     Parts follow one another, each sorted without equal strings: a string not above the last one begins a new part.
     """
@@ -110,17 +113,20 @@ def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     top[1] += n
                 elif after:
                     top[2] += n
-                    top[3] += n if after[0].isalpha() else 0
+                    if after[0].isalpha():
+                        top[3] += n
+                    elif after[0] != " ":
+                        top[4] += n
             if probe:
-                stack.append([s, 0, 0, 0])
+                stack.append([s, 0, 0, 0, 0])
         if done:
-            yield pd.DataFrame(done, columns=["s", "n_end", "n_on", "n_in"])
+            yield pd.DataFrame(done, columns=["s", *_COUNTS])
     if stack:
-        yield pd.DataFrame([tuple(x) for x in stack], columns=["s", "n_end", "n_on", "n_in"])
+        yield pd.DataFrame([tuple(x) for x in stack], columns=["s", *_COUNTS])
 
 
 def prefix_join(strings: DataFrame) -> DataFrame:
-    """(s, n_end, n_on, n_in) of the probes among distinct (s, n, probe), n the times a string occurs.
+    """(s, n_end, n_on, n_in, n_mark) of the probes among distinct (s, n, probe), n the times a string occurs.
 
     A probe of under PREFIX characters is looked up among the counts of all beginnings of its length. Other
     strings meet in the bucket of their first PREFIX characters. A bucket of more than HOT strings is split by
@@ -129,7 +135,7 @@ def prefix_join(strings: DataFrame) -> DataFrame:
     whole = F.length("s") >= PREFIX
     keyed = strings.where(whole).withColumn("bucket", F.xxhash64(F.substring("s", 1, PREFIX)))
     hot = cut(keyed.groupBy("bucket").agg(F.count("*").alias("size")).where(f"size > {HOT}").select("bucket", F.lit(True).alias("hot")))
-    swept_as = "s string, n_end bigint, n_on bigint, n_in bigint"
+    swept_as = "s string, " + ", ".join(f"{c} bigint" for c in _COUNTS)
     if hot.isEmpty():  # every string is in one place
         found = keyed.repartition("bucket").sortWithinPartitions("s").select("s", "n", "probe").mapInPandas(sweep, swept_as)
     else:
@@ -140,12 +146,11 @@ def prefix_join(strings: DataFrame) -> DataFrame:
         once = F.when(F.col("part") == F.col("home"), 1).otherwise(0)
         rows = placed.select("bucket", "part", "s", (F.col("n") * once).alias("n"), "probe")
         swept = rows.repartition("bucket", "part").sortWithinPartitions("part", "s").select("s", "n", "probe").mapInPandas(sweep, swept_as)
-        found = swept.groupBy("s").agg(F.sum("n_end").alias("n_end"), F.sum("n_on").alias("n_on"), F.sum("n_in").alias("n_in"))
+        found = swept.groupBy("s").agg(*(F.sum(c).alias(c) for c in _COUNTS))
     heads = strings.groupBy(F.substring("s", 1, PREFIX).alias("head")).agg(F.sum("n").alias("n"))
     begun = heads.select(F.explode(F.expr(f"transform(sequence(1, least(length(head), {PREFIX - 1})), i -> struct(substring(head, 1, i) AS s, substring(head, i + 1) AS rest))")).alias("x"), "n")
-    begun = begun.where("x.rest != ''").groupBy("x.s").agg(
-        F.sum(F.expr(f"IF(x.rest = '{ts.END}', n, 0)")).alias("n_end"), F.sum(F.expr(f"IF(x.rest = '{ts.END}', 0, n)")).alias("n_on"), F.sum(F.expr(r"IF(x.rest RLIKE '^\\p{L}', n, 0)")).alias("n_in"),
-    )
+    when = {"n_end": f"x.rest = '{ts.END}'", "n_on": f"x.rest <> '{ts.END}'", "n_in": r"x.rest RLIKE '^\\p{L}'", "n_mark": rf"x.rest <> '{ts.END}' AND x.rest RLIKE '^[^\\p{{L}} ]'"}
+    begun = begun.where("x.rest <> ''").groupBy("x.s").agg(*(F.sum(F.expr(f"IF({w}, n, 0)")).alias(c) for c, w in when.items()))
     return found.unionByName(strings.where(~whole & F.col("probe")).select("s").join(begun, "s"))
 
 
@@ -166,15 +171,18 @@ def _judged(tails: DataFrame, counts: DataFrame) -> DataFrame:
     found = each.join(prefix_join(strings).withColumnRenamed("s", "key"), "key")
     at = lambda c, k: F.coalesce(F.max(F.when(F.col("level") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")
     levels = range(ts.WINDOW + 1)
-    wide = probes.drop("keys").join(found.groupBy("s", "item").agg(*(at(c, k) for k in levels for c in ("n_end", "n_on", "n_in"))), ["s", "item"], "left").na.fill(0)
+    wide = probes.drop("keys").join(found.groupBy("s", "item").agg(*(at(c, k) for k in levels for c in _COUNTS)), ["s", "item"], "left").na.fill(0)
     share = F.lit(UNSEEN)
     for k in reversed(levels):
         own = F.when(F.col("item"), F.col("t") - 1).otherwise(0) if k == 0 else F.lit(0)  # an answer that is but a name may stand open
-        share = (F.col(f"n_end{k}") + own + SMOOTHING * share) / (F.col(f"n_end{k}") + own + F.col(f"n_on{k}") + SMOOTHING)
+        on = F.col(f"n_on{k}") - F.when(F.col("item"), F.col(f"n_mark{k}")).otherwise(0)  # what follows a comma is no part of a list of names
+        share = (F.col(f"n_end{k}") + own + SMOOTHING * share) / (F.col(f"n_end{k}") + own + on + SMOOTHING)
     last = ts.WINDOW
     broken = F.expr(f"n_in{last} > 0 AND n_in{last} = n_on{last} AND n_end{last} = 0")
     seen = F.expr("n_on0 + n_end0 > 0")
-    is_cut = F.when((F.col("t") >= COPIES) & (F.col("n_on0") == 0), False).when((F.col("words") <= ts.WINDOW) & ~seen, broken).otherwise(share < MAX_ENDS)
+    n_words = strings.where(F.col("s").startswith(ts.WORDS)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    frequent = F.expr(f"n_on{last} - n_in{last}") > FREQUENT * n_words
+    is_cut = F.when((F.col("t") >= COPIES) & (F.col("n_on0") == 0) & ~frequent, False).when((F.col("words") <= ts.WINDOW) & ~seen, broken).otherwise(share < MAX_ENDS)
     evidence = F.when(seen, "sentence").when(F.expr(" OR ".join(f"n_on{k} + n_end{k} > 0" for k in levels[1:-1])), "words").otherwise("word")
     return wide.where(is_cut).select("s", "item", evidence.alias("evidence"))
 

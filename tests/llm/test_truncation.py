@@ -32,11 +32,11 @@ def brute(rows):
     for p, _, probe in rows:
         if probe:
             after = [(s[len(p) :], n) for s, n, _ in rows if s != p and s.startswith(p)]
-            out[p] = (sum(n for a, n in after if a == ts.END), sum(n for a, n in after if a != ts.END), sum(n for a, n in after if a[0].isalpha()))
+            out[p] = (sum(n for a, n in after if a == ts.END), sum(n for a, n in after if a != ts.END), sum(n for a, n in after if a[0].isalpha()), sum(n for a, n in after if a != ts.END and not a[0].isalpha() and a[0] != " "))
     return out
 
 
-def strings_of(rng, n, longest, alphabet="ab \né🙂"):
+def strings_of(rng, n, longest, alphabet="ab ,\né🙂"):
     words = sorted({"".join(rng.choice(alphabet) for _ in range(rng.randint(1, longest))).replace("\n", "") + rng.choice(["", "", ts.END]) for _ in range(n)} - {""})
     return [(w, rng.randint(0, 3), rng.random() < 0.5 and not w.endswith(ts.END)) for w in words]
 
@@ -44,14 +44,15 @@ def strings_of(rng, n, longest, alphabet="ab \né🙂"):
 def test_sweep_against_brute_force():
     rows = sorted(strings_of(random.Random(1), 150, 7, "ab "))
     frames = [pd.DataFrame(rows[i : i + 9], columns=["s", "n", "probe"]) for i in range(0, len(rows), 9)]
-    got = {s: (a, b, c) for f in truncation.sweep(iter(frames)) for s, a, b, c in f.itertuples(index=False)}
+    got = {s: x for f in truncation.sweep(iter(frames)) for s, *x in map(tuple, f.itertuples(index=False))}
+    got = {s: tuple(x) for s, x in got.items()}
     assert got == brute(rows)
 
 
 def test_parts_are_swept_apart():
     rows = [("ab", 0, True), ("abc", 3, False), ("ab", 0, True), ("abd", 5, False), ("ab", 0, True), ("ab", 0, True), ("ab" + ts.END, 2, False)]
     got = [x for f in truncation.sweep(iter([pd.DataFrame(rows, columns=["s", "n", "probe"])])) for x in f.itertuples(index=False, name=None)]
-    assert got == [("ab", 0, 3, 3), ("ab", 0, 5, 5), ("ab", 0, 0, 0), ("ab", 2, 0, 0)]
+    assert got == [("ab", 0, 3, 3, 0), ("ab", 0, 5, 5, 0), ("ab", 0, 0, 0, 0), ("ab", 2, 0, 0, 0)]
 
 
 @pytest.mark.parametrize("hot", [10**9, 20])
@@ -62,8 +63,8 @@ def test_probes_of_every_length_meet_all_their_continuations(spark, monkeypatch,
     df = spark.createDataFrame(list(rows), "s string, n bigint, probe boolean")
     assert sum(len(s) < truncation.PREFIX and x[1] > 0 for s, x in expected.items()) > 10
     monkeypatch.setattr(truncation, "HOT", hot)
-    got = {r.s: (r.n_end, r.n_on, r.n_in) for r in truncation.prefix_join(df).collect()}
-    assert {s: got.get(s, (0, 0, 0)) for s in expected} == expected and set(got) <= set(expected)
+    got = {r.s: (r.n_end, r.n_on, r.n_in, r.n_mark) for r in truncation.prefix_join(df).collect()}
+    assert {s: got.get(s, (0, 0, 0, 0)) for s in expected} == expected and set(got) <= set(expected)
 
 
 def test_windows_of_closed_sentences_and_open_tails():
@@ -97,7 +98,7 @@ def test_without_the_join_little_is_found(spark, monkeypatch):
     rows += [("t", 1000 + i, "r", w[: rng.randint(len(w) // 2, len(w) - 4)]) for i, w in enumerate(corpus(rng, 60))]
     df = frame(spark, rows)
     found = truncation.find_truncated(df).count()
-    monkeypatch.setattr(truncation, "prefix_join", lambda strings: strings.where("false").selectExpr("s", "n n_end", "n n_on", "n n_in"))
+    monkeypatch.setattr(truncation, "prefix_join", lambda strings: strings.where("false").selectExpr("s", "n n_end", "n n_on", "n n_in", "n n_mark"))
     assert found > 45 and truncation.find_truncated(df).count() < found / 4
 
 
