@@ -113,6 +113,7 @@ def language(text: str, least: float = 0.3) -> str | None:
     return "en" if en >= 2 and en > n else None
 
 
+@lru_cache(maxsize=4)
 def final_answer(text: str) -> str:
     """The text of a response outside its reasoning: the answer tag's body if there is one, else what follows the closed blocks."""
     if "<" not in text:

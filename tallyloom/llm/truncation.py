@@ -43,14 +43,16 @@ COPIES, FREQUENT = 5, 0.01
 LIMIT_MIN, LIMIT_TIMES = 5, 4.0
 FLUSH = 100_000
 
-_SCHEMA = "kind string, tab string, row_id bigint, run string, s string, w string, a bigint, b bigint"
-_TYPES = {c.split()[0]: pa.string() if c.endswith("string") else pa.int64() for c in _SCHEMA.split(", ")}
+_SCHEMA = "kind string, tab string, row_id bigint, run string, s string, w string, a bigint, b bigint, strings array<string>, counts array<bigint>"
+_ARROW = {"string": pa.string(), "bigint": pa.int64(), "array<string>": pa.list_(pa.string()), "array<bigint>": pa.list_(pa.int64())}
+_TYPES = {name: _ARROW[kind] for name, kind in map(str.split, _SCHEMA.split(", "))}
+#: Strings per row of counts.
+PACK = 5_000
 
 
-def _batch(n: int, **columns: list | str) -> pa.RecordBatch:
-    """Rows of _SCHEMA; a column left out is null, a string stands for all rows."""
-    arrays = [pa.array([x] * n if isinstance(x := columns.get(c), str) else x, t) if c in columns else pa.nulls(n, t) for c, t in _TYPES.items()]
-    return pa.RecordBatch.from_arrays(arrays, names=list(_TYPES))
+def _batch(n: int, **columns: list) -> pa.RecordBatch:
+    """Rows of _SCHEMA; a column left out is null."""
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _TYPES.items()], names=list(_TYPES))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -58,12 +60,15 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def scan(batches: Iterator[pa.RecordBatch], further: Callable[[dict[str, list]], list[tuple]] | None = None) -> Iterator[pa.RecordBatch]:
-    """Rows: `tail` (a row with an open tail s, of length a; b adds 1 for an item list and 2 for a structural cut), `str` counts, `len` counts with masks of hashes, and what `further` gives."""
+    """Rows: `tail` (a row with an open tail s, of length a; b adds 1 for an item list and 2 for a structural cut), `str` counts in packs, `len` counts with masks of hashes, and what `further` gives."""
     tally, lengths = ts.Tally(), {}
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if found := tally.strings():
-            yield _batch(len(found), kind="str", s=list(found), a=list(found.values()))
+        found = tally.strings()
+        texts, counts = list(found), list(found.values())
+        packs = [(texts[i : i + PACK], counts[i : i + PACK]) for i in range(0, len(texts), PACK)]
+        if packs:
+            yield _batch(len(packs), kind=["str"] * len(packs), strings=[t for t, _ in packs], counts=[n for _, n in packs])
         if lengths:
             yield _rows([("len", t, m, r, None, None, k, n) for (t, r, k), (n, m) in lengths.items()])
 
@@ -196,7 +201,7 @@ def find_truncated(values: DataFrame, seen: DataFrame | None = None) -> DataFram
     """
     seen = scanned(values) if seen is None else seen
     tails = seen.where("kind = 'tail'").select("tab", "row_id", "run", "s", "a", "b")
-    verdict = _judged(tails, seen.where("kind = 'str'").select("s", F.col("a").alias("n")))
+    verdict = _judged(tails, seen.where("kind = 'str'").select(F.explode(F.arrays_zip(F.col("strings").alias("s"), F.col("counts").alias("n"))).alias("x")).select("x.s", "x.n"))
     limits = field_limits(seen).select("tab", F.coalesce("run", F.lit("")).alias("run"), F.col("field_limit").alias("a"), F.lit(True).alias("at_limit"))
     keyed = tails.select("tab", "row_id", F.coalesce("run", F.lit("")).alias("run"), "a", "s", F.expr("b % 2 = 1").alias("item"), F.expr("b >= 2").alias("structure"))
     judged = keyed.join(verdict, ["s", "item"], "left").join(limits, ["tab", "run", "a"], "left")
