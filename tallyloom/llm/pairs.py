@@ -63,7 +63,6 @@ REFUSALS = {
     "hi": r"माफ़|क्षमा|नहीं दे सकता|नहीं दे सकती|असमर्थ|खेद|नहीं सकता|नहीं देख",
     "he": r"לא יכול|מצטער|לצערי",
 }
-_REFUSAL = re.compile("|".join(f"(?:{p})" for p in REFUSALS.values()))
 #: Frequent words by language, of grammar and of answering, none of what is seen; words that English uses as well are left out of the other lists.
 WORDS = {
     "en": "the a an any of and to is are was were it that this these those there which what where how many far from with for in on at by as be been has have had i you we they he she or not no so but if then than its into does do did can would will should may must could more most some all both each first next again before after who only while under between above below near here my your our their them him her us me when why because about over out up down other also just very too yes answer option correct question see",
@@ -187,27 +186,39 @@ def required(items) -> set[str]:
     return max(sets, key=lambda x: min(map(len, x), default=0), default=set())
 
 
-def branches(pattern: str) -> list:
-    """The alternatives of a pattern, parsed."""
-    parsed = list(re._parser.parse(pattern))
-    return [list(b) for b in parsed[0][1][1]] if len(parsed) == 1 and str(parsed[0][0]) == "BRANCH" else [parsed]
+def alternatives(pattern: str) -> list[str]:
+    """A pattern cut at its outermost bars."""
+    out, depth, at = [], 0, 0
+    for i, ch in enumerate(pattern):
+        depth += (ch in "([") - (ch in ")]")
+        if ch == "|" and not depth:
+            out.append(pattern[at:i])
+            at = i + 1
+    return [*out, pattern[at:]]
 
 
 @cache
-def _anchors() -> ahocorasick.Automaton:
-    """An automaton of literal strings one of which every refusal phrase holds: it looks first."""
+def _refusals() -> tuple[ahocorasick.Automaton, list[re.Pattern]]:
+    """An automaton of literal strings one of which every phrase holds, with the numbers of their phrases; and the phrases."""
+    phrases = [x for pattern in REFUSALS.values() for x in alternatives(pattern)]
+    holders: dict[str, list[int]] = {}
+    for i, phrase in enumerate(phrases):
+        for w in required(list(re._parser.parse(phrase))):
+            holders.setdefault(w, []).append(i)
     a = ahocorasick.Automaton()
-    for pattern in REFUSALS.values():
-        for b in branches(pattern):
-            for w in required(b):
-                a.add_word(w, w)
+    for w, numbers in holders.items():
+        a.add_word(w, tuple(numbers))
     a.make_automaton()
-    return a
+    return a, [re.compile(x) for x in phrases]
 
 
 def is_refusal(text: str) -> bool:
-    low = final_answer(text).lower().replace("’", "'")
-    return next(_anchors().iter(low), None) is not None and _REFUSAL.search(low) is not None
+    """A refusal phrase stands in the final answer; only phrases with a literal string that is there are tried."""
+    low = final_answer(text).lower()
+    low = low if low.isascii() else low.replace("’", "'")
+    automaton, phrases = _refusals()
+    tried = {numbers for _, numbers in automaton.iter(low)}
+    return any(phrases[i].search(low) for i in set().union(*tried)) if tried else False
 
 
 #: A response is a candidate for a copy if compressing it with its prompt leaves at most this share of its cost.
@@ -281,12 +292,23 @@ def is_copy(question: str | None, options: list[str] | None, response: str) -> b
     return copied_share(" ".join([*listed, q]), said) <= COPY_SHARE and adds_nothing(q, listed, said, with_lines)
 
 
+@lru_cache(maxsize=50_000)
+def asked_language(question: str | None) -> str:
+    """The language of a question, English where nothing tells."""
+    if not question or question.isascii() and _FOREIGN.isdisjoint(question.lower().split()):
+        return "en"
+    return language(question, 0.15) or "en"
+
+
+_PARTS = re.compile(r"(?<=[.!?。！？।])\s+|</?[a-zA-Z]\w*>|\n")
+
+
 def is_foreign(question: str | None, response: str) -> bool:
     """A sentence of the response is in a language other than the question's; quoted words don't count."""
-    asked = "en" if not question or _FOREIGN.isdisjoint(question.lower().split()) and question.isascii() else language(question, 0.15) or "en"
+    asked = asked_language(question)
     if asked == "en" and (response.isascii() or not _NON_LATIN.search(response)) and _FOREIGN.isdisjoint(response.lower().split()):
         return False
-    for part in re.split(r"(?<=[.!?。！？।])\s+|</?[a-zA-Z]\w*>|\n", _QUOTED.sub(" ", response)):
+    for part in _PARTS.split(_QUOTED.sub(" ", response)):
         got = language(part) if part else None
         if got and got != asked:
             return True

@@ -15,7 +15,7 @@ _TERMINAL = re.compile(r"[.!?…。！？।][\"”’'»)\]*]*$")
 _PARTIAL = re.compile(r"(?:�+|&#?[a-zA-Z0-9]{0,8}|\\u?[0-9a-fA-F]{0,4}|</?\w*)$")
 _MARKS = ".!?…。！？।\"”’'»)]* \t"
 _ENTITIES = ("amp", "lt", "gt", "quot", "apos", "nbsp", "ndash", "mdash", "hellip", "lsquo", "rsquo", "ldquo", "rdquo")
-_BLOCKS = ("think", "answer", "map")
+_BLOCKS = (("<think>", "</think>"), ("<answer>", "</answer>"), ("<map>", "</map>"))
 _NUMBER = r"(?:[-+~≈]?\d[\d.,/e+]*(?:\s\d+/\d+|\s?[½¼¾])?|[½¼¾]|(?:one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|twenty|half)(?:\s+and\s+(?:a\s+)?(?:half|(?:three\s+)?quarters?))?)"
 _AMOUNT = rf"{_NUMBER}(?:[\s-]*[^\s\d]{{1,14}}(?:[\s.]+[^\s\d]{{1,12}})?)?"
 _QUANTITY = re.compile(rf"(?:(?:the|my|final|best|correct|answer|estimate|is|it|about|approx\.?|roughly|around|i|count|there|are|so|hence|:)\s+|[~≈]\s*)*{_AMOUNT}(?:[\s,]*(?:and\s+)?{_AMOUNT})?", re.I)
@@ -35,7 +35,11 @@ def structurally_cut(text: str, tail: str) -> bool:
             return True
     if tail and (tail[-1] in ",;:([{–—“" and any(c.isalnum() for c in tail) or tail.count("“") > tail.count("”") or tail.count("(") > tail.count(")")):
         return True
-    return "<" in end and any(f"<{b}>" in end and end.count(f"<{b}>") > end.count(f"</{b}>") for b in _BLOCKS)
+    if "<" in end:
+        for opened, closed in _BLOCKS:
+            if opened in end and end.count(opened) > end.count(closed):
+                return True
+    return False
 
 
 @lru_cache(maxsize=50_000)

@@ -79,9 +79,9 @@ def scan(batches: Iterator[pa.RecordBatch], further: Callable[[dict[str, list]],
             if text is None:
                 continue
             tail = tally.add(text)
-            key = tab, run, len(text)
-            n, mask = lengths.get(key, (0, 0))
-            lengths[key] = n + 1, mask | 1 << hash(text) % 50
+            seen = lengths.setdefault((tab, run, len(text)), [0, 0])
+            seen[0] += 1
+            seen[1] |= 1 << hash(text) % 50
             if row_id is None:
                 continue
             structure = ts.structurally_cut(text, tail)

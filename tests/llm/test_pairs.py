@@ -1,6 +1,6 @@
 import random
+import re
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,8 +20,7 @@ Q = "How many lamps are there in this room?"
     ],
 )
 def test_labels(text, defect):
-    pdf = pd.DataFrame([("t", 1, Q, None, text)], columns=["tab", "row_id", "question", "options", "text"])
-    got = pairs.label(pdf)
+    got = pairs.label({"tab": ["t"], "row_id": [1], "question": [Q], "options": [None], "text": [text]})
     assert (got[0][5] if got else None) == defect
 
 
@@ -78,17 +77,19 @@ def test_the_window_is_as_long_as_the_prompt(words):
 
 @pytest.mark.parametrize("lang", pairs.REFUSALS)
 def test_every_refusal_phrase_has_an_anchor_and_holds_it(lang):
-    for b in pairs.branches(pairs.REFUSALS[lang]):
-        assert pairs.required(b)
-        for text in list(pairs.spelled(b) or ())[:50]:
-            assert next(pairs._anchors().iter(text), None) is not None and pairs.is_refusal(text)
+    phrases = pairs.alternatives(pairs.REFUSALS[lang])
+    assert "|".join(phrases) == pairs.REFUSALS[lang]
+    for phrase in phrases:
+        parsed = list(re._parser.parse(phrase))
+        assert pairs.required(parsed)
+        for text in list(pairs.spelled(parsed) or ())[:50]:
+            assert re.search(phrase, text) and pairs.is_refusal(text)
 
 
 @pytest.mark.parametrize("text,yes", [("无法回答。", True), ("抱歉。", True), ("죄송합니다", True), ("できません", True), ("Sorry.", False), ("B", False)])
 def test_short_refusals(text, yes):
     assert pairs.is_refusal(text) is yes
-    pdf = pd.DataFrame([("t", 1, Q, None, text)], columns=["tab", "row_id", "question", "options", "text"])
-    assert [r[5] for r in pairs.label(pdf)] == (["refusal"] if yes else [])
+    assert [r[5] for r in pairs.label({"tab": ["t"], "row_id": [1], "question": [Q], "options": [None], "text": [text]})] == (["refusal"] if yes else [])
 
 
 @pytest.mark.parametrize("text", ["Bunu cevaplayamam.", "Bu soruyu yanıtlayamam.", "È impossibile rispondere."])
