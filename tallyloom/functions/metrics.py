@@ -37,6 +37,24 @@ def choice_match(pred: Column, truth: Column) -> Column:
     return hit.when(pred.isNotNull() & truth.isNotNull(), ZERO)
 
 
+def rule_match(said: Column, question: Column, answer: Column) -> Column:
+    """An answer matched by rule against the `name: text` options below a question: 1 or 0, null where it is none of them.
+
+    It may be an option whole, its text (also behind `) `), or its name, with or without the kind of option before it
+    and a dot behind; of several readings the name goes before the text. The truth is an option whole.
+    """
+    options = F.filter(F.slice(F.split(question, "\n"), 2, 1 << 20), lambda o: F.contains(o, F.lit(": ")))
+    part = lambda i: F.transform(options, lambda o: F.get(F.split(o, ": "), F.lit(i)))
+    texts, names = part(1), part(0)
+    bare = F.transform(names, lambda n: F.regexp_replace(n, "Sentence |Option |Caption ", ""))
+    behind = F.get(F.split(said, r"\) "), F.lit(1))
+    last = lambda found, *forms: F.try_element_at(F.filter(found, lambda x: F.coalesce(x.isin(*forms), F.lit(False))), F.lit(-1))
+    pick = F.coalesce(last(F.concat(names, bare), said, F.replace(said, F.lit("."), F.lit(""))), last(texts, said, behind), last(options, said))
+    head, tail = F.get(F.split(answer, ": "), F.lit(0)), F.get(F.split(answer, ": "), F.lit(1))
+    right = (pick == answer) | (pick == F.substring_index(answer, ":", 1)) | (pick == tail) | (pick == F.get(F.split(head, r"\s+"), F.lit(1)))
+    return F.when(pick.isNotNull(), F.coalesce(right, F.lit(False)).cast("double"))
+
+
 def signed_error(pred: Column, truth: Column) -> Column:
     """|p - t| / t with the sign of t; null at t = 0."""
     return let(F.struct(pred.alias("p"), truth.alias("t")), lambda s: F.try_divide(F.abs(s["p"] - s["t"]), s["t"]))

@@ -17,6 +17,11 @@ ANSWER_PREFIXES = [
     "The best answer is", "The correct answer is", "The answer is", "The answer", "The best option is", "The correct option is",
     "Best answer:", "Best option:", "Answer:", "Option:", "The correct answer", "The correct option",
 ]
+# The same lead-ins as one benchmark has them, two pairs of them run together.
+FUSED_PREFIXES = [
+    "The best answer is", "The correct answer is", "The answer is", "The answer", "The best option isThe correct option is",
+    "Best answer:Best option:", "Answer:", "Option:", "The correct answer", "The correct option",
+]
 # Phrasings of an option, tried in this order without regard to case, line by line.
 OPTION_PATTERNS = [
     r"\(([A-E])\)",
@@ -92,10 +97,10 @@ def normalized_or_stripped(c: Column) -> Column:
     return F.coalesce(normalized_option(c), strip(c))
 
 
-def first_letter(c: Column, letters: str = "ABCD") -> Column:
-    """Lead-ins removed anywhere; "" if more than ten words hold no letter; else the first letter found anywhere, or ""."""
+def first_letter(c: Column, letters: str = "ABCD", prefixes: list[str] | None = None) -> Column:
+    """Lead-ins (by default those that go with the letters) removed anywhere; "" if more than ten words hold no letter; else the first letter found anywhere, or ""."""
     s = strip(c)
-    for p in ANSWER_PREFIXES if letters == "ABCD" else ANSWER_PREFIXES[:10]:
+    for p in prefixes or (ANSWER_PREFIXES if letters == "ABCD" else ANSWER_PREFIXES[:10]):
         s = F.replace(s, F.lit(p), F.lit(""))
     # beyond ten words without a letter the answer is "" as well, so the first letter found says it all
     return F.regexp_extract(s, f"([{letters}])", 1)

@@ -67,6 +67,17 @@ def typed_prompt(question: Column, problem_type: Column, template: str, suffixes
     return F.concat(filled(F.lit(template), Question=question), _looked_up(suffixes, problem_type, None if strict else ""))
 
 
+def task_prompt(question: Column, task: Column, number: list[str], choice: list[str], special: list[str], pre: str, suffixes: dict[str, str], note: str, noted: list[str]) -> Column:
+    """Lead-in, question and what the task's family asks for, line by line; choice tasks have a line for a note, empty but for the `noted`. An unknown task raises."""
+    line = lambda *parts: F.concat_ws("\n", F.lit(pre), question, *parts)
+    return (
+        F.when(task.isin(number), line(F.lit(suffixes["number"])))
+        .when(task.isin(choice), line(F.when(task.isin(noted), note).otherwise(""), F.lit(suffixes["choice"])))
+        .when(task.isin(special), line(F.lit(""), F.lit("")))
+        .when(task.isNotNull(), F.raise_error(F.concat(F.lit("unknown task: "), task)))
+    )
+
+
 def listed(names: Column) -> Column:
     """Names as a bracketed list in quotes: single ones, double ones around a name that holds a single one."""
     quoted = F.transform(names, lambda n: F.when(F.contains(n, F.lit("'")), F.concat(F.lit('"'), n, F.lit('"'))).otherwise(F.concat(F.lit("'"), n, F.lit("'"))))
@@ -104,6 +115,12 @@ def user_message(data_type: Column, path: Column, question: Column) -> Column:
     return F.array(F.struct(F.lit("user").alias("role"), content.alias("content")))
 
 
+def plain_messages(system: str, problem: Column) -> Column:
+    """A system turn and a user turn of text alone."""
+    turn = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
+    return F.array(turn("system", F.lit(system)), turn("user", problem))
+
+
 def sft_messages(system: str, data_type: Column, path: Column, question: Column, answer: Column) -> Column:
     turn = lambda role, *parts: F.struct(F.lit(role).alias("role"), F.array(*parts).alias("content"))
     return F.array(

@@ -5,14 +5,16 @@ SQL is put together from fragments that restate an operator for another engine.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import frames, metrics, objectmap, text, wordscores
-from ..operators import curation, groups, prompts, reports, rewards
+from ..operators import curation, groups, predict, prompts, reports, rewards
 from ..session import table
 from ..sources import tables
+from ..streaming import scoring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,9 +61,9 @@ def q_float(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '{text._FLOAT}') THEN try_cast(replace({q_strip(x)}, '_', '') AS DOUBLE) END"
 
 
-def q_letter(x: str, letters: str = "ABCD") -> str:
+def q_letter(x: str, letters: str = "ABCD", prefixes: list[str] | None = None) -> str:
     s = q_strip(x)
-    for p in text.ANSWER_PREFIXES if letters == "ABCD" else text.ANSWER_PREFIXES[:10]:
+    for p in prefixes or (text.ANSWER_PREFIXES if letters == "ABCD" else text.ANSWER_PREFIXES[:10]):
         s = f"replace({s}, '{p}', '')"
     return f"regexp_extract({s}, '([{letters}])', 1)"
 
@@ -239,10 +241,21 @@ def metrics_as_json(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_TEMP_SQL} SELECT row_id, p AS prediction, a AS answer, {_CHOICE_MATCH} AS score, CASE WHEN starts_with(lower({q_strip('p')}), 'yes') THEN 'yes' WHEN starts_with(lower({q_strip('p')}), 'no') THEN 'no' END AS yes_no,
- regexp_replace(split_part(p, ' ', 1), '\\.+$', '') AS first_token FROM temp""")
+ regexp_replace(split_part(p, ' ', 1), '\\.+$', '') AS first_token, {q_letter('p', 'ABCD', text.FUSED_PREFIXES)} AS fused_letter FROM temp""")
 def choice_row_scores(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("p")
-    return _temp(spark, d).select("row_id", p.alias("prediction"), F.col("a").alias("answer"), metrics.choice_match(p, F.col("a")).alias("score"), text.yes_no(p).alias("yes_no"), text.first_token(p).alias("first_token"))
+    return _temp(spark, d).select("row_id", p.alias("prediction"), F.col("a").alias("answer"), metrics.choice_match(p, F.col("a")).alias("score"), text.yes_no(p).alias("yes_no"), text.first_token(p).alias("first_token"), text.first_letter(p, prefixes=text.FUSED_PREFIXES).alias("fused_letter"))
+
+
+@query(r"""WITH p AS (SELECT p_partkey, p_brand AS a, p_type AS b, CASE p_partkey % 8 WHEN 0 THEN 'Option A: ' || p_brand WHEN 1 THEN p_brand WHEN 2 THEN 'Option B' WHEN 3 THEN 'A.' WHEN 4 THEN 'B' WHEN 5 THEN '(A) ' || p_brand WHEN 6 THEN 'Option A.' ELSE 'none of them' END AS said FROM part)
+SELECT p_partkey, CASE p_partkey % 8 WHEN 7 THEN NULL WHEN 2 THEN 0.0 WHEN 4 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM p""")
+def rule_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Answers matched by rule against the options below a question."""
+    k, brand = F.col("p_partkey") % 8, F.col("p_brand")
+    first = F.concat(F.lit("Option A: "), brand)
+    said = F.when(k == 0, first).when(k == 1, brand).when(k == 2, "Option B").when(k == 3, "A.").when(k == 4, "B").when(k == 5, F.concat(F.lit("(A) "), brand)).when(k == 6, "Option A.").otherwise("none of them")
+    question = F.concat(F.lit("Which?\n"), first, F.lit("\nOption B: "), "p_type")
+    return table(spark, d, "part").select("p_partkey", metrics.rule_match(said, question, first).alias("score"))
 
 
 # Scores over derived inputs ----------------------------------------------------------------------------------------
@@ -482,7 +495,7 @@ scored AS (SELECT *, coalesce(CASE problem_type WHEN 'multiple choice' THEN CAST
 
 @query(f"""
 WITH {_TRAIN}, c AS (SELECT problem_id, {_KIND} AS problem_type, solution AS s, problem_id % 3 AS k FROM tr), {q_rewards('c')}
-SELECT problem_id, problem_type, round(accuracy, 6) AS accuracy, CASE WHEN k = 2 OR s IS NULL AND k = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS format FROM scored""")
+SELECT problem_id, problem_type, round(accuracy, 6) AS accuracy, f AS format, round(accuracy + f, 6) AS total FROM (SELECT *, CASE WHEN k = 2 OR s IS NULL AND k = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS f FROM scored)""")
 def training_rewards(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy and format rewards of completions made from the solutions, of all types; half of the free-form rows count as OCR."""
     t = table(spark, d, "training_example").groupBy("problem_id").agg(F.max("problem_type").alias("problem_type"), F.max("solution").alias("solution"))
@@ -492,7 +505,7 @@ def training_rewards(spark: SparkSession, d: str) -> DataFrame:
     completion = F.concat(F.when(k == 2, "").otherwise("<think>so</think>"), F.lit("<answer>"), said, F.lit("</answer>"))
     rows = t.withColumns({"problem_type": kind, "completion": completion})
     args = (F.col("problem_type"), F.col("completion"), F.col("solution"))
-    return rows.select("problem_id", "problem_type", F.round(rewards.total_reward(["accuracy"], *args), 6).alias("accuracy"), rewards.total_reward(["format"], *args).alias("format"))
+    return rows.select("problem_id", "problem_type", F.round(rewards.total_reward(["accuracy"], *args), 6).alias("accuracy"), rewards.total_reward(["format"], *args).alias("format"), F.round(rewards.total_reward(["accuracy", "format"], *args), 6).alias("total"))
 
 
 _STEM = r"regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\.[^.]*$', '\1')"
@@ -578,6 +591,28 @@ def keyed_prompts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", prompts.keyed(options).alias("keyed"), ranged.alias("ranged"), prompts.answer_letter((F.col("p_partkey") % 5).cast("int")).alias("letter"), prompts.max_tokens(kind).alias("max_tokens"))
 
 
+@query("""SELECT p_partkey, '[{"role":"user","content":[{"type":"video","video":' || to_json(p_brand) || '},{"type":"text","text":' || to_json(p_name) || '}]}]' AS with_video, '[{"role":"user","content":[{"type":"image"},{"type":"text","text":' || to_json(p_name) || '}]}]' AS without_path,
+ '[{"role":"system","content":"You watch videos."},{"role":"user","content":' || to_json(p_name) || '}]' AS plain FROM part""")
+def messages_as_json(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations as JSON, null fields left out: with a medium and its path, with a medium alone, of text alone."""
+    name = F.col("p_name")
+    return table(spark, d, "part").select(
+        "p_partkey", prompts.without_nulls(prompts.user_message(F.lit("video"), F.col("p_brand"), name)).alias("with_video"),
+        prompts.without_nulls(prompts.user_message(F.lit("image"), F.lit(None).cast("string"), name)).alias("without_path"), prompts.without_nulls(prompts.plain_messages("You watch videos.", name)).alias("plain"),
+    )
+
+
+@query(f"""WITH {_SPAR_SQL}, q AS (SELECT row_id, {q_category('task')} AS task, question FROM spar_result WHERE question IS NOT NULL {_ONCE})
+SELECT row_id, 'Look.' || chr(10) || question || chr(10) || CASE WHEN task IN {q_in(reports.SPAR_NUMBER)} THEN 'Say a number.' WHEN task IN {q_in(reports.SPAR_CHOICE)} THEN CASE WHEN task IN ('position_matching', 'camera_motion_infer') THEN 'Boxes run to 1000.' ELSE '' END || chr(10) || 'Say a letter.' WHEN task = 'view_change_infer' THEN chr(10) END AS prompt
+FROM q WHERE task IN {q_in(reports.SPAR_NUMBER + reports.SPAR_CHOICE + reports.SPAR_VIEW)}""")
+def task_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts by the family of a row's task."""
+    rows = _once(table(spark, d, "spar_result").select("row_id", "question", "task", "logged_at")).withColumn("task", _task("task")).where(F.col("question").isNotNull())
+    families = reports.SPAR_NUMBER, reports.SPAR_CHOICE, reports.SPAR_VIEW
+    prompt = prompts.task_prompt(F.col("question"), F.col("task"), *families, "Look.", {"number": "Say a number.", "choice": "Say a letter."}, "Boxes run to 1000.", ["position_matching", "camera_motion_infer"])
+    return rows.where(F.col("task").isin([t for f in families for t in f])).select("row_id", prompt.alias("prompt"))
+
+
 _TEMPLATES = {"default": "Q: {Question}", "multiple choice": "Pick one. {Question}", "numerical": "Give a number. {Question}"}
 _SUFFIXES = {"multiple choice": " Answer with a letter.", "numerical": " Answer with a number.", "free-form": " Answer with a text.", "regression": " Answer with a value."}
 _VALUES = lambda d: ", ".join(f"('{k}', '{v}')" for k, v in d.items())
@@ -785,6 +820,25 @@ def benchmark_files(spark: SparkSession, d: str) -> DataFrame:
     return tables.catalogue(spark).select("task", F.explode("files").alias("file"), "media")
 
 
+@query("SELECT row_id, upper(promt) AS predicted_answer FROM tempcompass_result WHERE promt IS NOT NULL")
+def predicted_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The boundary of inference, with a stand-in for the model."""
+    rows = table(spark, d, "tempcompass_result").where("promt is not null").select("row_id", "promt")
+    return predict.predicted(rows, lambda texts: [t.upper() for t in texts]).select("row_id", "predicted_answer")
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(avg(floor(value)), 6) AS value FROM events GROUP BY ALL")
+def streamed_means(spark: SparkSession, d: str) -> DataFrame:
+    """Daily means of events read as a stream of files, all that are there at once."""
+    path = _scratch(spark, f"streamed_means_{uuid.uuid4().hex}")
+    columns = ", ".join(f"`{c}` {t}" for c, t in table(spark, d, "events").dtypes)
+    events = scoring.result_stream(spark.newSession(), d, columns, "parquet", glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    means = scoring.windowed_means(events, F.floor("value").cast("double"), "event_type", "ts", "10000 days", "1 day")
+    name = f"streamed_means_{uuid.uuid4().hex}"
+    means.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
+    return means.sparkSession.table(name).withColumns({"start": F.col("start").cast("timestamp_ntz"), "value": F.round("value", 6)})
+
+
 @query(r"""SELECT event_id, lpad(((floor(value)::BIGINT * 100 % 86400) // 3600)::VARCHAR, 2, '0') || 'h' || lpad((((floor(value)::BIGINT * 100 % 86400) % 3600) // 60)::VARCHAR, 2, '0') || 'm' || lpad(((floor(value)::BIGINT * 100 % 86400) % 60)::VARCHAR, 2, '0') || 's' AS elapsed,
  'data:image;base64,' || base64(encode(event_type)) AS url, strftime(ts, '%Y%m%d_%H%M%S') AS run_dir FROM events""")
 def formatted(spark: SparkSession, d: str) -> DataFrame:

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def result_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json", files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt).load(path)
+def result_stream(spark: SparkSession, path: str, schema: str, fmt: str = "json", files_per_trigger: int = 100, glob: str | None = None) -> DataFrame:
+    """Files of a folder as they arrive, of those whose name matches `glob` if given."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).format(fmt)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
 
 def once_per_row(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:

@@ -55,6 +55,18 @@ def test_matches(spark):
     assert values(spark, rows, "p string, t string", metrics.choice_match(F.col("p"), F.col("t"))) == [1.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
+def test_rule_match(spark):
+    q, a = "Which?\nSentence A: the lamp\nCaption B: x: y\nno option", "Sentence A: the lamp"
+    rows = [("A", q, a), ("A.", q, a), ("Sentence A", q, a), ("the lamp", q, a), ("(A) the lamp", q, a), (a, q, a), ("B", q, a), ("Caption B", q, a), ("C", q, a), ("", q, a), (None, q, a), ("A", "no options", a), ("A", None, a), ("A", q, None), ("A", q, "odd")]
+    got = values(spark, rows, "s string, q string, a string", metrics.rule_match(F.col("s"), F.col("q"), F.col("a")))
+    assert got == [1.0] * 6 + [0.0, 0.0] + [None] * 5 + [0.0, 0.0]
+
+
+def test_run_together_lead_ins_stay(spark):
+    assert values(spark, [("The best option is: C",)], "s string", text.first_letter(F.col("s"), prefixes=text.FUSED_PREFIXES)) == ["C"]
+    assert values(spark, [("Best answer: D",)], "s string", text.first_letter(F.col("s"), prefixes=text.FUSED_PREFIXES)) == ["B"]
+
+
 def mra(err):
     return sum(err <= 1 - (0.5 + i * ((0.95 - 0.5) / 9)) for i in range(10)) / 10
 
