@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
+from .joins import join_per_key
 
 #: Bits of the hash tables of trigrams, their contexts, and bigrams; characters share the last.
 BITS = 18
@@ -35,6 +36,8 @@ MARGINS, HELD = tuple(x / 2 for x in range(2, 61)), 10
 TOLERANCE = 0.002
 #: A chain must gain this much on a piece for the piece to be restored.
 TOKEN_MARGIN = 2.0
+#: Scores of up to so many pieces are broadcast, a kilobyte or two each.
+BROADCAST_PIECES = 20_000
 #: Pieces scored at once.
 FLUSH = 2_000
 
@@ -267,7 +270,8 @@ def _gains(distinct: DataFrame, model: Model) -> DataFrame:
 
 def _sums(posted: DataFrame, gains: DataFrame) -> DataFrame:
     """(doc_id, made, kind, gain, k) of every posted document with a gain: the best chain's sum over its pieces, the first of equals."""
-    each = posted.where("piece is not null").join(gains, "piece").select("doc_id", "kind", "n", F.explode(F.arrays_zip("chains", "gains")).alias("x"))
+    met = join_per_key(posted.where("piece is not null"), gains, ["piece"], broadcast_rows=BROADCAST_PIECES).dropDuplicates(["doc_id", "kind", "piece"])  # a repeated row counts once
+    each = met.select("doc_id", "kind", "n", F.explode(F.arrays_zip("chains", "gains")).alias("x"))
     per = each.groupBy("doc_id", "kind", F.col("x.chains").alias("k")).agg(F.sum(F.col("n") * F.col("x.gains")).alias("gain"))
     return per.groupBy("doc_id", "kind").agg(F.max(F.struct(F.col("gain"), (-F.col("k")).alias("minus"))).alias("best")).select("doc_id", "kind", F.col("best.gain").alias("gain"), (-F.col("best.minus")).alias("k"))
 

@@ -26,13 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
+from .joins import join_per_key
 
 #: Distinct texts of a video per shard and side; beyond it, the side is split.
 SHARD_TEXTS = 20_000
 #: Texts of small videos per shard; shards per shuffle partition at least.
 GROUP_TEXTS, SHARDS = 100_000, 1
-#: Lists of videos are broadcast up to this many.
-BROADCAST_CLIPS = 200_000
 #: Share of an evaluation record's words that matched passages must cover.
 MIN_COVERAGE = 0.6
 #: At most so many words of a training text may lie outside what it covers.
@@ -244,11 +243,6 @@ def _normalised(df: DataFrame, *ids: str) -> DataFrame:
     return df.where(F.col(ids[-1]).isNotNull() & F.col("clip").isNotNull() & F.col("text").isNotNull()).select(*ids, "clip", "text").mapInArrow(run, schema)
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_CLIPS + 1).count() <= BROADCAST_CLIPS else df
-
-
 def overlapping_texts(e: DataFrame, t: DataFrame) -> DataFrame:
     """(clip, eval_text, train_text, coverage) of the distinct texts that overlap, given normalised (clip, text) of both sides."""
     e_texts, t_texts = e.select("clip", "text").distinct(), t.select("clip", "text").distinct()
@@ -259,19 +253,17 @@ def overlapping_texts(e: DataFrame, t: DataFrame) -> DataFrame:
     groups = max(groups, math.ceil(total / GROUP_TEXTS))
     parts = lambda n: F.ceil(F.col(n) / SHARD_TEXTS).cast("int")
     large = cut(per.where((F.col("n_t") > SHARD_TEXTS) | (F.col("n_e") > SHARD_TEXTS)).select("clip", parts("n_t").alias("k_t"), parts("n_e").alias("k_e")))
-    large_ones = _bounded(large)
-
     def placed(texts: DataFrame, own: str, other: str) -> DataFrame:
         """A text of a large video goes to the part that its hash says, against every part of the other side."""
-        known = texts.join(large_ones, "clip", "left")
+        known = join_per_key(texts, large, ["clip"], "left", kept=True)
         mine = F.pmod(F.xxhash64("text"), F.coalesce(own, F.lit(1))).cast("int").alias(own[-1])
         all_of = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1)).alias(other[-1])
         shard = F.when(F.col(own).isNotNull(), F.col("clip")).otherwise(F.pmod(F.xxhash64("clip"), F.lit(groups)).cast("string"))
         return known.select("clip", "text", "n", shard.alias("shard"), mine, all_of)
 
     none = F.lit(None).cast("bigint")
-    words = lambda df, n: df.join(large_ones, "clip").select("clip", F.explode(F.split("text", " ")).alias("text")).groupBy("clip", "text").agg(n.alias("n"))
-    of_large = words(t_texts, F.count("*")).unionByName(words(e_texts, F.lit(-1).cast("bigint"))).join(large_ones, "clip")
+    words = lambda df, n: join_per_key(df, large, ["clip"], kept=True).select("clip", F.explode(F.split("text", " ")).alias("text")).groupBy("clip", "text").agg(n.alias("n"))
+    of_large = words(t_texts, F.count("*")).unionByName(words(e_texts, F.lit(-1).cast("bigint"))).join(large, "clip")
     every = F.explode(F.expr("flatten(transform(sequence(0, k_t - 1), x -> transform(sequence(0, k_e - 1), y -> struct(x AS t, y AS e))))")).alias("at")
     of_large = of_large.select("clip", "text", "n", F.col("clip").alias("shard"), every).select("clip", "text", "n", "shard", "at.e", "at.t")
     left = placed(e_texts.withColumn("n", none), "k_e", "k_t").unionByName(of_large)
@@ -283,8 +275,8 @@ def overlapping_texts(e: DataFrame, t: DataFrame) -> DataFrame:
 def _sides(evals: DataFrame, training: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides normalised once; of training only what shows a video of the evaluation splits."""
     e = cut(_normalised(evals, "tab", "eval_id").distinct())
-    clips = _bounded(cut(e.select("clip").distinct()))
-    return e, cut(_normalised(training, "data_source", "problem_id").join(clips, "clip", "left_semi").distinct())
+    clips = e.select("clip").distinct()
+    return e, cut(join_per_key(_normalised(training, "data_source", "problem_id"), clips, ["clip"], "left_semi").distinct())
 
 
 def find_overlaps(evals: DataFrame, training: DataFrame) -> DataFrame:

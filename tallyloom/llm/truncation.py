@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut
 from . import textstate as ts
+from .joins import join_per_key
 
 #: A string's bucket is chosen by this many leading characters.
 PREFIX = 8
@@ -204,7 +205,7 @@ def find_truncated(values: DataFrame, seen: DataFrame | None = None) -> DataFram
     verdict = _judged(tails, seen.where("kind = 'str'").select(F.explode(F.arrays_zip(F.col("strings").alias("s"), F.col("counts").alias("n"))).alias("x")).select("x.s", "x.n"))
     limits = field_limits(seen).select("tab", F.coalesce("run", F.lit("")).alias("run"), F.col("field_limit").alias("a"), F.lit(True).alias("at_limit"))
     keyed = tails.select("tab", "row_id", F.coalesce("run", F.lit("")).alias("run"), "a", "s", F.expr("b % 2 = 1").alias("item"), F.expr("b >= 2").alias("structure"))
-    judged = keyed.join(verdict, ["s", "item"], "left").join(limits, ["tab", "run", "a"], "left")
+    judged = join_per_key(join_per_key(keyed, verdict, ["s", "item"], "left"), limits, ["tab", "run", "a"], "left")
     evidence = F.coalesce("evidence", F.when(F.col("structure"), "structure"), F.when(F.col("at_limit"), "limit"))
     return judged.select("tab", "row_id", evidence.alias("evidence")).where("evidence is not null").groupBy("tab", "row_id").agg(F.min("evidence").alias("evidence"))
 

@@ -101,3 +101,14 @@ def test_long_texts_are_judged_whole(spark):
     vocab = [w for w in WORDS if w]
     rows = [(i, " ".join(rng.choice(vocab) for _ in range(30))) for i in range(400)] + [(1000, "the lamp " * 30_000 + encoding.garble("größer für weiße Küche", ("cp1252", "utf_8", 1)))]
     assert 1000 in {r.doc_id for r in encoding.judged(spark.createDataFrame(rows, "doc_id bigint, text string"))[0].collect()}
+
+
+def test_repeated_rows_count_once(spark):
+    rng = random.Random(12)
+    vocab = [w for w in WORDS if w]
+    rows = [(i, " ".join(rng.choice(vocab) for _ in range(30))) for i in range(300)] + [(1000, encoding.garble("größer für weiße Küche", ("cp1252", "utf_8", 1)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    once = {r.doc_id: round(r.gain, 6) for r in encoding.judged(df)[0].collect()}
+    last = df.where("doc_id = 1000")
+    again = {r.doc_id: round(r.gain, 6) for r in encoding.judged(df.unionByName(last).unionByName(last))[0].collect()}
+    assert 1000 in once and once == again
