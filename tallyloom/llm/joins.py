@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import cut
 
 #: A table of up to so many rows is broadcast, after it is counted.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 50_000
 #: Beyond it, the rows of a key are spread over so many tasks, and the table is repeated as often.
 SALTS = 16
 

@@ -47,7 +47,7 @@ def slip(q, rng):
 @pytest.mark.parametrize("size", [20_000, 40, 9])
 def test_overlaps_against_brute_force(spark, monkeypatch, size):
     monkeypatch.setattr(overlap, "SHARD_TEXTS", size)  # the hot video is split, at 9 on both sides into many parts
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3 if size == 9 else 200_000)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 3 if size == 9 else 50_000)
     rng = random.Random(4)
     clips = ["hot_001_00"] * 6 + [f"hall_{i:03d}_00" for i in range(6)]
     evals = [("e", i, rng.choice(clips), ask(rng)) for i in range(120)]
