@@ -832,11 +832,11 @@ def streamed_means(spark: SparkSession, d: str) -> DataFrame:
     """Daily means of events read as a stream of files, all that are there at once."""
     path = _scratch(spark, f"streamed_means_{uuid.uuid4().hex}")
     columns = ", ".join(f"`{c}` {t}" for c, t in table(spark, d, "events").dtypes)
-    events = scoring.result_stream(spark.newSession(), d, columns, "parquet", glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = scoring.result_stream(spark, d, columns, "parquet", glob="events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     means = scoring.windowed_means(events, F.floor("value").cast("double"), "event_type", "ts", "10000 days", "1 day")
     name = f"streamed_means_{uuid.uuid4().hex}"
     means.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", path).trigger(availableNow=True).start().awaitTermination()
-    return means.sparkSession.table(name).withColumns({"start": F.col("start").cast("timestamp_ntz"), "value": F.round("value", 6)})
+    return spark.table(name).withColumns({"start": F.col("start").cast("timestamp_ntz"), "value": F.round("value", 6)})
 
 
 @query(r"""SELECT event_id, lpad(((floor(value)::BIGINT * 100 % 86400) // 3600)::VARCHAR, 2, '0') || 'h' || lpad((((floor(value)::BIGINT * 100 % 86400) % 3600) // 60)::VARCHAR, 2, '0') || 'm' || lpad(((floor(value)::BIGINT * 100 % 86400) % 60)::VARCHAR, 2, '0') || 's' AS elapsed,
